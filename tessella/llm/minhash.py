@@ -11,7 +11,8 @@ id goes on. Candidates share a band:
    texts is lost, and no pairs are made within a large group of near copies.
 
 Pairs whose sketches may be similar enough are confirmed on the full sets: members come to their pair's text in
-bounded chunks. Confirmed pairs are joined to components in the cluster.
+bounded chunks; where a cell holds many such pairs its rows come together instead, and pairs aren't made.
+Confirmed pairs are joined to components in the cluster.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; a text of
 fewer words than a shingle has its whole word sequence as one; rows that share an id are one document, which
@@ -34,9 +35,9 @@ from tessella.llm.components import components
 SHINGLE, BANDS, ROWS = 5, 36, 7
 SAMPLES, SKETCH_BITS = BANDS * ROWS, 1024
 #: Standard deviations of the sketch's estimate that a pair may lie below the threshold and still be confirmed.
-SLACK = 5.0
-#: Members of a pair's chunk, and of a block of a large bucket.
-CHUNK, BLOCK = 256, 1024
+SLACK = 4.0
+#: Members of a pair's chunk, rows of a block of a large bucket, and pairs by row from which a cell is confirmed whole.
+CHUNK, BLOCK, FEW = 256, 512, 2
 
 _R = np.random.default_rng(20)
 _ODD = _R.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,15 +129,20 @@ def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def _across(most: int):
-    """Pairs across components in the cells of buckets, which come sorted; only sketches are looked at."""
+    """Pairs across components in the cells of buckets, which come sorted; only sketches are looked at.
+
+    A cell with few such pairs gives the pairs (a, b); one with many gives its rows (a alone), for all of them to be
+    confirmed in one place.
+    """
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def pairs() -> tuple[np.ndarray, np.ndarray]:
-            ids = np.array([r[3] for r in held], np.int64)
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len({r[4] for r in held}) < 2:
+                return
+            ids, group = np.array([r[3] for r in held], np.int64), np.array([r[4] for r in held], np.int64)
             block = np.array([r[2] for r in held])
-            group = np.array([r[4] for r in held], np.int64)
             bits = np.frombuffer(b"".join(r[5] for r in held), np.uint64).reshape(len(held), -1)
             first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
             found_a, found_b = [], []
@@ -144,15 +150,18 @@ def _across(most: int):
                 x = first[at : at + 256]
                 close = np.bitwise_count(bits[x][:, None] ^ bits[second][None]).sum(2, dtype=np.int64) <= most
                 i, j = np.nonzero(close & (group[x][:, None] != group[second][None]))
-                found_a.append(ids[x[i]])
-                found_b.append(ids[second[j]])
+                found_a.append(x[i])
+                found_b.append(second[j])
             a, b = np.concatenate(found_a), np.concatenate(found_b)
-            return np.minimum(a, b), np.maximum(a, b)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len({r[4] for r in held}) > 1:
-                a, b = pairs()
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            pairs = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1), axis=0)
+            n = len(pairs)
+            if n <= FEW * len(held):
+                none = pa.nulls(n, pa.int64())
+                columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none, none]
+            else:
+                rows = [held[i] for i in np.unique(np.concatenate([a, b]))]
+                columns = [pa.array([r[3] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1, 2, 4))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "cell", "block", "component_id"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -166,44 +175,99 @@ def _across(most: int):
     return paired
 
 
-def _confirmed(threshold: tuple[int, int]):
-    """Of chunks, which come sorted with the pair's own text first: which members are similar enough."""
+ACROSS = "a long, b long, key long, cell long, block long, component_id long"
+
+
+def in_cell(rows: list[tuple[int, int, int]], sets: list[np.ndarray], least: int, of: int) -> list[tuple[int, int]]:
+    """Links between rows (id, block, component) of a cell's two blocks that join components; pairs that are joined by then are left out."""
+    if not rows:
+        return []
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    low, high = min(r[1] for r in rows), max(r[1] for r in rows)
+    second = [i for i, r in enumerate(rows) if r[1] == high]
+    sizes = np.array([len(x) for x in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    flat = np.concatenate([codes[starts[i] : starts[i] + sizes[i]] for i in second])
+    edges = np.cumsum(sizes[second]) - sizes[second]
+    mark, links = np.zeros(len(codes), np.int32), []
+    for i, (own, block, component) in enumerate(rows):
+        if block != low:
+            continue
+        codes_i = codes[starts[i] : starts[i] + sizes[i]]
+        mark[codes_i] = 1
+        both = np.add.reduceat(mark[flat], edges)
+        mark[codes_i] = 0
+        for k in np.flatnonzero(of * both >= least * (sizes[i] + sizes[second] - both)):
+            other, _, there = rows[second[k]]
+            a, b = find(component), find(there)
+            if a != b:
+                root[b] = a
+                links.append((own, other))
+    return links
+
+
+def _confirmed(least: int, of: int):
+    """Looks at texts by group, which come sorted: a chunk of a pair's partners with its own text first, or a cell's rows."""
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, chunk, owner = WordHashes(), None, np.zeros(0, np.uint64)
-        least, of = threshold
+        hashes, chunk, owners = WordHashes(), None, []
+        rows: list[tuple[int, int, int]] = []
+        sets: list[np.ndarray] = []
         for batch in batches:
             a, b, good = [], [], []
-            for owner_id, part, member, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for is_cell, owner_id, part, member, block, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = shingles(text, hashes)
-                if member is None:
-                    if chunk == (owner_id, part):  # rows that share an id
-                        owners.append(found)
-                    else:
-                        chunk, owners = (owner_id, part), [found]
-                    continue
-                a.append(owner_id)
-                b.append(member)
-                ok = False
-                for owner in owners:
-                    both = len(np.intersect1d(owner, found, assume_unique=True))
-                    ok |= bool(both) and of * both >= least * (len(owner) + len(found) - both)
-                good.append(ok)
+                if chunk != (is_cell, owner_id, part):
+                    for x, y in in_cell(rows, sets, least, of):
+                        a.append(x)
+                        b.append(y)
+                        good.append(True)
+                    chunk, owners, rows, sets = (is_cell, owner_id, part), [], [], []
+                if is_cell:
+                    if len(found):
+                        rows.append((member, block, component))
+                        sets.append(found)
+                elif member is None:
+                    owners.append(found)
+                else:
+                    ok = False
+                    for owner in owners:  # rows that share an id are one document
+                        both = len(np.intersect1d(owner, found, assume_unique=True))
+                        ok |= bool(both) and of * both >= least * (len(owner) + len(found) - both)
+                    a.append(owner_id)
+                    b.append(member)
+                    good.append(ok)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(good, pa.bool_())], ["a", "b", "good"])
+        if links := in_cell(rows, sets, least, of):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64()), pa.array([True] * len(links))], ["a", "b", "good"])
 
     return confirmed
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, least: int, of: int) -> DataFrame:
-    """(a, b, good) of each pair of ids, on the full sets; docs: doc_id, text. A hub's partners come in chunks."""
+def confirm(pairs: DataFrame, docs: DataFrame, least: int, of: int, cells: DataFrame | None = None) -> DataFrame:
+    """(a, b, good) of each pair of ids, on the full sets, and the links that join components inside cells; docs: doc_id, text.
+
+    Texts are read and dealt once. A hub's partners come in chunks.
+    """
     pairs = cut(pairs)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     chunked = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
-    wanted = chunked.select(F.col("b").alias("doc_id"), F.col("a").alias("owner"), "part", F.col("b").alias("member"))
-    owners = chunked.select("a", "part").distinct().select(F.col("a").alias("doc_id"), F.col("a").alias("owner"), "part", F.lit(None).cast("long").alias("member"))
-    texts = docs.join(wanted.union(owners).hint("shuffle_hash"), "doc_id").select("owner", "part", "member", "text")
-    dealt = texts.repartition("owner", "part").sortWithinPartitions("owner", "part", F.col("member").asc_nulls_first())
-    return dealt.mapInArrow(_confirmed((least, of)), "a long, b long, good boolean").groupBy("a", "b").agg(F.max("good").alias("good"))
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    wanted = chunked.select(F.col("b").alias("doc_id"), F.lit(False).alias("is_cell"), F.col("a").alias("owner"), "part", F.col("b").alias("member"), zero.alias("block"), none.alias("component_id"))
+    wanted = wanted.union(chunked.select("a", "part").distinct().select("a", F.lit(False), "a", "part", none, zero, none))
+    if cells is not None:
+        wanted = wanted.union(cells.select("a", F.lit(True), "key", "cell", "a", "block", "component_id"))
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("is_cell", "owner", "part", "member", "block", "component_id", "text")
+    dealt = texts.repartition("is_cell", "owner", "part").sortWithinPartitions("is_cell", "owner", "part", F.col("member").asc_nulls_first())
+    return dealt.mapInArrow(_confirmed(least, of), "a long, b long, good boolean").groupBy("a", "b").agg(F.max("good").alias("good"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 85, of: int = 100) -> DataFrame:
@@ -234,8 +298,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not rest.isEmpty():
         cells = _cells(rest.join(sketches, "doc_id"))
         dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "block")
-        across = dealt.mapInArrow(_across(most), "a long, b long").distinct()
-        again = cut(confirm(across.join(looked, ["a", "b"], "left_anti"), docs, least, of))
+        across = cut(dealt.mapInArrow(_across(most), ACROSS))
+        pairs = across.where("b is not null").select("a", "b").distinct().join(looked, ["a", "b"], "left_anti")
+        again = cut(confirm(pairs, docs, least, of, across.where("b is null")))
         links = links.union(again.where("good").select("a", "b"))
     final = components(links.union(same))
     found = marks.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
