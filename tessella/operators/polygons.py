@@ -199,3 +199,107 @@ def trace(pixels: DataFrame, keys: list[str]) -> DataFrame:
     kinds = dict(pixels.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_rings long, pixel_area long, area double, rings array<array<struct<x: double, y: double>>>"
     return pixels.groupBy(*keys).applyInPandas(fold, schema)
+
+
+def dividing_line(a: np.ndarray, b: np.ndarray) -> list[Point]:
+    """The line along which the overlap of two masks is shared, as points from end to end.
+
+    Points are the midpoints of pixel edges between the two shares; each is followed by the nearest one left.
+    """
+    both = a & b
+    mine = split_pair(a, b, 0)[0] & both
+    points = []
+    for (dy, dx), at in (((0, 1), lambda y, x: (x + 1.0, y + 0.5)), ((1, 0), lambda y, x: (x + 0.5, y + 1.0))):
+        one, two = mine[: mine.shape[0] - dy, : mine.shape[1] - dx], mine[dy:, dx:]
+        inside = both[: both.shape[0] - dy, : both.shape[1] - dx] & both[dy:, dx:]
+        points += [at(int(y), int(x)) for y, x in zip(*np.nonzero((one != two) & inside), strict=True)]
+    if len(points) < 2:
+        return points
+    far = max(points, key=lambda p: (math.dist(p, points[0]), p))
+    line, left = [far], set(points) - {far}
+    while left:
+        to = nearest(sorted(left), line[-1])
+        line.append(to)
+        left.discard(to)
+    return line
+
+
+def snap_ends(line: list[Point], targets: list[Point]) -> list[Point]:
+    """A line whose ends are extended to the nearest target points; where both would be the same point, the second nearest serves the end that is further from it."""
+    if len(line) < 2 or not targets:
+        return line
+    first, last = nearest(targets, line[0]), nearest(targets, line[-1])
+    if first == last and len(targets) > 1:
+        rest = [t for t in targets if t != first]
+        if math.dist(first, line[0]) <= math.dist(first, line[-1]):
+            last = nearest(rest, line[-1])
+        else:
+            first = nearest(rest, line[0])
+    return [first, *line, last]
+
+
+def split_by_line(ring: list[Point], line: list[Point]) -> list[list[Point]]:
+    """The parts of a ring on both sides of a line that crosses it twice; any other line leaves it whole."""
+    hits = []
+    for i, (p, q) in enumerate(zip(ring, ring[1:] + ring[:1], strict=True)):
+        for j, (u, v) in enumerate(zip(line, line[1:], strict=False)):
+            at = crossing(p, q, u, v)
+            if at is not None and all(math.dist(at, h[2]) > 1e-9 for h in hits):
+                hits.append((i, j, at))
+    if len(hits) != 2:
+        return [ring]
+    (i, u, a), (j, v, b) = hits
+    between = line[u + 1 : v + 1] if u <= v else line[v + 1 : u + 1][::-1]
+    one = [a, *ring[i + 1 : j + 1], b, *between[::-1]]
+    two = [b, *ring[j + 1 :], *ring[: i + 1], a, *between]
+    parts = [snap(x) for x in (one, two)]
+    return parts if all(abs(area(x)) > 1e-12 for x in parts) else [ring]
+
+
+def inside(ring: list[Point], p: Point) -> bool:
+    odd = False
+    for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < a[0] + (p[1] - a[1]) * (b[0] - a[0]) / (b[1] - a[1]):
+            odd = not odd
+    return odd
+
+
+def centroid(ring: list[Point]) -> Point:
+    s = area(ring)
+    if not s:
+        return ring[0]
+    x = y = 0.0
+    for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+        c = a[0] * b[1] - b[0] * a[1]
+        x, y = x + (a[0] + b[0]) * c, y + (a[1] + b[1]) * c
+    return x / (6 * s), y / (6 * s)
+
+
+def assign_pieces(pieces: list[list[Point]], a_only: list[Point], b_only: list[Point]) -> list[str]:
+    """'a' or 'b' for each piece: whose own part's middle is nearer to the piece's; a's on a tie."""
+    to_a, to_b = centroid(a_only), centroid(b_only)
+    return ["a" if math.dist(centroid(p), to_a) <= math.dist(centroid(p), to_b) else "b" for p in pieces]
+
+
+def shared_lines(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, j, points, length) of the dividing line of each pair that overlaps; pixels: keys, id, y, x, a component per group."""
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(group["y"].max()) + 1, int(group["x"].max()) + 1
+        masks = {}
+        for i, part in group.groupby("id"):
+            masks[i] = np.zeros((h, w), bool)
+            masks[i][part["y"], part["x"]] = True
+        own, out = [group[k].iloc[0] for k in keys], []
+        ids = sorted(masks)
+        for n, i in enumerate(ids):
+            for j in ids[n + 1 :]:
+                both = masks[i] & masks[j]
+                if both.any() and (masks[i] & ~masks[j]).any() and (masks[j] & ~masks[i]).any():
+                    line = smooth_line(taubin(dividing_line(masks[i], masks[j])))
+                    out.append((*own, i, j, len(line), float(sum(math.dist(p, q) for p, q in zip(line, line[1:], strict=False)))))
+        return pd.DataFrame(out, columns=[*keys, "i", "j", "points", "length"])
+
+    kinds = dict(pixels.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", i {kinds['id']}, j {kinds['id']}, points int, length double"
+    return pixels.groupBy(*keys).applyInPandas(fold, schema)

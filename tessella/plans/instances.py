@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import arrays
 from tessella.operators import grid, metrics, morphology, polygons, runs, spatial
 from tessella.operators.graph import components
 from tessella.plans import bindings as B
@@ -127,11 +126,11 @@ def agg_03(s, d):
     return metrics.aggregated_jaccard(B.samples(s, d), iou, at, ap, K)
 
 
-@query("set_03", f"{WITH} {AJI} SELECT pa.sample_id, pa.p FROM pa JOIN fin USING (sample_id) WHERE NOT EXISTS (SELECT 1 FROM iou WHERE iou.sample_id = pa.sample_id AND iou.p = pa.p)")
+@query("set_03", f"{WITH} {B.PAIRS} SELECT sample_id, p FROM pa WHERE (sample_id, p) NOT IN (SELECT sample_id, p FROM iou WHERE iou >= 0.5::DOUBLE)")
 def set_03(s, d):
-    """Predicted labels that no true label shares a pixel with."""
+    """Predicted labels that no true label meets with an IoU of 0.5."""
     iou, _, ap = _iou(s, d)
-    return ap.select(*K, F.col("label").alias("p")).join(iou.select(*K, "p"), [*K, "p"], "left_anti")
+    return ap.select(*K, F.col("label").alias("p")).join(iou.where("iou >= 0.5").select(*K, "p"), [*K, "p"], "left_anti")
 
 
 @query("mat_03")
@@ -337,11 +336,9 @@ def _tuning(s, d):
     px = parts[0]
     for p in parts[1:]:
         px = px.unionByName(p)
-    settings = px.select("min_distance", "min_area").distinct()
     pred = runs.to_runs(px, iou_k)
     small = grid.parameter_grid(s, min_distance=[1, 2, 3], min_area=[0, 6])
     true = runs.to_runs(runs.paint(B.boxes(s, d), K), K).join(F.broadcast(small))
-    del settings
     at, ap = runs.shapes(true, iou_k), runs.shapes(pred, iou_k)
     return metrics.aggregated_jaccard(B.samples(s, d).select(*K).join(F.broadcast(small)), metrics.ious(runs.contingency(true, pred, iou_k), at, ap, iou_k), at, ap, iou_k)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays
@@ -399,5 +398,3 @@ def lim_09(s, d):
     """The longest line of each sample, of equal ones the smallest label."""
     return B.boxes(s, d).groupBy(*K).agg(F.max_by("label", F.struct(F.col("x1") - F.col("x0"), -F.col("label"))).alias("longest"))
 
-
-del Window

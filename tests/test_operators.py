@@ -317,3 +317,20 @@ def test_labels_and_keys(spark):
     assert [r["l"] for r in f.select(arrays.clean_label(F.col("v")).alias("l")).collect()] == ["a_b+c-d_e", "model", "x"]
     assert [r["l"] for r in f.select(arrays.clean_key(F.col("v")).alias("l")).collect()] == ["a_b_c_d_e_", "_", "__x__"]
     assert one(spark, arrays.decimal_text(F.lit(0.5))) == "0.5" and one(spark, arrays.decimal_text(F.lit(2.0))) == "2.0"
+
+
+def test_shared_lines_and_pieces():
+    a, b = np.zeros((6, 10), bool), np.zeros((6, 10), bool)
+    a[:, :6], b[:, 4:] = True, True
+    line = polygons.dividing_line(a, b)
+    assert len(line) == 6 and {x for x, _ in line} == {5.0}
+    assert polygons.snap_ends([(1, 1), (1, 2)], [(1, 0), (1, 3)]) == [(1, 0), (1, 1), (1, 2), (1, 3)]
+    assert polygons.snap_ends([(1, 1), (1, 2)], [(1, 0), (9, 9)]) == [(1, 0), (1, 1), (1, 2), (9, 9)]
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    parts = polygons.split_by_line(square, [(1.0, -1.0), (1.0, 5.0)])
+    assert sorted(abs(polygons.area(p)) for p in parts) == [4, 12]
+    bent = polygons.split_by_line(square, [(1.0, -1.0), (1.0, 2.0), (2.0, 2.0), (2.0, 5.0)])
+    assert sorted(round(abs(polygons.area(p)), 9) for p in bent) == [6, 10]
+    assert polygons.split_by_line(square, [(9.0, -1.0), (9.0, 5.0)]) == [square]
+    assert polygons.assign_pieces(parts, [(-2, 0), (-1, 0), (-1, 4), (-2, 4)], [(5, 0), (6, 0), (6, 4), (5, 4)]) == (["a", "b"] if abs(polygons.area(parts[0])) == 4 else ["b", "a"])
+    assert polygons.inside(square, (1, 1)) and not polygons.inside(square, (5, 1))
