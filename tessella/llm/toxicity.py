@@ -2,8 +2,8 @@
 
 Categories are predicted in the order of ``CATEGORIES``. The table of labels has one label, so the two earlier
 categories are weak labels: a toxic text that holds one of the category's seed words. The last one is the
-label itself. Features are the presence of words (lower case, marks stripped), chosen by the difference of
-their document shares. While training, the model of a category gets the earlier categories' probabilities
+label itself. Features are the presence of words (lower case, marks stripped) and of beginnings of words, chosen
+by the difference of their document shares. While training, the model of a category gets the earlier categories' probabilities
 that models of the other folds gave; when applied, it gets those of the final earlier models.
 
 The chain is fitted on at most ``SAMPLE`` labelled rows (those with the smallest hash of the id), a documented
@@ -16,7 +16,8 @@ Labels that are null or whose document is missing are not used; without any labe
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,15 +27,19 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, named, small_batches, strings
 
-SAMPLE, FEATURES, FOLDS, LEAST, L2 = 8000, 256, 5, 3, 0.3
-CUT = 0.5
+SAMPLE, FEATURES, FOLDS, LEAST, L2 = 8000, 320, 5, 4, 0.1
+#: Standard deviations by which a feature's shares differ at least.
+CLEAR = 4.0
+#: Lengths of the beginnings of words that are features.
+BEGINNINGS = (4, 6)
+CUT = 0.4
 #: Categories in the order of the chain with their seed words; the last is the label.
 CATEGORIES = {
     "insult": {"idiot", "moron", "stupid", "loser", "clown", "fool", "jerk"},
     "contempt": {"trash", "scum", "pathetic", "disgusting", "worthless", "garbage", "filth"},
     "toxic": None,
 }
-MARKS = b".,;:!?\"'()[]{}<>|%*$#&-_~`+=/\\"
+MARKS = ".,;:!?\"'()[]{}<>|%*$#&-_~`+=/\\"
 
 
 @dataclass
@@ -56,21 +61,39 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def tokens(text: str) -> set[bytes]:
-    return {w.strip(MARKS) for w in set(text.encode("utf-8", "surrogatepass").lower().split())}
+def tokens(text: str) -> Counter[str]:
+    """How often each word stands in a text, in lower case and without marks."""
+    found: Counter[str] = Counter()
+    for w, n in Counter(text.lower().split()).items():
+        found[w.strip(MARKS)] += n
+    return found
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Weights, bias first, of a ridge logistic regression by Newton's method."""
+def features(found: Counter[str], known: Container[str] | None = None) -> set[str]:
+    """Words, and beginnings of different words: '^' once, '^^' twice, '^^^' three times or more. Only known ones, if given.
+
+    Words stand for themselves, and '2' before a word says that it is repeated; beginnings catch words that
+    inflect or compound.
+    """
+    out = set(found) if known is None else {w for w in found if w in known}
+    out.update(x for x in ("2" + w for w, n in found.items() if n > 1) if known is None or x in known)
+    for size in BEGINNINGS:
+        for x, n in Counter([w[:size] for w in found if len(w) >= size]).items():
+            out.update(m for m in ("^" * k + x for k in range(1, min(n, 3) + 1)) if known is None or m in known)
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, rounds: int = 12) -> np.ndarray:
+    """Weights, bias first, of a ridge logistic regression by Newton's method, from the start's weights on."""
     x = np.hstack([np.ones((len(x), 1)), x])
     ridge = np.full(x.shape[1], L2)
     ridge[0] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
     for _ in range(rounds):
         p = sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
         w -= step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-2:
             break
     return w
 
@@ -86,7 +109,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, words: list[
         for fold in range(FOLDS):
             here = folds == fold
             if here.any():
-                v = logistic(inputs[~here], y[~here]) if (~here).any() else w
+                v = logistic(inputs[~here], y[~here], w) if (~here).any() else w
                 out[here] = sigmoid(v[0] + inputs[here] @ v[1:])
         earlier = np.hstack([earlier, out[:, None]])
     return Chain(words, weights)
@@ -94,7 +117,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, words: list[
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted(x.decode("utf-8", "replace") for x in tokens(t)) for t in strings(batch.column(1))]
+        found = [sorted(features(tokens(t))) for t in strings(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2)], ["doc_id", "tokens", "toxic"])
 
 
@@ -111,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share = F.col("a") / yes - F.col("b") / max(no, 1.0)
     seen = rows.select("toxic", F.explode("tokens").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     spread = F.sqrt((F.col("a") + F.col("b")) * (1 / yes + 1 / max(no, 1.0)) / (yes + no))
-    best = seen.where(f"word <> '' and a + b >= {LEAST}").orderBy(F.desc(F.abs(share) / spread), "word").limit(FEATURES)
+    clear = F.abs(share) / spread
+    best = seen.where(f"word <> '' and a + b >= {LEAST}").where(clear >= CLEAR).orderBy(F.desc(clear), "word").limit(FEATURES)
     words = best.select("word").toPandas()["word"].tolist()
     seeds = [[w for w in v] for v in CATEGORIES.values() if v]
     has = [F.arrays_overlap("tokens", F.array(*map(F.lit, s))).cast("int").alias(f"s{k}") for k, s in enumerate(seeds)]
@@ -128,11 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def _probabilities(chain: Chain, texts: list[str]) -> np.ndarray:
-    at = {w.encode(): i for i, w in enumerate(chain.words)}
+    at = {w: i for i, w in enumerate(chain.words)}
     x = np.zeros((len(texts), len(at)))
-    vocabulary = at.keys()
     for i, t in enumerate(texts):
-        x[i, [at[w] for w in tokens(t) & vocabulary]] = 1
+        x[i, [at[w] for w in features(tokens(t), at)]] = 1
     return chain.predict(x)
 
 
