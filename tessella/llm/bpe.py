@@ -21,14 +21,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import named, small_batches, strings, tokenizer_path
+from tessella.llm.common import named, small_batches, sole, strings, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The public pre-splitting pattern of byte-level vocabularies.
@@ -159,10 +158,9 @@ class Codec:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """A worker compiles an automaton once."""
-    return Codec(path)
+    return sole(("bpe", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = VOCABULARY, folder: str | None = None, ordinary: bool = False) -> DataFrame:

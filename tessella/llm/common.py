@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch; a batch of very long texts stays in a worker's memory.
 BATCH_ROWS = 1024
 #: Chunks of text whose ids a worker remembers for good, and those of late.
-KNOWN_CHUNKS, RECENT_CHUNKS = 500_000, 250_000
+KNOWN_CHUNKS, RECENT_CHUNKS = 400_000, 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,17 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+_held: dict = {}
+
+
+def sole(key: tuple, make: Callable):
+    """make() for the key, held while a worker serves one operator: the next one's takes its place and its memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8: what bytes.split and bytes.lower do."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, mix, named, small_batches, strings, words_of
+from tessella.llm.common import cut, mix, named, small_batches, sole, strings, words_of
 from tessella.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 36, 7
@@ -52,7 +52,7 @@ class WordHashes(dict):
     """64-bit hashes of words, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -109,7 +109,7 @@ def similarity(different: np.ndarray) -> np.ndarray:
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes = sole(("minhash",), WordHashes)
     for batch in batches:
         n, same, bands, sketch = [], [], [], []
         for text in strings(batch.column(1)):
@@ -218,7 +218,7 @@ def _confirmed(least: int, of: int):
     """Looks at texts by group, which come sorted: a chunk of a pair's partners with its own text first, or a cell's rows."""
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, chunk, owners = WordHashes(), None, []
+        hashes, chunk, owners = sole(("minhash",), WordHashes), None, []
         rows: list[tuple[int, int, int]] = []
         sets: list[np.ndarray] = []
         for batch in batches:

@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Chunks, named, small_batches, strings, tokenizer_path
+from tessella.llm.common import Chunks, named, small_batches, sole, strings, tokenizer_path
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 LENGTH, GROUP = 4096, 4096
@@ -62,9 +61,8 @@ class WordCodec:
             yield self.whole([text])[0] if chunks is None else b"".join(map(known.__getitem__, chunks))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> WordCodec:
-    return WordCodec(path)
+    return sole(("packing", path), lambda: WordCodec(path))
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, name: str = VOCABULARY, folder: str | None = None) -> DataFrame:

@@ -15,13 +15,12 @@ band. Repeated rows are judged each.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import Chunks, named, small_batches, strings, tokenizer_path
+from tessella.llm.common import Chunks, named, small_batches, sole, strings, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -60,9 +59,8 @@ class Pieces:
         return chars / n, float(counts[self.bytes[at]].sum() / n), float(np.log2(n) - (counts * np.log2(counts)).sum() / n), n
 
 
-@lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return sole(("quality", path), lambda: Pieces(path))
 
 
 def split(text: str) -> list[str]:
