@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.fixed import MODEL_INPUTS, NOISE_PATTERNS, RUN_NAMES
+
 
 def require(condition: Column, value: Column, message: str) -> Column:
     """The value, or an error where the condition doesn't hold."""
@@ -62,7 +64,7 @@ def sample_per_group(rows: DataFrame, group: str, order: Column, tie: str, k: in
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order, tie))).where(F.col("_r") <= k).drop("_r")
 
 
-def run_name(path: Column, renames: dict[str, str]) -> Column:
+def run_name(path: Column, renames: dict[str, str] = RUN_NAMES) -> Column:
     """The first part of a path, with ordered replacements."""
     out = F.split_part(path, F.lit("/"), F.lit(1))
     for old, new in renames.items():
@@ -70,16 +72,15 @@ def run_name(path: Column, renames: dict[str, str]) -> Column:
     return out
 
 
-def infer_inputs(name: Column) -> Column:
-    """How many images a model takes, by its file name."""
-    return F.when(name.contains("7"), 7).when(name.contains("PPX"), 2).otherwise(1)
-
-
-#: Lines with any of these are noise.
-NOISE = ["cuda", r"^\s*$", "warning:", r"\[noise\]"]
+def infer_inputs(name: Column, rules: list[tuple[str, int, str]] = MODEL_INPUTS) -> Column:
+    """(num_inputs, suffixes) of a model by its file name: of the first rule whose text it holds; null if none fits."""
+    out = F.lit(None).cast("struct<num_inputs:int,suffixes:string>")
+    for text, n, suffixes in reversed(rules):
+        out = F.when(F.contains(name, F.lit(text)), F.struct(F.lit(n).alias("num_inputs"), F.lit(suffixes).alias("suffixes"))).otherwise(out)
+    return out
 
 
-def drop_noise(lines: DataFrame, patterns: list[str], line: str = "value") -> DataFrame:
+def drop_noise(lines: DataFrame, patterns: list[str] = NOISE_PATTERNS, line: str = "value") -> DataFrame:
     """Lines that match none of the patterns."""
     return lines.where(~F.coalesce(F.col(line).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays
+from tessella.functions.fixed import VARIANTS
 from tessella.operators import catalog, runs, series
 from tessella.plans import bindings as B
 from tessella.plans.registry import query
@@ -173,11 +174,13 @@ def prj_24(s, d):
     return B.table(s, d, "pages").select("page_id", arrays.clean_key(F.col("url")).alias("key"))
 
 
-@query("prj_25", "SELECT page_id, replace(replace(split_part(regexp_replace(url, '^https?://', ''), '/', 1), 'example', 'run'), '.', '-') AS run FROM pages")
+_VARIANT = "CASE page_id % 4 WHEN 0 THEN 'PPL' WHEN 1 THEN 'PPLPPXblend' WHEN 2 THEN 'PPL+PPXblend' ELSE 'PPL+AllPPX' END"
+
+
+@query("prj_25", f"SELECT page_id, replace(replace(replace(split_part({_VARIANT} || '/' || url, '/', 1), 'PPL+AllPPX', 'PPL+XPL-Stack'), 'PPL+PPXblend', 'PPL+XPL-Comp'), 'PPLPPXblend', 'Full-Comp') AS run FROM pages")
 def prj_25(s, d):
     """Run names: the first part of a path, with ordered replacements."""
-    path = F.regexp_replace("url", "^https?://", "")
-    return B.table(s, d, "pages").select("page_id", catalog.run_name(path, {"example": "run", ".": "-"}).alias("run"))
+    return B.table(s, d, "pages").select("page_id", catalog.run_name(F.concat(F.expr(_VARIANT), F.lit("/"), "url")).alias("run"))
 
 
 @query("prj_26", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'cpu' WHEN p_size % 3 = 1 THEN 'cuda:0' ELSE 'cuda:' || (p_size % 8)::VARCHAR END AS device FROM part")
@@ -245,7 +248,6 @@ def prj_28(s, d):
 
 
 @query("prj_30", "SELECT n_nationkey, n_name, 'runs/' || r_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
-@query("join_14", "SELECT n_nationkey, n_name, 'runs/' || r_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
 def prj_30(s, d):
     """Paths from a registry; what isn't registered is an error."""
     n = B.table(s, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("key"))
@@ -253,10 +255,22 @@ def prj_30(s, d):
     return catalog.lookup(n, r, "key", "path").select("n_nationkey", "n_name", "path")
 
 
-@query("src_27", "SELECT p_partkey, CASE WHEN p_name LIKE '%7%' THEN 7 WHEN p_name LIKE '%PPX%' THEN 2 ELSE 1 END AS num_inputs FROM part")
+_PICK = "CASE p_size % 5 WHEN 0 THEN 'PPL' WHEN 1 THEN 'PPLPPXblend' WHEN 2 THEN 'PPL+PPXblend' WHEN 3 THEN 'PPL+AllPPX' ELSE 'other' END"
+
+
+@query("src_27", f"WITH m AS (SELECT p_partkey, 'unet_' || {_PICK} || '.keras' AS f FROM part) SELECT p_partkey, CASE WHEN contains(f, 'PPL+AllPPX') THEN 7 WHEN contains(f, 'PPL+PPXblend') THEN 2 WHEN contains(f, 'PPL') THEN 1 END AS num_inputs, CASE WHEN contains(f, 'PPL+AllPPX') THEN '_PPL,_PPX1,_PPX2,_PPX3,_PPX4,_PPX5,_PPX6' WHEN contains(f, 'PPL+PPXblend') THEN '_PPL,_PPXblend' WHEN contains(f, 'PPLPPXblend') THEN '_PPLPPXblend' WHEN contains(f, 'PPL') THEN '_PPL' END AS suffixes FROM m")
 def src_27(s, d):
-    """How many images a model takes, by its name."""
-    return B.table(s, d, "part").select("p_partkey", catalog.infer_inputs(F.col("p_name")).alias("num_inputs"))
+    """How many images a model takes, and which, by its file name."""
+    m = B.table(s, d, "part").select("p_partkey", F.concat(F.lit("unet_"), F.expr(_PICK), F.lit(".keras")).alias("f"))
+    return m.select("p_partkey", catalog.infer_inputs(F.col("f")).alias("i")).select("p_partkey", "i.num_inputs", "i.suffixes")
+
+
+@query("join_14", f"SELECT p_partkey, {_PICK} AS variant, CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 6 ELSE 32 END AS channels FROM part WHERE p_size % 5 < 4")
+def join_14(s, d):
+    """Settings of a variant, from the registry of fixed variants."""
+    m = B.table(s, d, "part").where("p_size % 5 < 4").select("p_partkey", F.expr(_PICK).alias("variant"))
+    registry = s.createDataFrame([(v[0], v[3]) for v in VARIANTS], "variant string, channels int")
+    return catalog.lookup(m, registry, "variant", "channels")
 
 
 @query("src_28", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY ALL")

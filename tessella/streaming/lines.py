@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from tessella.functions.fixed import NOISE_PATTERNS
 from tessella.operators.catalog import drop_noise
 
 
@@ -13,7 +14,7 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("text").load(folder)
 
 
-def filter_lines(lines: DataFrame, patterns: list[str]) -> DataFrame:
+def filter_lines(lines: DataFrame, patterns: list[str] = NOISE_PATTERNS) -> DataFrame:
     """A stateless filter: the same plan on a stream and on a table."""
     return drop_noise(lines, patterns)
 

@@ -334,3 +334,12 @@ def test_shared_lines_and_pieces():
     assert polygons.split_by_line(square, [(9.0, -1.0), (9.0, 5.0)]) == [square]
     assert polygons.assign_pieces(parts, [(-2, 0), (-1, 0), (-1, 4), (-2, 4)], [(5, 0), (6, 0), (6, 4), (5, 4)]) == (["a", "b"] if abs(polygons.area(parts[0])) == 4 else ["b", "a"])
     assert polygons.inside(square, (1, 1)) and not polygons.inside(square, (5, 1))
+
+
+def test_fixed_noise_and_inputs(spark):
+    lines = ["Unable to register cuDNN factory: x", "gpu_timer.cc:114] Skipping the delay kernel, measurement accuracy will be reduced", "x (ignoring feature)", "Epoch 1/50", ""]
+    kept = catalog.drop_noise(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert sorted(r["value"] for r in kept) == ["", "Epoch 1/50"]
+    got = spark.createDataFrame([("unet_PPL+AllPPX.keras",), ("unet_PPLPPXblend",), ("x",)], "f string").select(catalog.infer_inputs(F.col("f")).alias("i")).collect()
+    assert [r["i"] and r["i"]["num_inputs"] for r in got] == [7, 1, None]
+    assert one(spark, catalog.run_name(F.lit("PPL+AllPPX/x/tune.csv"))) == "PPL+XPL-Stack"
