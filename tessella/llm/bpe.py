@@ -9,8 +9,8 @@ token as edge tables: which pieces stand at its left and right edge from which r
 has one path that the automaton accepts, and its arc labels are the tokens.
 
 Encoding steps through a pre-split word by table look-ups: at each byte the one accepted token that can end
-there, found over the reversed-suffix table of labels and the arc table (filled from the edges when an arc is
-first asked for). Words met before come from a bounded table of words. Decoding emits arc labels.
+there, found over the table of label ends and the arc table (filled from the edges when an arc is first asked
+for). Words met before come from a bounded table of words. Decoding emits arc labels.
 
 Defined cases: a null text is empty and has no tokens. Special tokens in a text are their ids, as in the public
 library; ``ordinary=True`` makes them ordinary text. Repeated rows are encoded each.
@@ -33,7 +33,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: The public pre-splitting pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and arcs that a worker remembers.
-KNOWN_WORDS, KNOWN_ARCS = 700_000, 1_000_000
+KNOWN_WORDS, RECENT_WORDS, KNOWN_ARCS = 400_000, 300_000, 1_000_000
 LAST = 1 << 40
 
 
@@ -49,7 +49,8 @@ class Automaton:
         """labels: bytes by token; merges: pairs by rank; made: the token that each merge makes."""
         self.labels = labels
         self.single = {label: i for i, label in enumerate(labels) if len(label) == 1}
-        self.rank: dict[tuple[int, int], int] = {}
+        #: Ranks of merges, by right and then left token.
+        self.rank: dict[int, dict[int, int]] = {}
         #: By token: (piece, first rank, last rank) at its left and right edge.
         self.left = {i: ((i, -1, LAST),) for i in self.single.values()}
         self.right = dict(self.left)
@@ -57,15 +58,56 @@ class Automaton:
         self.token = dict(self.single)
         for rank, ((a, b), x) in enumerate(zip(merges, made, strict=True)):
             self.gadget(rank, a, b, x)
-        self.longest = max(map(len, self.token), default=1)
         self.arcs: dict[int, bool] = {}
+        self._tables()
+
+    def _tables(self) -> None:
+        """By node of the labels' trie: where a byte leads, and the tokens (with their lengths) that end there, longest first."""
+        steps: dict[int, int] = {}
+        own: list[int] = [-1]
+        for label, t in self.token.items():
+            node = 0
+            for byte in label:
+                key = node << 8 | byte
+                to = steps.get(key)
+                if to is None:
+                    to = steps[key] = len(own)
+                    own.append(-1)
+                node = to
+            own[node] = t
+        below: list[list[tuple[int, int]]] = [[] for _ in own]
+        for key, to in steps.items():
+            below[key >> 8].append((key & 255, to))
+        back, ends = [0] * len(own), [()] * len(own)
+        level = [0]
+        while level:
+            for node in level:
+                for byte, to in below[node]:
+                    if node:
+                        at = back[node]
+                        while at and (at << 8 | byte) not in steps:
+                            at = back[at]
+                        back[to] = steps.get(at << 8 | byte, 0)
+                    t = own[to]
+                    ends[to] = ((t, len(self.labels[t])), *ends[back[to]]) if t >= 0 else ends[back[to]]
+            level = [to for node in level for _, to in below[node]]
+        self.steps, self.back, self.ends = steps, back, ends
+
+    def step(self, node: int, byte: int) -> int:
+        """The table's entry; entries of other than trie arcs are filled when first asked for."""
+        key, at = node << 8 | byte, node
+        while (to := self.steps.get(at << 8 | byte)) is None and at:
+            at = self.back[at]
+        self.steps[key] = to = to or 0
+        return to
 
     def gadget(self, rank: int, a: int, b: int, x: int) -> None:
         """Add the arc of the merge of a and b; from now on they aren't read apart where both stand free."""
-        if a not in self.left or b not in self.left or (a, b) in self.rank:
+        ranks = self.rank.setdefault(b, {})
+        if a not in self.left or b not in self.left or a in ranks:
             return
         read = self.accepts(a, b)  # else no path reads a and b side by side, and the merge never makes a token
-        self.rank[a, b] = rank
+        ranks[a] = rank
         if not read or x in self.left:
             return
         self.left[x] = ((x, rank, LAST), *((p, since, min(until, rank)) for p, since, until in self.left[a]))
@@ -74,13 +116,15 @@ class Automaton:
 
     def accepts(self, x: int, y: int) -> bool:
         """Whether an arc y leaves the state x: no gadget took it away."""
-        rank = self.rank
-        for a, since_a, until_a in self.right[x]:
-            for b, since_b, until_b in self.left[y]:
-                r = rank.get((a, b))
-                # of two merges of one rank the left one comes first
-                if r is not None and since_a < r < until_a and since_b < r <= until_b:
-                    return False
+        right, rank = self.right[x], self.rank
+        for b, since_b, until_b in self.left[y]:
+            ranks = rank.get(b)
+            if ranks:
+                for a, since_a, until_a in right:
+                    r = ranks.get(a)
+                    # of two merges of one rank the left one comes first
+                    if r is not None and since_a < r < until_a and since_b < r <= until_b:
+                        return False
         return True
 
     def word(self, word: bytes) -> tuple[int, ...]:
@@ -88,21 +132,21 @@ class Automaton:
         whole = self.token.get(word)
         if whole is not None:
             return (whole,)
-        token, arcs, longest = self.token, self.arcs, self.longest
+        arcs, steps, ends = self.arcs, self.steps, self.ends
         last: list[int] = []  # by end, the token that the accepted path of the prefix ends with
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                t = token.get(word[start:end])
-                if t is None:
-                    continue
-                if not start:
+        node = 0
+        for end, byte in enumerate(word):
+            to = steps.get(node << 8 | byte)
+            node = self.step(node, byte) if to is None else to
+            for t, length in ends[node]:
+                if length > end:
                     break
-                arc = last[start - 1] << 20 | t
+                arc = last[end - length] << 20 | t
                 ok = arcs.get(arc)
                 if ok is None:
                     if len(arcs) >= KNOWN_ARCS:
                         arcs.clear()
-                    ok = arcs[arc] = self.accepts(last[start - 1], t)
+                    ok = arcs[arc] = self.accepts(last[end - length], t)
                 if ok:
                     break
             last.append(t)
@@ -114,16 +158,22 @@ class Automaton:
 
 
 class Words(dict):
-    """Tokens by word, bounded."""
+    """Tokens by word: the first ``KNOWN_WORDS`` stay, as frequent words come early; of the others the late ones."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.recent = automaton, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        ids = self[word] = self.automaton.word(word.encode("utf-8", "surrogatepass"))
+        ids = self.recent.get(word)
+        if ids is None:
+            ids = self.automaton.word(word.encode("utf-8", "surrogatepass"))
+            if len(self) < KNOWN_WORDS:
+                self[word] = ids
+            else:
+                if len(self.recent) >= RECENT_WORDS:
+                    self.recent.clear()
+                self.recent[word] = ids
         return ids
 
 
