@@ -1,27 +1,21 @@
-"""Components of small groups' graphs, over all groups at once."""
+"""Connected components of graphs, over all groups of keys at once."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 60
-
+from tessella.sources.shared import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # only where the cluster names none, as in tests
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+ROUNDS = 60
 
 
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, root) of every end of an edge (keys, a, b); root is the smallest id reachable.
 
-    Large-star and small-star steps until nothing changes; state stays in the cluster.
+    Large-star and small-star steps until nothing changes. State stays in the cluster, each round cuts the lineage
+    with a reliable checkpoint, and a hub's edges are read by joins that can be split and by sums with map-side
+    combining. Edges with a null end or from an id to itself are ignored, repeated ones count once.
     """
     e = edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct()
     e, before = cut(e), None
@@ -36,5 +30,7 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError("components didn't settle")
     low = e.groupBy(*keys, "u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
     return low.unionByName(e.select(*keys, F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -1,4 +1,4 @@
-"""Tables written to the folder that driver and executors share, and read back."""
+"""Checkpoints and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        # a folder of its own only where the cluster names none, as in tests
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder below the shared one that the cluster names; a local one only where it names none."""
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
