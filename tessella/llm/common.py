@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -11,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import cut
+
+__all__ = ["Chunks", "cut", "mix", "named", "small_batches", "sole", "strings", "table", "tokenizer_path", "words_of"]
+
 #: Rows of one Arrow batch; a batch of very long texts stays in a worker's memory.
 BATCH_ROWS = 1024
 #: Chunks of text whose ids a worker remembers for good, and those of late.
@@ -28,14 +31,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # only where the cluster names none, as in tests
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """A public vocabulary file, in ``folder`` or where the installed package of public tokenizers has it."""
     if folder:

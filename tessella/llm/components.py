@@ -1,47 +1,13 @@
-"""Connected components of links, by alternating large-star and small-star steps over DataFrames.
-
-Links and labels stay in the cluster; each step cuts the lineage with a reliable checkpoint. A hub's links are
-read by a join that can be split and by sums with map-side combining.
-"""
+"""Connected components of links between documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
-
-ROUNDS = 60
+from tessella.operators import graph
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component_id) of every id that has a link; component_id is the smallest id reachable.
-
-    Links with a null end or from an id to itself are ignored, and repeated links count once.
-    """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = cut(edges.distinct())
-    before = None
-    for _ in range(ROUNDS):
-        edges = cut(_small_star(_large_star(edges)))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    else:
-        raise RuntimeError("components didn't settle")
-    return edges.groupBy("u").agg(F.min("v").alias("component_id")).select(F.col("u").alias("id"), "component_id").union(edges.select("v", "v").distinct())
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each larger neighbour of an id is linked to the smallest of the id and its neighbours."""
-    both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """An id and its smaller neighbours are linked to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least).distinct()
+    """(id, component_id) of every id that has a link; component_id is the smallest id reachable."""
+    return graph.components(links.select(F.col(a).alias("a"), F.col(b).alias("b")), []).withColumnRenamed("root", "component_id")
