@@ -114,18 +114,17 @@ def _classes(words: pa.ListScalar, tails: bytes, top: pa.Array) -> np.ndarray:
     return np.where(own >= 0, own, np.frombuffer(tails, np.uint8)).astype(np.int64)
 
 
-def _unpacked(batch: pa.RecordBatch, i: int, top: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, lengths, the words' classes and, by token, the cell of its class trigram."""
+def _unpacked(batch: pa.RecordBatch, i: int, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, lengths and, by token, the cell of its class trigram; kinds: the class of each word of the block."""
     codes = np.frombuffer(zstandard.decompress(batch.column("codes")[i].as_py()), np.uint32)
     lengths = batch.column("lengths")[i].values.to_numpy()
-    kinds = _classes(batch.column("words")[i], batch.column("tails")[i].as_py(), top)
     target = kinds[codes]
     near, far = np.full(len(target), START), np.full(len(target), START)
     near[1:], far[2:] = target[:-1], target[:-2]
     starts = np.cumsum(lengths) - lengths
     near[starts] = far[starts] = START
     far[starts[lengths > 1] + 1] = START
-    return codes, lengths, kinds, (far * CONTEXTS + near) * CLASSES + target
+    return codes, lengths, (far * CONTEXTS + near) * CLASSES + target
 
 
 def class_trigrams(blocks: DataFrame, top: list[str]) -> DataFrame:
@@ -136,7 +135,7 @@ def class_trigrams(blocks: DataFrame, top: list[str]) -> DataFrame:
         total = np.zeros(CONTEXTS * CONTEXTS * CLASSES, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                _, lengths, _, cells = _unpacked(batch, i, values)
+                _, lengths, cells = _unpacked(batch, i, _classes(batch.column("words")[i], batch.column("tails")[i].as_py(), values))
                 learn = np.repeat(~np.array(batch.column("held")[i].as_py(), bool), lengths)
                 total += np.bincount(cells[learn], minlength=len(total))
         at = np.flatnonzero(total)
@@ -223,7 +222,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         unseen[n_class == 0] = 1.0
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, lengths, kinds, cells = _unpacked(batch, i, values)
+                kinds = np.frombuffer(batch.column("tails")[i].as_py(), np.uint8).astype(np.int64)
+                own = batch.column("tops")[i].values
+                if own is not None and len(own):
+                    kinds[own.to_numpy() >> 8] = own.to_numpy() & 255
+                codes, lengths, cells = _unpacked(batch, i, kinds)
                 c = np.zeros(len(kinds), np.int64)
                 found = batch.column("found")[i].values
                 if found is not None and len(found):
@@ -239,11 +242,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
+    # a block gets its words' counts and the classes of its frequent words by place; its words needn't travel again
     at = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    packed = (F.shiftleft(F.col("pos").cast("long"), 40) + F.col("c")).alias("packed")
-    found = at.join(counts, "word").select("block", packed).groupBy("block").agg(F.collect_list("packed").alias("found"))
-    joined = blocks.drop("counts").join(found.hint("shuffle_hash"), "block", "left")
-    return joined.select("doc_ids", "held", "lengths", "codes", "words", "tails", "found").mapInArrow(scored, SCORES)
+    ranks = F.create_map(*[F.lit(x) for k, w in enumerate(top) for x in (w, k)])
+    known = counts.withColumn("rank", ranks[F.col("word")])
+    pos = F.col("pos").cast("long")
+    found = at.join(known, "word").select("block", (F.shiftleft(pos, 40) + F.col("c")).alias("packed"), (F.shiftleft(pos, 8) + F.col("rank")).alias("top"))
+    found = found.groupBy("block").agg(F.collect_list("packed").alias("found"), F.collect_list("top").alias("tops"))
+    joined = blocks.drop("counts", "words").join(found.hint("shuffle_hash"), "block", "left")
+    return joined.select("doc_ids", "held", "lengths", "codes", "tails", "found", "tops").mapInArrow(scored, SCORES)
 
 
 def _class_sizes(counts: DataFrame, top: pa.Array) -> tuple[np.ndarray, np.ndarray]:
