@@ -91,10 +91,10 @@ def lim_11(s, d):
     return B.table(s, d, "documents").select("doc_id").orderBy(F.rand(7))
 
 
-@query("flt_15", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND event_id % 5 <> 0")
+@query("flt_15", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND value >= 10")
 def flt_15(s, d):
-    """Rows without NaN or null."""
-    e = B.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, float("nan")).otherwise(F.col("value")).alias("value"))
+    """Rows without NaN or null; values below ten are made NaN, so that there are some."""
+    e = B.table(s, d, "events").select("event_id", F.when(F.col("value") < 10, float("nan")).otherwise(F.col("value")).alias("value"))
     return e.where(~F.isnan("value")).dropna()
 
 
@@ -265,10 +265,13 @@ def src_27(s, d):
     return m.select("p_partkey", catalog.infer_inputs(F.col("f")).alias("i")).select("p_partkey", "i.num_inputs", "i.suffixes")
 
 
-@query("join_14", f"SELECT p_partkey, {_PICK} AS variant, CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 6 ELSE 32 END AS channels FROM part WHERE p_size % 5 < 4")
+_KNOWN = "CASE p_size % 4 WHEN 0 THEN 'PPL' WHEN 1 THEN 'PPLPPXblend' WHEN 2 THEN 'PPL+PPXblend' ELSE 'PPL+AllPPX' END"
+
+
+@query("join_14", f"SELECT p_partkey, {_KNOWN} AS variant, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 6 ELSE 32 END AS channels FROM part")
 def join_14(s, d):
     """Settings of a variant, from the registry of fixed variants."""
-    m = B.table(s, d, "part").where("p_size % 5 < 4").select("p_partkey", F.expr(_PICK).alias("variant"))
+    m = B.table(s, d, "part").select("p_partkey", F.expr(_KNOWN).alias("variant"))
     registry = s.createDataFrame([(v[0], v[3]) for v in VARIANTS], "variant string, channels int")
     return catalog.lookup(m, registry, "variant", "channels")
 
