@@ -93,4 +93,4 @@ class Chunks(dict):
         """The chunks of these texts that need ids now."""
         if len(self.recent) > RECENT_CHUNKS:
             self.recent.clear()
-        return [c for c in set().union(*texts) if c not in self and c not in self.recent]
+        return list(set().union(*texts).difference(self, self.recent))

@@ -14,13 +14,13 @@ Defined cases: a null or empty text is the end id alone. Repeated rows and null
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,11 @@ from tessella.llm.common import Chunks, named, small_batches, sole, strings, tok
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 LENGTH, GROUP = 4096, 4096
-#: Characters that str.split takes for white space and the vocabulary doesn't, and openers of special tokens.
-ODD = regex.compile(r"[\x1c-\x1f]|<\|")
+SEPARATOR = "\x01"
+#: Marks that are tokens apart from letters before them, and the end of the letters whose lower case is a letter by itself.
+MARKS, LATIN_END = ".,;:!?\"'()[]{}|%*$#&", "\u0100"
+#: Characters that str.split takes for white space and the vocabulary doesn't, the separator, and openers of special tokens.
+ODD = re.compile(r"[\x01\x1c-\x1f]|<\|")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -45,18 +48,49 @@ class WordCodec:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known = Chunks()
+        (self.separator,) = self.library.encode(SEPARATOR, add_special_tokens=False).ids
+        self.known, self.parts = Chunks(), Chunks()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk: chunks are joined by a separator, which is a token of its own, as a call for each takes longer."""
+        out: list[bytes] = []
+        for i in range(0, len(chunks), 2000):
+            raw = self.whole([f" {SEPARATOR} ".join(chunks[i : i + 2000])])[0]
+            start = 0
+            for at in (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.separator)).tolist():
+                out.append(raw[start:at])
+                start = at + 4
+            out.append(raw[start:])
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of new chunks: letters in lower case and marks after them are tokens apart, so most are put together from known parts."""
+        cores, tails = [], []
+        for chunk in new:
+            core = chunk.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < LATIN_END):
+                cores.append(core.lower())
+                tails.append(chunk[len(core) :])
+            else:
+                cores.append(chunk)
+                tails.append("")
+        known = self.parts
+        asked = known.new([cores, tails])
+        if "" in asked:
+            asked.remove("")
+            known.add([""], [b""])
+        known.add(asked, self.chunks(asked) if asked else [])
+        own = known.__getitem__
+        self.known.add(new, [own(core) + own(tail) if tail else own(core) for core, tail in zip(cores, tails, strict=True)])
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; unknown chunks of all texts go to the library together."""
         plain = [None if ODD.search(x) else x.split() for x in texts]
+        self.learn(self.known.new(x for x in plain if x))
         known = self.known
-        new = known.new(x for x in plain if x)
-        for i in range(0, len(new), 20_000):
-            known.add(new[i : i + 20_000], self.whole(new[i : i + 20_000]))
         for text, chunks in zip(texts, plain, strict=True):
             yield self.whole([text])[0] if chunks is None else b"".join(map(known.__getitem__, chunks))
 
