@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +93,41 @@ def folds(regions: DataFrame, keys: list[str], region: str, k: int) -> DataFrame
     """Add fold 0..k-1: regions in a fixed shuffled order are dealt in turn."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(region), region))
     return regions.withColumn("fold", (place - 1) % k)
+
+
+def seeded_split(coverages, fraction: float, seed: int, bins: int) -> tuple[list[int], list[int]]:
+    """(training, validation) regions of one bounded list of coverages, in NumPy's shuffled order of the seed.
+
+    For the same draws as in earlier splits; ``stratified_split`` is the form for tables. Bins are used if each has
+    two regions and both sides can hold one of each; then regions go to validation by their turn in their bin, each
+    bin keeps one, and what is still wanted comes in shuffled order.
+    """
+    cover = np.asarray(coverages)
+    if not 0 < fraction < 1 or cover.ndim != 1 or not np.isfinite(cover).all():
+        raise ValueError("the fraction lies between 0 and 1, and coverages are a list of finite numbers")
+    eligible = np.flatnonzero(cover >= ELIGIBLE)
+    n = len(eligible)
+    if n < 2:
+        raise ValueError("at least two regions must be covered enough")
+    wanted = min(max(math.ceil(n * fraction), 1), n - 1)
+    shuffled = eligible.copy()
+    np.random.default_rng(seed).shuffle(shuffled)
+    used = min(bins, max(1, n // max(2, math.ceil(1 / fraction))))
+    edges = np.quantile(cover[eligible], np.linspace(0, 1, used + 1))
+    alike = used <= 1 or np.allclose(edges, edges[0])
+    of = dict(zip(eligible.tolist(), [0] * n if alike else np.digitize(cover[eligible], edges[1:-1], right=True).tolist(), strict=True))
+    sizes = np.bincount(list(of.values()))
+    order = shuffled.tolist()
+    if sizes.min() >= 2 and np.count_nonzero(sizes) <= min(wanted, n - wanted):
+        seen: dict[int, int] = {}
+        first: dict[int, int] = {}
+        turns = []
+        for i in order:
+            b = of[i]
+            turn = seen[b] = seen.get(b, -1) + 1
+            if turn == 0 or turn < sizes[b] - 1:
+                turns.append((turn, first.setdefault(b, len(first)), i))
+        chosen = [i for _, _, i in sorted(turns)]
+        order = [*chosen, *sorted(set(order) - set(chosen), key=order.index)]
+    val = sorted(order[:wanted])
+    return sorted(set(range(len(cover))) - set(val)), val

@@ -343,3 +343,19 @@ def test_fixed_noise_and_inputs(spark):
     got = spark.createDataFrame([("unet_PPL+AllPPX.keras",), ("unet_PPLPPXblend",), ("x",)], "f string").select(catalog.infer_inputs(F.col("f")).alias("i")).collect()
     assert [r["i"] and r["i"]["num_inputs"] for r in got] == [7, 1, None]
     assert one(spark, catalog.run_name(F.lit("PPL+AllPPX/x/tune.csv"))) == "PPL+XPL-Stack"
+
+
+def test_seeded_split_goldens():
+    assert grid.seeded_split([0, 0.12, 0.18, 0.25, 0.31], 0.5, 7, 4) == ([0, 2, 4], [1, 3])
+    for fraction in (0.34, 0.99):
+        assert grid.seeded_split([0.11, 0.12, 0.13, 0.0], fraction, 0, 4) == ([1, 3], [0, 2])
+    assert grid.seeded_split(np.array([np.nextafter(0.1, 0), np.nextafter(0.1, 1), 0.2]), 0.5, 0, 4) == ([0, 2], [1])
+    for bad in ([0, 0.09, np.float32(0.1)], [0.2, float("nan"), 0.3], [[0.2, 0.3]]):
+        with pytest.raises(ValueError):
+            grid.seeded_split(bad, 0.5, 0, 4)
+    rng = np.random.default_rng(5)
+    for seed in range(20):
+        cover = rng.random(30).astype(np.float32)
+        train, val = grid.seeded_split(cover, 0.25, seed, 4)
+        n = int((cover >= 0.1).sum())
+        assert sorted(train + val) == list(range(30)) and len(val) == int(np.ceil(n * 0.25)) and (cover[val] >= 0.1).all()
