@@ -256,3 +256,10 @@ def test_pipeline_equals_brute_force(spark, data):
 def test_all_queries_are_registered():
     numbers = [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES if k.startswith("op")]
     assert sorted(numbers) == list(range(1, 11)) and "pipeline" in queries.QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, data, name):
+    from oracle import connect, duck_rows, spark_rows
+
+    assert spark_rows(queries.QUERIES[name](spark, data)) == duck_rows(connect(data), queries.ORACLES[name])
