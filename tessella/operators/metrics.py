@@ -133,18 +133,17 @@ def average_precision(truths: list[tuple[int, float]], found: list[tuple[int, fl
         count = int((~ignored).sum())
         table = np.array([[iou.get((t, p), 0.0) for t, _ in order] for p, _, _ in found]).reshape(len(found), len(order))
         outside = np.array([not low <= a < high for _, a, _ in found], bool)
+        # detections are matched best first, so fewer of them are a prefix of the same matching
+        matches = [_matched(table, ignored, tau) for tau in AP_TAUS] if count else []
         for most in (1, 10, 100):
             precisions, recalls = [], []
-            for tau in AP_TAUS:
-                if not count:
-                    continue
-                hit, ign = _matched(table[:most], ignored, tau)
-                ign |= ~hit & outside[:most]
+            for hit, ign in matches:
+                hit, ign = hit[:most], ign[:most] | ~hit[:most] & outside[:most]
                 tp, fp = np.cumsum(hit & ~ign), np.cumsum(~hit & ~ign)
                 recall, precision = tp / count, tp / np.maximum(tp + fp, np.spacing(1))
                 precision = np.maximum.accumulate(precision[::-1])[::-1]
                 at = np.searchsorted(recall, np.linspace(0, 1, 101), side="left")
-                precisions.append([precision[i] if i < len(precision) else 0.0 for i in at])
+                precisions.append(np.append(precision, 0.0)[np.minimum(at, len(precision))])
                 recalls.append(recall[-1] if len(recall) else 0.0)
             out[name, most] = (np.array(precisions), np.array(recalls))
     mean = lambda x: float(np.mean(x)) if len(x) else -1.0
