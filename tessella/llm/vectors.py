@@ -4,12 +4,13 @@ A vector's code is the signs of its unit vector under ``ROTATIONS`` random rotat
 factor <code, rotated vector>: <code, q> / factor is an unbiased estimate of the inner product with any q, and its
 error has a bound that the factor gives. Estimates with their upper bounds decide which pairs need the exact cosine.
 
-Equal vectors become one with a weight. Buckets of a few code bits, in enough tables that a pair at the threshold
-shares one with ``RECALL``, hold the candidates; the number of bits grows with the number of vectors, so buckets
-stay small. A bucket is one cell or, where it is large, a cell for each pair of its blocks. In a cell codes and
+Equal vectors become one with a weight. Buckets hold the candidates. A bucket's bits are the sides of random planes,
+drawn anew for each bit of each table, so tables are independent for every pair and one at the threshold shares no
+bucket with a probability of ``MISS`` at most, at any number of vectors; closer pairs are missed less. The number of
+bits grows with the number of vectors, so buckets stay small. A bucket is one cell or, where it is large, a cell for each pair of its blocks. In a cell codes and
 8-bit vectors give the estimates; only vectors with a partner above the bound go on, with their full components,
 to the exact step, which counts links and joins components inside the cell: pairs are never emitted. A pair counts
-in the first table in which its codes share a bucket.
+in the first table in which it shares a bucket.
 
 Defined cases: null vectors, those of another length than the most, zero vectors, and vectors with null or
 non-finite components link with nothing; rows that share an id are one vector, linked through any of them;
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, named
 from tessella.llm.components import components
 
-ROTATIONS, RECALL, BOUND = 4, 0.9995, 5.0
+ROTATIONS, MISS, BOUND = 4, 1e-6, 5.0
 #: Vectors that a bucket should have, and the most of a block.
 BUCKET, BLOCK = 512, 1024
 
@@ -44,13 +45,21 @@ def rotations(dim: int, seed: int = 11) -> np.ndarray:
     return np.hstack(parts) / math.sqrt(ROTATIONS)
 
 
-def plan(n: int, threshold: float, dim: int, seed: int = 5) -> np.ndarray:
-    """The code bits of each table: (tables, bits)."""
+def plan(n: int, threshold: float) -> tuple[int, int]:
+    """How many tables, and bits of each."""
     agree = 1 - math.acos(threshold) / math.pi
-    bits = max(4, min(40, ROTATIONS * dim, math.ceil(math.log2(max(n, 2) / BUCKET))))
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**bits))
-    r = np.random.default_rng(seed)
-    return np.stack([r.choice(ROTATIONS * dim, bits, replace=False) for _ in range(tables)])
+    bits = max(4, min(40, math.ceil(math.log2(max(n, 2) / BUCKET))))
+    return math.ceil(math.log(MISS) / math.log1p(-(agree**bits))), bits
+
+
+def planes(dim: int, tables: int, bits: int, seed: int = 5) -> np.ndarray:
+    """(dim, tables * bits): independent random directions."""
+    return np.random.default_rng(seed).normal(size=(dim, tables * bits))
+
+
+def bucket_keys(sides: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """(vectors, tables): the bucket of each vector in each table, from its sides of the planes."""
+    return sides.reshape(len(sides), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,17 +105,19 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     n = heads.count()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    turn, chosen = rotations(dim), plan(n, threshold, dim)
+    turn, (tables, width) = rotations(dim), plan(n, threshold)
+    cuts = planes(dim, tables, width)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = 1 << np.arange(chosen.shape[1], dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                bits, factor, small = encode(_unit(batch.column("embedding").flatten(), dim), turn)
-                keys = np.stack([bits[:, t] @ places for t in chosen], 1) + (np.arange(len(chosen), dtype=np.int64) << 42)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), _packed(bits), pa.array(factor.astype(np.float32)), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "code", "factor", "small", "keys"])
+                x = _unit(batch.column("embedding").flatten(), dim)
+                bits, factor, small = encode(x, turn)
+                sides = x @ cuts >= 0
+                keys = bucket_keys(sides, tables, width) + (np.arange(tables, dtype=np.int64) << 42)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _packed(bits), pa.array(factor.astype(np.float32)), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), _packed(sides)], ["id", "code", "factor", "small", "keys", "sides"])
 
-    codes = cut(heads.select("id", "embedding").mapInArrow(coded, "id long, code binary, factor float, small binary, keys array<bigint>"))
+    codes = cut(heads.select("id", "embedding").mapInArrow(coded, "id long, code binary, factor float, small binary, keys array<bigint>, sides binary"))
     keyed = codes.select("id", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -116,8 +127,8 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     cells = cut(placed.select(cell.alias("cell"), "block", "id"))
     rows_in = cells.join(codes.select("id", "code", "factor", "small"), "id").select("cell", "block", "id", "code", "factor", "small")
     active = rows_in.repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_cell(_estimated(turn, threshold)), "cell string, block int, id long")
-    exact_in = active.join(heads.select("id", "embedding", "weight"), "id").join(codes.select("id", "code"), "id").select("cell", "block", "id", "embedding", "weight", "code")
-    exact = cut(exact_in.repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_cell(_exact(dim, threshold, chosen)), "id long, links long, low long"))
+    exact_in = active.join(heads.select("id", "embedding", "weight"), "id").join(codes.select("id", "sides"), "id").select("cell", "block", "id", "embedding", "weight", "sides")
+    exact = cut(exact_in.repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_cell(_exact(dim, threshold, tables, width)), "id long, links long, low long"))
     linked = components(exact.select(F.col("id").alias("a"), F.col("low").alias("b")).union(_same(usable, heads)))
     total = exact.groupBy("id").agg(F.sum("links").alias("links"))
     by_vector = heads.select("hash", F.col("embedding").alias("e"), "id", "weight").join(total, "id", "left").select("hash", "e", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
@@ -200,16 +211,15 @@ def _estimated(turn: np.ndarray, threshold: float):
     return work
 
 
-def _exact(dim: int, threshold: float, chosen: np.ndarray):
+def _exact(dim: int, threshold: float, tables: int, width: int):
     """By row of a cell, the weight of its links that count here and the smallest id they reach here."""
 
     def work(cell: pa.Table) -> Iterator[pa.RecordBatch]:
         first, second, same = _sides(cell)
         table = int(cell["cell"][0].as_py().split(":")[0]) >> 42
         x = _unit(cell["embedding"].combine_chunks().flatten(), dim)
-        bits = np.unpackbits(_bytes(cell["code"], np.uint8), axis=1)
-        places = 1 << np.arange(chosen.shape[1], dtype=np.int64)
-        keys = np.stack([bits[:, t].astype(np.int64) @ places for t in chosen[:table]], 1) if table else np.zeros((len(x), 0), np.int64)
+        sides = np.unpackbits(_bytes(cell["sides"], np.uint8), axis=1)[:, : tables * width].astype(np.int64)
+        keys = bucket_keys(sides, tables, width)[:, :table]
         ids, weight = cell["id"].to_numpy(), cell["weight"].to_numpy()
         links, low = np.zeros(len(x), np.int64), np.arange(len(x))
         for at in range(0, len(first), 256):

@@ -1,11 +1,13 @@
 """Sharding, packing, near-duplicates, components and the pipeline against brute force and on odd input."""
 
 import collections
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import components, minhash, packing, queries, sharding, vectors
@@ -225,6 +227,34 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vector_pairs_at_the_threshold_are_found(spark):
+    r = np.random.default_rng(12)
+    x, y = r.normal(size=(2, 10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    close = 0.9005 * x + math.sqrt(1 - 0.9005**2) * y
+    flat = pa.array(np.concatenate([x, close]).astype(np.float32).ravel())
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": pa.ListArray.from_arrays(np.arange(0, 20_001 * 64, 64, dtype=np.int32), flat)}))
+    got = vectors.near_duplicates(df).toPandas().set_index("vec_id")
+    assert (got["n_links"] == 1).all()
+    assert (got["component_id"] == got.index % 10_000).all()
+
+
+@pytest.mark.parametrize("n", [2_000, 10**7])
+def test_vector_tables_are_independent(n):
+    r = np.random.default_rng(13)
+    cuts = vectors.planes(64, *vectors.plan(n, 0.9))
+    missed = 0
+    for _ in range(10):
+        x, y = r.normal(size=(2, 2_000, 64))
+        y -= (x * y).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+        y *= np.linalg.norm(x, axis=1, keepdims=True) / np.linalg.norm(y, axis=1, keepdims=True)
+        a, b = (vectors.bucket_keys(v @ cuts >= 0, *vectors.plan(n, 0.9)) for v in (x, 0.9 * x + math.sqrt(0.19) * y))
+        missed += (~(a == b).any(1)).sum()
+    assert missed == 0
+
+
 def test_vector_estimates_are_unbiased():
     r = np.random.default_rng(8)
     turn = vectors.rotations(64)
