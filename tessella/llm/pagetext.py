@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from tessella.llm.common import named, small_batches, strings
 
 DEPTH = 256
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Quotes count only around a value: a stray one is part of a name or of a value without quotes.
+VALUE = r"\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:{VALUE})?)?)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*)(?:\s*=\s*({VALUE})?)?")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -262,32 +264,63 @@ def _raw(node: Node) -> Iterator[str]:
             yield from _raw(x)
 
 
-def _rows(node: Node) -> Iterator[Node]:
+TABLE_PARTS = frozenset("tr td th thead tbody tfoot caption".split())
+
+
+def _holds_parts(node: Node) -> bool:
+    """Whether rows, cells or a caption hang below a node that isn't their place, such as a form."""
+    return any(isinstance(x, Node) and not x.hidden and (x.tag in TABLE_PARTS or x.tag != "table" and _holds_parts(x)) for x in node.children)
+
+
+def _parts(node: Node, rows: list[list[Node]], captions: list[Node], loose: list[Node], row: list[Node] | None = None) -> None:
+    """The rows of cells, the captions, and all other content of a table, which becomes a block by stretch."""
+    apart = True
     for x in node.children:
-        if isinstance(x, Node) and not x.hidden:
-            if x.tag == "tr":
-                yield x
-            elif x.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(x)
+        if isinstance(x, Node) and x.hidden:
+            continue
+        tag = "" if isinstance(x, str) else x.tag
+        if tag == "caption":
+            captions.append(x)
+        elif tag in ("td", "th"):
+            if row is None:
+                rows.append(row := [])
+            row.append(x)
+        elif tag == "tr":
+            row = None
+            rows.append(own := [])
+            _parts(x, rows, captions, loose, own)
+        elif tag in ("thead", "tbody", "tfoot", "colgroup"):
+            row = None
+            _parts(x, rows, captions, loose)
+        elif tag not in ("", "table") and _holds_parts(x):
+            _parts(x, rows, captions, loose, row)
+        else:
+            if apart:
+                loose.append(Node("div"))
+            loose[-1].children.append(x)
+            apart = False
+            continue
+        apart = True
 
 
 def table_lines(node: Node, depth: int) -> list[str]:
-    """Cells of a column start at the same place; a cell's lines stay below each other; column spans are kept free."""
-    out: list[str] = []
-    loose = Node("div")
-    for x in node.children:
-        if isinstance(x, Node) and x.tag == "caption" and not x.hidden:
-            out += lines_of(x, depth + 1)
-        elif isinstance(x, str) or x.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col"):
-            loose.children.append(x)
-    out = lines_of(loose, depth + 1) + out
+    """Cells of a column start at the same place; a cell's lines stay below each other; column spans are kept free.
+
+    What is in no cell comes first, then captions, then the rows.
+    """
+    rows: list[list[Node]] = []
+    captions: list[Node] = []
+    outside = Node("div")
+    _parts(node, rows, captions, outside.children)
+    out = lines_of(outside, depth + 1)
+    for x in captions:
+        out += lines_of(x, depth + 1)
     grid: list[list[tuple[list[str], int]]] = []
-    for row in _rows(node):
+    for row in rows:
         cells = []
-        for x in row.children:
-            if isinstance(x, Node) and not x.hidden and x.tag in ("td", "th"):
-                span = attributes(x.attrs).get("colspan", "1") if x.attrs else "1"
-                cells.append((lines_of(x, depth + 1), min(int(span), 100) if span.isdecimal() and len(span) < 9 and int(span) else 1))
+        for x in row:
+            span = attributes(x.attrs).get("colspan", "1") if x.attrs else "1"
+            cells.append((lines_of(x, depth + 1), min(int(span), 100) if span.isdecimal() and len(span) < 9 and int(span) else 1))
         grid.append(cells)
     widths: list[int] = []
     for cells in grid:

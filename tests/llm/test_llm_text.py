@@ -123,6 +123,34 @@ def test_html_rendering(html, text):
     assert pagetext.render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><form><td>a<td>b</form><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tbody><form><tr><td>a<td>b</form></table>", "a  b"),
+        ("<table><tr>text<td>a<tr>more<td>b</table>", "text\nmore\na\nb"),
+        ("<table><tbody>text<tr><td>a</table>", "text\na"),
+        ("<p title='it's'>Hello, it isn't so</p>", "Hello, it isn't so"),
+        ("<p a=b\"c>x \"y\" z</p>", 'x "y" z'),
+        ("<p title='a > b' hidden>x</p>y", "y"),
+        ("<p title = \"a > b\">x</p>", "x"),
+        ("<p title=\"open>x y</p>", "x y"),
+    ],
+)
+def test_html_malformed_tables_and_quotes(html, text):
+    assert pagetext.render(html) == text
+
+
+def test_html_loses_no_visible_word():
+    r = random.Random(4)
+    marks = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<form>", "</form>", "<tbody>", "<thead>", "<colgroup>", "<col>", "<caption>", "<div>", "</div>", "<b>", "</b>", "<p>", "<p title='it's'>", '<i a="b"c">', "<ul>", "<li>", "<pre>", "</pre>"]
+    for _ in range(3000):
+        n = r.randint(5, 40)
+        page = "".join(f"{r.choice(marks)} w{i} isn't " if r.random() < 0.6 else r.choice(marks) for i in range(n))
+        want = re.findall(r"w\d+", re.sub(r"<[^>]*>", " ", page))
+        assert sorted(re.findall(r"w\d+", pagetext.render(page))) == sorted(want), page
+
+
 def test_html_deep_and_random_input(spark):
     assert pagetext.render("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert pagetext.render("<table><tr><td>" * 1000 + "x") == "x"
