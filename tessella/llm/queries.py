@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, chat, lm, minhash, packing, pagetext, quality, sharding, toxicity, vectors
 from tessella.llm.common import table
+from tessella.sources.shared import folder
 
 SHARDS = 24
 #: A conversation whose texts hold the template's own control strings.
@@ -38,8 +39,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = sharding.first_map(SHARDS)
-    return sharding.place(sharding.slotted(table(spark, sf_dir, "documents")), first, sharding.grow(first))
+    maps = folder(spark)
+    sharding.store_map(spark, maps, 1, sharding.first_map(SHARDS))
+    first = sharding.load_map(spark, maps, 1)
+    sharding.store_map(spark, maps, 2, sharding.grow(first))
+    return sharding.place(sharding.slotted(table(spark, sf_dir, "documents")), first, sharding.load_map(spark, maps, 2))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

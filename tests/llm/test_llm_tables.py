@@ -80,6 +80,39 @@ def test_sharding_maps(spark, tmp_path):
     assert sharding.load_map(spark, str(tmp_path / "map"), 2) == two and sharding.load_map(spark, str(tmp_path / "map"), 1) == one
 
 
+def test_sharding_rebalances_by_summed_bytes(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, "x" * r.randrange(400)) for i in range(3000)]
+    slotted = sharding.slotted(documents(spark, rows), slots=96)
+    sizes = {x["virtual_slot"]: (x["bytes"], x["rows"]) for x in sharding.slot_sizes(slotted).collect()}
+    want = collections.defaultdict(lambda: (0, 0))
+    slot_of = {x["doc_id"]: x["virtual_slot"] for x in slotted.collect()}
+    for i, t in rows:
+        b, n = want[slot_of[i]]
+        want[slot_of[i]] = (b + len(t) + 8, n + 1)
+    assert sizes == want
+    one = [0 if slot < 40 else slot % 8 for slot in range(96)]
+    two = sharding.rebalance(one, {s: b for s, (b, _) in sizes.items()})
+    load = collections.Counter()
+    for s, (b, _) in sizes.items():
+        load[two[s]] += b
+    assert max(load.values()) <= 1.05 * sum(load.values()) / 8
+    sharding.store_map(spark, str(tmp_path / "map"), 3, two)
+    placed = sharding.place(slotted, sharding.load_map(spark, str(tmp_path / "map"), 3), two)
+    assert {x["shard"]: x["b"] for x in placed.groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()} == load
+
+
+def test_sharding_query_places_by_its_stored_maps(spark, data, monkeypatch):
+    stored = {}
+    store = sharding.store_map
+    monkeypatch.setattr(sharding, "store_map", lambda s, path, version, m: (stored.__setitem__(version, path), store(s, path, version, m)))
+    got = queries.QUERIES["op6_sharding"](spark, data).collect()
+    assert sorted(stored) == [1, 2]
+    one, two = (sharding.load_map(spark, stored[v], v) for v in (1, 2))
+    assert two == sharding.grow(one) and one == sharding.first_map(queries.SHARDS)
+    assert got and all((x["shard"], x["grown_shard"]) == (one[x["virtual_slot"]], two[x["virtual_slot"]]) for x in got)
+
+
 def test_first_fit_decreasing_is_exact():
     r = random.Random(2)
     for _ in range(50):
