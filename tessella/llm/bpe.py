@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import named, small_batches, sole, strings, tokenizer_path
+from tessella.llm.common import named, portions, sole, strings, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The public pre-splitting pattern of byte-level vocabularies.
@@ -215,11 +215,10 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = VOCABULARY, folder: str | None = None, ordinary: bool = False) -> DataFrame:
     """doc_id, ids of every whole text."""
-    small_batches(docs.sparkSession)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer_path(name, folder))
-        for batch in batches:
+        for batch in portions(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(x, ordinary) for x in strings(batch.column(1))], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return named(docs, doc_id=doc_id, text=text).mapInArrow(encoded, "doc_id long, ids array<int>")
@@ -227,11 +226,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: st
 
 def decode(tokens: DataFrame, doc_id: str = "doc_id", ids: str = "ids", name: str = VOCABULARY, folder: str | None = None) -> DataFrame:
     """doc_id, text of every row of ids; null ids give an empty text."""
-    small_batches(tokens.sparkSession)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer_path(name, folder))
-        for batch in batches:
+        for batch in portions(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return named(tokens, doc_id=doc_id, ids=ids).mapInArrow(decoded, "doc_id long, text string")
@@ -242,11 +240,10 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: s
 
     Encodes and decodes in one pass, so that ids aren't carried between tasks.
     """
-    small_batches(docs.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer_path(name, folder))
-        for batch in batches:
+        for batch in portions(batches):
             n, of_ids, of_text = [], [], []
             for x in strings(batch.column(1)):
                 ids = own.encode(x)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, named, small_batches
+from tessella.llm.common import cut, named, portions
 
 TREE_CHARS, TREE_CONVERSATIONS = 1_000_000, 4096
 #: Control strings of the template.
@@ -122,7 +122,7 @@ class Tree:
 
 def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tree = Tree()
-    for batch in batches:
+    for batch in portions(batches):
         for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             turns = [(t["role"], t["text"]) for t in turns]
             if tree.leaves and (tree.size >= TREE_CHARS or len(tree.leaves) >= TREE_CONVERSATIONS or turns[0] != tree.path[0][:2] and tree.size >= TREE_CHARS // 16):
@@ -143,14 +143,13 @@ def conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 def trees(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """The prefix trees (text, nodes, leaves) of all conversations."""
-    small_batches(rows.sparkSession)
     whole = cut(conversations(rows, conv_id, turn, role, text))  # a range partitioning reads its input twice
     dealt = whole.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
     return dealt.select("conv_id", "turns").mapInArrow(_grown, TREES)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         out = []
         for tree in batch.to_pylist():
             text, nodes = tree["text"], tree["nodes"]

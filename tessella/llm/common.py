@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,23 +13,26 @@ from pyspark.sql import functions as F
 
 from tessella.sources.shared import cut
 
-__all__ = ["Chunks", "cut", "mix", "named", "small_batches", "sole", "strings", "table", "tokenizer_path", "words_of"]
+__all__ = ["Ids", "cut", "mix", "named", "portions", "ragged", "sole", "strings", "table", "tokenizer_path", "words_of"]
 
-#: Rows of one Arrow batch; a batch of very long texts stays in a worker's memory.
-BATCH_ROWS = 1024
-#: Chunks of text whose ids a worker remembers for good, and those of late.
-KNOWN_CHUNKS, RECENT_CHUNKS = 400_000, 200_000
+#: Bytes of the part of an Arrow batch that is worked on at once, if it has more than one row.
+PORTION = 12 << 20
+#: Strings whose ids a worker remembers for good, and those of late.
+KNOWN, RECENT = 400_000, 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of ``sf_dir``; sets small Arrow batches, as texts can be very long."""
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def portions(batches: Iterable[pa.RecordBatch], most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Batches cut into halves until each has ``most`` bytes at most or one row, as texts can be very long."""
+    for batch in batches:
+        if batch.nbytes <= most or batch.num_rows < 2:
+            yield batch
+        else:
+            half = batch.num_rows // 2
+            yield from portions((batch.slice(0, half), batch.slice(half)), most)
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -73,24 +77,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Chunks(dict):
-    """Ids by chunk: the first ``KNOWN_CHUNKS`` stay, as frequent chunks come early; of the others the late ones."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.recent: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.recent[chunk]
-
-    def add(self, chunks: list[str], ids: list[bytes]) -> None:
-        if len(self) < KNOWN_CHUNKS:
-            self.update(zip(chunks, ids, strict=True))
-        else:
-            self.recent.update(zip(chunks, ids, strict=True))
-
-    def new(self, texts: Iterable[list[str]]) -> list[str]:
-        """The chunks of these texts that need ids now."""
-        if len(self.recent) > RECENT_CHUNKS:
-            self.recent.clear()
-        return list(set().union(*texts).difference(self, self.recent))
+def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` one after the other, and the bounds between them."""
+    bounds = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=bounds[1:])
+    at = np.repeat(starts - bounds[:-1], lengths)
+    at += np.arange(bounds[-1])
+    return flat[at], bounds
+
+
+class Ids:
+    """Ids by string, side by side in one array: the first ``KNOWN`` strings stay, as frequent ones come early; of the others the late ones."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: type = np.uint32):
+        """encode: the ids of strings one after the other, and how many each has."""
+        self.encode, self.slot = encode, {}
+        self.flat, self.bounds = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def slots(self, strings: pa.Array) -> np.ndarray:
+        """Places of the strings, for ``of`` until the next call."""
+        if len(self.slot) > KNOWN + RECENT:
+            self.slot = dict(islice(self.slot.items(), KNOWN))
+            self.bounds = self.bounds[: KNOWN + 1]
+            self.flat = self.flat[: self.bounds[-1]]
+        names = strings.to_pylist()
+        found = list(map(self.slot.get, names))
+        if None in found:
+            new = list(dict.fromkeys(x for x, at in zip(names, found, strict=True) if at is None))
+            flat, lengths = self.encode(new)
+            self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype, copy=False)])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
+            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
+            found = map(self.slot.__getitem__, names)
+        return np.fromiter(found, np.int64, len(names))
+
+    def of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at these places one after the other, and the bounds between them."""
+        return ragged(self.flat, self.bounds[slots], self.bounds[slots + 1] - self.bounds[slots])

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, named, small_batches, strings, words_of
+from tessella.llm.common import cut, named, portions, strings, words_of
 
 CLASSES, TOP, DIM = 128, 64, 16
 START = CLASSES  # the class before a text's first token
@@ -80,7 +80,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     index, ids, held, lengths, parts = fresh()
     size = 0
-    for batch in batches:
+    for batch in portions(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
             words = words_of(text)
             words.append(b"\n")
@@ -98,7 +98,6 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def code_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents as coded blocks of at most about ``BLOCK_TOKENS`` tokens (a longer text is a block of its own)."""
-    small_batches(docs.sparkSession)
     return cut(named(docs, doc_id=doc_id, text=text).mapInArrow(_coded, BLOCKS))
 
 
@@ -133,7 +132,7 @@ def class_trigrams(blocks: DataFrame, top: list[str]) -> DataFrame:
 
     def counted(batches):
         total = np.zeros(CONTEXTS * CONTEXTS * CLASSES, np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             for i in range(batch.num_rows):
                 _, lengths, cells = _unpacked(batch, i, _classes(batch.column("words")[i], batch.column("tails")[i].as_py(), values))
                 learn = np.repeat(~np.array(batch.column("held")[i].as_py(), bool), lengths)
@@ -220,7 +219,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         unseen = (once + 0.5) / (n_class + 1.0)
         unseen[: len(top)] = 0.0
         unseen[n_class == 0] = 1.0
-        for batch in batches:
+        for batch in portions(batches):
             for i in range(batch.num_rows):
                 kinds = np.frombuffer(batch.column("tails")[i].as_py(), np.uint8).astype(np.int64)
                 own = batch.column("tops")[i].values
@@ -258,7 +257,7 @@ def _class_sizes(counts: DataFrame, top: pa.Array) -> tuple[np.ndarray, np.ndarr
 
     def summed(batches):
         n, once = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             words, c = batch.column("word"), batch.column("c").to_numpy()
             own = pc.fill_null(pc.index_in(words, value_set=top), -1).to_numpy()
             tails = np.fromiter((tail_class(w.encode()) for w in words.to_pylist()), np.int64, len(c))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, mix, named, small_batches, sole, strings, words_of
+from tessella.llm.common import cut, mix, named, portions, sole, strings, words_of
 from tessella.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 36, 7
@@ -110,7 +110,7 @@ def similarity(different: np.ndarray) -> np.ndarray:
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = sole(("minhash",), WordHashes)
-    for batch in batches:
+    for batch in portions(batches):
         n, same, bands, sketch = [], [], [], []
         for text in strings(batch.column(1)):
             found = shingles(text, hashes)
@@ -124,7 +124,6 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the size of the set, a hash of the whole set, band hashes and the odd sketch."""
-    small_batches(docs.sparkSession)
     return named(docs, doc_id=doc_id, text=text).mapInArrow(_printed, PRINTS)
 
 
@@ -163,7 +162,7 @@ def _across(most: int):
                 columns = [pa.array([r[3] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1, 2, 4))]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "cell", "block", "component_id"])
 
-        for batch in batches:
+        for batch in portions(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:2] != held[0][:2]:
                     yield from flush()
@@ -221,7 +220,7 @@ def _confirmed(least: int, of: int):
         hashes, chunk, owners = sole(("minhash",), WordHashes), None, []
         rows: list[tuple[int, int, int]] = []
         sets: list[np.ndarray] = []
-        for batch in batches:
+        for batch in portions(batches):
             a, b, good = [], [], []
             for is_cell, owner_id, part, member, block, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = shingles(text, hashes)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import named, small_batches, strings
+from tessella.llm.common import named, portions, strings
 
 DEPTH = 256
 #: Quotes count only around a value: a stray one is part of a name or of a value without quotes.
@@ -353,12 +353,11 @@ def render(source: str | None) -> str:
 
 
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         texts = [render(x) for x in strings(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64())], ["page_id", "text", "n_chars", "n_lines"])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """page_id, text, n_chars, n_lines of every page."""
-    small_batches(pages.sparkSession)
     return named(pages, page_id=page_id, html=html).mapInArrow(_rendered, "page_id long, text string, n_chars long, n_lines long")

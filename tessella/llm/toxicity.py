@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, named, small_batches, strings
+from tessella.llm.common import cut, named, portions, strings
 
 SAMPLE, FEATURES, FOLDS, LEAST, L2 = 8000, 320, 5, 4, 0.1
 #: Standard deviations by which a feature's shares differ at least.
@@ -116,14 +116,13 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, words: list[
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         found = [sorted(features(tokens(t))) for t in strings(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2)], ["doc_id", "tokens", "toxic"])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Chain:
     """Fit the chain on at most ``sample`` labelled rows."""
-    small_batches(docs.sparkSession)
     marked = named(labels, doc_id=doc_id, toxic=label).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = cut(named(docs, doc_id=doc_id, text=text).join(F.broadcast(marked), "doc_id").mapInArrow(_tokens, "doc_id long, tokens array<string>, toxic int"))
@@ -161,10 +160,9 @@ def _probabilities(chain: Chain, texts: list[str]) -> np.ndarray:
 
 def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text", cut_at: float = CUT) -> DataFrame:
     """doc_id, a probability by category, is_toxic (the last category's probability is over the cut)."""
-    small_batches(docs.sparkSession)
 
     def scored(batches):
-        for batch in batches:
+        for batch in portions(batches):
             p = _probabilities(chain, strings(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] > cut_at)], ["doc_id", *CATEGORIES, "is_toxic"])
 
@@ -173,11 +171,10 @@ def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "te
 
 def keep_clean(docs: DataFrame, chain: Chain, text: str = "text", cut_at: float = CUT) -> DataFrame:
     """The rows, with all their columns, that the chain doesn't call toxic."""
-    small_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
     def filtered(batches):
-        for batch in batches:
+        for batch in portions(batches):
             yield batch.filter(pa.array(_probabilities(chain, strings(batch.column(place)))[:, -1] <= cut_at))
 
     return docs.mapInArrow(filtered, docs.schema)
