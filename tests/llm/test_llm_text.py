@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import bpe, chat, lm, pagetext, quality, toxicity
@@ -279,8 +280,12 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
 
 
 def test_quality_fertility_measures():
-    own = quality.pieces(tokenizer_path(quality.VOCABULARY))
-    own.learn([["日本語テキスト", "𓀀𓀁"]])
-    per, share, entropy, n = own.measures(["𓀀𓀁"], 2)
-    assert share > 0.5 and n > 2 and per < 1 and entropy > 0
-    assert own.measures([], 0) == (0.0, 0.0, 0.0, 0)
+    own = quality.pieces(tokenizer_path(quality.VOCABULARY), tokenizer_path(quality.SECOND))
+    texts = pa.array(["𓀀𓀁", None, "the cat and the cat", "日本語テキスト", " \t"])
+    columns = dict(zip(quality.NAMES[1:], quality.measure(texts, None, own), strict=True))
+    assert columns["byte_share"][0] > 0.5 and columns["chars_per_token"][0] < 1 and columns["byte_share"][2] == 0
+    assert columns["n_words"].tolist() == [1, 0, 5, 1, 0] and columns["token_entropy"][1] == 0
+    ids = [i for w in "the cat and the cat".split() for i in own.library.encode(w)]
+    shares = [n / len(ids) for n in collections.Counter(ids).values()]
+    assert columns["token_entropy"][2] == pytest.approx(-sum(p * math.log2(p) for p in shares))
+    assert quality.scripts(pa.array(["abc жж", "жжж a", "日本", "12 !", ""])) == ["Latin", "Cyrillic", "Han", None, None]
