@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Ids, named, portions, ragged, sole, tokenizer_path
+from tessella.llm.common import Ids, cut, named, portions, ragged, sole, tokenizer_path
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 LENGTH, GROUP = 4096, 4096
@@ -149,11 +149,15 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
 
 
 def pack(items: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Add sequence_id and offset to rows with a ``length`` of at most ``length`` tokens.
+    """Add sequence_id and offset to rows with a ``length`` of at most ``length`` tokens; columns of these names are replaced.
 
-    A partition of the random dealing is packed in groups of ``group`` rows; ids of sequences hold the partition.
+    Rows are dealt by a hash of their place in the checkpointed table, so equal rows go apart and a lost partition is
+    dealt again alike. A partition is packed in groups of ``group`` rows; ids of sequences hold the partition.
     """
-    names = items.columns
+    items = cut(items.drop("sequence_id", "offset"))
+    dealt = "dealt"
+    while dealt in items.columns:
+        dealt += "_"
     schema = f"{', '.join(f'`{n}` {t}' for n, t in items.dtypes)}, sequence_id long, offset long"
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,7 @@ def pack(items: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).drop_columns(["_dealt"])
+            rows = pa.Table.from_batches(held).drop_columns([dealt])
             bins, offsets = first_fit_decreasing(rows["length"].to_pylist(), length)
             ids = [next(fresh) for _ in range(max(bins) + 1)]
             rows = rows.append_column("sequence_id", pa.array([ids[b] for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
@@ -181,5 +185,5 @@ def pack(items: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
         if held:
             yield from flush()
 
-    dealt = items.withColumn("_dealt", F.xxhash64(*[F.col(f"`{n}`") for n in names], F.lit(17)))
-    return dealt.repartition("_dealt").sortWithinPartitions("_dealt", *[F.col(f"`{n}`") for n in names]).mapInArrow(packed, schema)
+    rows = items.withColumn(dealt, F.xxhash64(F.monotonically_increasing_id(), F.lit(17)))
+    return rows.repartition(dealt).sortWithinPartitions(dealt).mapInArrow(packed, schema)
