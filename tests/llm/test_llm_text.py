@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -142,6 +143,66 @@ def test_html_malformed_tables_and_quotes(html, text):
     assert pagetext.render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+        ("<table><tr><td colspan=99999999999>a<td>b<tr><td>ccc<td>d</table>", "a       b\nccc  d"),
+        ("<table><tr><td>" + "w" * 150 + "<td>b<tr><td>c<td>d</table>", "w" * 150 + "  b\nc" + " " * 101 + "d"),
+        ("<dialog>a</dialog><dialog open>b</dialog>", "b"),
+        ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>", "b"),
+        ("<textarea>\n a &lt;b&gt;\n  c</textarea>", " a <b>\n  c"),
+        ("<select><option>a<option selected>b<option>c</select>", "b"),
+        ("<select><option>a<option>b</select>", "a"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<input value=v><input type=hidden value=h><input type=checkbox value=c>", "v"),
+        ("<style>.no, #gone { display: none } b.x{visibility:hidden}</style>a<i class='q no'>b</i><i id=gone>c</i><b>d</b><b class=x>e</b>", "ad"),
+        ("<style>@media print{p{display:none}} /* p{display:none} */ i{display:none} .on{display:inline}</style><p>a<i>b</i><i class=on>c</i>", "ac"),
+        ("<style>i{display:none!important}</style><i style='display:inline'>a</i>b", "b"),
+        ("<i style='display:inline' hidden>a</i>", "a"),
+        ("<p><a href=\"x>link</a> then <a href=\"y\">more</a>", "link then more"),
+        ("<div><table><tr><td>a</div>b<td>c</table>d</div>", "ab  c\n\nd"),
+        ("a<!-->b<!-- x --!>c</ x>d<?pi?>e<![CDATA[no]]>f", "abcdef"),
+        ("<blockquote>" * 60 + "x", "    " * 40 + "x"),
+    ],
+)
+def test_html_visibility_and_spans(html, text):
+    assert pagetext.render(html) == text
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<a " * 1_600_000 + "'",
+        "<a b='" * 800_000 + '"',
+        "<a b='\"" * 700_000,
+        "<div>" * 500_000 + "<div hidden>SECRET</div>" + "</span>" * 300_000,
+        "<table><tr><td>" * 300_000 + "x",
+        "<form>" * 400_000 + "<table><form>" * 200_000 + "<td>x",
+        "<style>" + "@a" * 2_000_000,
+        "<style>" + "a{" * 2_000_000,
+        "<style>" + "x" * 5_000_000,
+        "<" * 5_000_000,
+        "<!" * 2_500_000,
+        "<p" + " " * 5_000_000,
+        "<ul><li>" * 600_000 + "x",
+        "<td colspan=1000 rowspan=9999>x" * 2_000,
+    ],
+    ids=range(14),
+)
+def test_html_takes_time_in_proportion(html):
+    start = time.perf_counter()
+    assert "SECRET" not in pagetext.render(html)
+    assert time.perf_counter() - start < 30
+
+
+def test_html_hides_at_any_depth():
+    for depth in (300, 5000):
+        assert pagetext.render("<div>" * depth + "<div hidden>SECRET</div>shown" + "</div>" * depth + "after") == "shown\nafter"
+
+
 def test_html_loses_no_visible_word():
     r = random.Random(4)
     marks = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<form>", "</form>", "<tbody>", "<thead>", "<colgroup>", "<col>", "<caption>", "<div>", "</div>", "<b>", "</b>", "<p>", "<p title='it's'>", '<i a="b"c">', "<ul>", "<li>", "<pre>", "</pre>"]
