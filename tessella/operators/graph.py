@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from tessella.sources.shared import cut
 
-ROUNDS = 60
-
-
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, root) of every end of an edge (keys, a, b); root is the smallest id reachable.
 
-    Large-star and small-star steps until nothing changes. State stays in the cluster, each round cuts the lineage
+    Large-star and small-star steps until nothing changes, which they come to on any graph. State stays in the cluster, each round cuts the lineage
     with a reliable checkpoint, and a hub's edges are read by joins that can be split and by sums with map-side
     combining. Edges with a null end or from an id to itself are ignored, repeated ones count once.
     """
-    e = edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct()
+    own = {k: f"key_{i}" for i, k in enumerate(keys)}  # other names can't clash
+    e = edges.where("a <> b").select(*[F.col(f"`{k}`").alias(x) for k, x in own.items()], F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    keys, names = list(own.values()), {x: k for k, x in own.items()}
     e, before = cut(e), None
-    for _ in range(ROUNDS):
+    while True:
         both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         e = both.where("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -30,7 +29,6 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components didn't settle")
     low = e.groupBy(*keys, "u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
-    return low.unionByName(e.select(*keys, F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    whole = low.unionByName(e.select(*keys, F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    return whole.select(*[F.col(x).alias(k) for x, k in names.items()], "id", "root")

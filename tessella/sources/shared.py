@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
+def root(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where driver and executors are one process, as in tests."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="shared-")
     if spark.sparkContext.getCheckpointDir() is None:
-        # a folder of its own only where the cluster names none, as in tests
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    root(df.sparkSession)
     return df.checkpoint()
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; a local one only where it names none."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
-    return f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, by: list[str] | None = None, kind: str = "parquet", path: str | None = None, mode: str = "overwrite") -> DataFrame:
