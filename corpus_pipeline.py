@@ -6,14 +6,13 @@ next stage's documents; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import minhash, packing, quality, toxicity
 from tessella.llm.common import table
+from tessella.sources.shared import folder
 
 #: Near-duplicates share five-word shingles with a similarity of 0.8 or more.
 LEAST, OF = 80, 100
@@ -53,14 +52,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:  # only where the cluster names none, as in tests
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="pipeline-")
-    folder = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    path_of = folder(spark)
     for name, stage in STAGES:
-        path = f"{folder}/{name}"
+        path = f"{path_of}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
