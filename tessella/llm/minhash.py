@@ -1,7 +1,7 @@
 """MinHash near-dedup with odd sketches.
 
-Per document: the set of hashed shingles, ``BANDS`` x ``ROWS`` MinHash samples, a hash of each band of samples,
-and an odd sketch: every sample flips one bit of a bitmap, so that the bits in which two sketches differ tell how
+Per document: the set of hashed shingles, MinHash samples, a hash of each band of samples (bands and rows follow from the
+threshold, so that a pair at it is missed with a probability of at most ``MISSED``), and an odd sketch: every sample flips one bit of a bitmap, so that the bits in which two sketches differ tell how
 many samples differ, precisely so for high similarities. Documents with equal sets form a class; only its smallest
 id goes on. Candidates share a band:
 
@@ -32,18 +32,35 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, mix, named, portions, sole, strings, words_of
 from tessella.llm.components import components
 
-SHINGLE, BANDS, ROWS = 5, 36, 7
-SAMPLES, SKETCH_BITS = BANDS * ROWS, 1024
+SHINGLE, SKETCH_BITS = 5, 1024
+#: Samples of a document at most, and the probability at most that a pair at the threshold shares no band.
+MOST_SAMPLES, MISSED = 280, 1e-6
 #: Standard deviations of the sketch's estimate that a pair may lie below the threshold and still be confirmed.
 SLACK = 4.0
 #: Members of a pair's chunk, rows of a block of a large bucket, and pairs by row from which a cell is confirmed whole.
 CHUNK, BLOCK, FEW = 256, 512, 2
+#: Parts of a class of equal sets, and the most ids that are sent to all tasks.
+SALTS, SENT = 64, 1_000_000
+
+
+
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands and rows of a band: the most rows with which bands enough for ``MISSED`` take ``MOST_SAMPLES`` at most."""
+    for rows in range(20, 0, -1):
+        bands = int(np.ceil(np.log(MISSED) / np.log1p(-min(threshold**rows, 1 - 1e-9))))
+        if bands * rows <= MOST_SAMPLES:
+            return bands, rows
+    return MOST_SAMPLES, 1
+
+
+BANDS, ROWS = banding(0.85)
+SAMPLES = BANDS * ROWS
 
 _R = np.random.default_rng(20)
-_ODD = _R.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _R.integers(0, 1 << 63, MOST_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_SALT = mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1000))
-_BAND = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(9000))
+_SALT = mix(np.arange(MOST_SAMPLES, dtype=np.uint64) + np.uint64(1000))
+_BAND = mix(np.arange(MOST_SAMPLES, dtype=np.uint64) + np.uint64(9000))
 
 PRINTS = "doc_id long, n_shingles long, same binary, bands array<bigint>, sketch binary"
 
@@ -73,58 +90,60 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def samples(found: np.ndarray) -> np.ndarray:
+def samples(found: np.ndarray, n: int = SAMPLES) -> np.ndarray:
     """MinHash samples of a set: the least product with each odd number."""
-    least = np.full(SAMPLES, np.uint64(0xFFFFFFFFFFFFFFFF))
+    odd = _ODD[:n]
+    least = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(found), 2048):
-        np.minimum(least, np.multiply.outer(_ODD, found[i : i + 2048]).min(1), out=least)
+        np.minimum(least, np.multiply.outer(odd, found[i : i + 2048]).min(1), out=least)
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def band_keys(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A hash by band; equal samples in a band give equal hashes."""
-    rows = mix(least + _SALT).reshape(BANDS, ROWS)
-    return mix(rows.sum(1, dtype=np.uint64) ^ _BAND).view(np.int64)
+    own = mix(least + _SALT[: len(least)]).reshape(-1, rows)
+    return mix(own.sum(1, dtype=np.uint64) ^ _BAND[: len(own)]).view(np.int64)
 
 
 def odd_sketch(least: np.ndarray) -> bytes:
     """The parity, by bit, of the samples folded to it."""
-    bits = np.bincount((mix(least ^ _SALT) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    bits = np.bincount((mix(least ^ _SALT[: len(least)]) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def most_different(threshold: float) -> int:
+def most_different(threshold: float, n: int = SAMPLES) -> int:
     """Bits in which the sketches of a pair at the threshold differ at most, with ``SLACK``."""
     p = 1 - threshold
-    apart = min(SAMPLES, SAMPLES * p + SLACK * np.sqrt(SAMPLES * p * threshold))
+    apart = min(n, n * p + SLACK * np.sqrt(n * p * threshold))
     # two bits by differing sample, less those that meet
     expected = SKETCH_BITS / 2 * (1 - np.exp(-4 * apart / SKETCH_BITS))
     return int(np.ceil(expected + 2 * np.sqrt(expected * (1 - expected / SKETCH_BITS) / 2)))
 
 
-def similarity(different: np.ndarray) -> np.ndarray:
+def similarity(different: np.ndarray, n: int = SAMPLES) -> np.ndarray:
     """The Jaccard similarity that a count of differing bits tells."""
     share = np.minimum(2 * different / SKETCH_BITS, 1 - 1e-9)
-    return 1 + SKETCH_BITS * np.log(1 - share) / (4 * SAMPLES)
+    return 1 + SKETCH_BITS * np.log(1 - share) / (4 * n)
 
 
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = sole(("minhash",), WordHashes)
-    for batch in portions(batches):
-        n, same, bands, sketch = [], [], [], []
-        for text in strings(batch.column(1)):
-            found = shingles(text, hashes)
-            n.append(len(found))
-            same.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-            least = samples(found) if len(found) else None
-            bands.append(None if least is None else band_keys(least))
-            sketch.append(None if least is None else odd_sketch(least))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "same", "bands", "sketch"])
+def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.85) -> DataFrame:
+    """Per row: the size of the set, a hash of the whole set, band hashes and the odd sketch."""
+    n_bands, rows = banding(threshold)
 
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = sole(("minhash",), WordHashes)
+        for batch in portions(batches):
+            n, same, bands, sketch = [], [], [], []
+            for text in strings(batch.column(1)):
+                found = shingles(text, hashes)
+                n.append(len(found))
+                same.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                least = samples(found, n_bands * rows) if len(found) else None
+                bands.append(None if least is None else band_keys(least, rows))
+                sketch.append(None if least is None else odd_sketch(least))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "same", "bands", "sketch"])
 
-def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the size of the set, a hash of the whole set, band hashes and the odd sketch."""
-    return named(docs, doc_id=doc_id, text=text).mapInArrow(_printed, PRINTS)
+    return named(docs, doc_id=doc_id, text=text).mapInArrow(printed, PRINTS)
 
 
 def _across(most: int):
@@ -254,7 +273,7 @@ def _confirmed(least: int, of: int):
 def confirm(pairs: DataFrame, docs: DataFrame, least: int, of: int, cells: DataFrame | None = None) -> DataFrame:
     """(a, b, good) of each pair of ids, on the full sets, and the links that join components inside cells; docs: doc_id, text.
 
-    Texts are read and dealt once. A hub's partners come in chunks.
+    A hub's partners come in chunks.
     """
     pairs = cut(pairs)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
@@ -264,20 +283,38 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: int, of: int, cells: DataF
     wanted = wanted.union(chunked.select("a", "part").distinct().select("a", F.lit(False), "a", "part", none, zero, none))
     if cells is not None:
         wanted = wanted.union(cells.select("a", F.lit(True), "key", "cell", "a", "block", "component_id"))
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("is_cell", "owner", "part", "member", "block", "component_id", "text")
+    texts = docs.join(wanted, "doc_id").select("is_cell", "owner", "part", "member", "block", "component_id", "text")
     dealt = texts.repartition("is_cell", "owner", "part").sortWithinPartitions("is_cell", "owner", "part", F.col("member").asc_nulls_first())
     return dealt.mapInArrow(_confirmed(least, of), "a long, b long, good boolean").groupBy("a", "b").agg(F.max("good").alias("good"))
 
 
+def equal_sets(usable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The smallest id of each class of equal sets, and links (a, b) that join each class.
+
+    Members link to the smallest of their ``SALTS``-th of the class, and those to the smallest of all, so that a large
+    class is dealt over many tasks.
+    """
+    salted = usable.select("same", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), "doc_id")
+    parts = salted.groupBy("same", "salt").agg(F.min("doc_id").alias("part"))
+    heads = parts.groupBy("same").agg(F.min("part").alias("head"))
+    up = salted.join(parts, ["same", "salt"]).select(F.col("part").alias("a"), F.col("doc_id").alias("b"))
+    top = parts.join(heads, "same").select(F.col("head").alias("a"), F.col("part").alias("b"))
+    return heads.select(F.col("head").alias("doc_id")).distinct(), up.union(top).where("a <> b").distinct()
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """Ids to be joined, sent to all tasks if there are at most ``SENT`` (8 bytes each), so that texts are not shuffled to meet them."""
+    return F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 85, of: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links have a similarity of least/of or more."""
     docs = named(docs, doc_id=doc_id, text=text)
-    marks = cut(prints(docs))
-    most = most_different(least / of)
+    marks = cut(prints(docs, threshold=least / of))
+    most = most_different(least / of, np.prod(banding(least / of)))
     usable = marks.where("same is not null and doc_id is not null")
-    classes = usable.groupBy("same").agg(F.min("doc_id").alias("class"))
-    members = usable.select("same", "doc_id").join(classes, "same").select("doc_id", "class")
-    heads = usable.join(classes.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    smallest, same = equal_sets(usable)
+    heads = usable.join(smallest, "doc_id", "left_semi")
     sketches = heads.select("doc_id", "sketch").distinct()
     keys = heads.select("doc_id", F.explode("bands").alias("key"))
     buckets = cut(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"))
@@ -286,8 +323,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a, b = (sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     apart = _different("sketch_a", "sketch_b")
     hopeful = stars.join(a, "a").join(b, "b").where(apart <= most).select("a", "b").distinct()
-    looked = cut(confirm(hopeful, docs, least, of))
-    same = members.where("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
+    # texts that share a bucket are the only ones looked at from here on
+    texts = cut(docs.join(few(cut(in_buckets.select("doc_id").distinct())), "doc_id", "left_semi"))
+    looked = cut(confirm(hopeful, texts, least, of))
     linked = components(looked.where("good").select("a", "b"))
     # buckets that still hold several components
     placed = in_buckets.join(linked.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -299,7 +337,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "block")
         across = cut(dealt.mapInArrow(_across(most), ACROSS))
         pairs = across.where("b is not null").select("a", "b").distinct().join(looked, ["a", "b"], "left_anti")
-        again = cut(confirm(pairs, docs, least, of, across.where("b is null")))
+        again = cut(confirm(pairs, texts, least, of, across.where("b is null")))
         links = links.union(again.where("good").select("a", "b"))
     final = components(links.union(same))
     found = marks.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -331,9 +369,20 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 80, of: int = 100) -> DataFrame:
-    """The rows, with all their columns, of one document of each group; documents without an id or words stay."""
-    found = near_duplicates(docs, doc_id, text, least, of)
-    gone = cut(found.where("not kept").select("doc_id").distinct())
-    left = docs.join(gone.select(F.col("doc_id").alias("_gone")).hint("shuffle_hash"), F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
-    return left if ids.isEmpty() else left.where(F.col(f"`{doc_id}`").isNull()).unionByName(left.where(F.col(f"`{doc_id}`").isNotNull()).dropDuplicates([doc_id]))
+    """The rows, with all their columns, of one document of each group; documents without an id or words stay.
+
+    Rows that share an id are one document and stay together, but of rows with one id and one text the first by the
+    order of their columns as JSON stays.
+    """
+    found = cut(near_duplicates(docs, doc_id, text, least, of))
+    own = F.col(f"`{doc_id}`")
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.alias("d").join(gone.alias("g"), F.col(f"d.`{doc_id}`") == F.col("g.gone"), "left_anti")
+    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("again")))
+    if again.isEmpty():
+        return left
+    same_id = F.col(f"d.`{doc_id}`") == F.col("g.again")
+    once = left.alias("d").join(again.alias("g"), same_id, "left_anti")
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = left.alias("d").join(again.alias("g"), same_id, "left_semi").groupBy(own.alias("i"), F.col(f"`{text}`").alias("t")).agg(F.min_by(rows, F.to_json(rows)).alias("r"))
+    return once.union(first.select("r.*"))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow as pa
 import pytest
 
 from tessella.llm import components, minhash, packing, queries, sharding, vectors
@@ -217,6 +218,19 @@ def test_near_duplicates_nulls_and_repeats(spark):
     assert kept.columns == docs.columns and sorted(str(x["doc_id"]) for x in kept.collect()) == ["2", "7", "None", "None"]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.85, 0.9, 0.99, 1.0])
+def test_bands_miss_few_pairs_at_the_threshold(threshold):
+    bands, rows = minhash.banding(threshold)
+    assert (1 - threshold**rows) ** bands <= 1e-6 and bands * rows <= minhash.MOST_SAMPLES
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(4, a, "y"), (4, b, "x"), (4, a, "x"), (4, a, "x"), (2, a, "z"), (9, b, "k"), (9, b, "j"), (9, "1 2 3 4 5 6 7", "j"), (11, "o p o p o p", "n"), (11, "o p o p o p", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
+    assert sorted(map(tuple, minhash.keep_one(docs).collect())) == [(2, a, "z"), (11, "o p o p o p", "m")]
+
+
 def test_odd_sketch_estimates_high_similarities():
     r = np.random.default_rng(0)
     for j in (0.95, 0.9, 0.85):
@@ -306,8 +320,8 @@ def test_pipeline_equals_brute_force(spark, data):
     from tessella.llm import quality, toxicity
 
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
-    own = quality.pieces(tokenizer_path(quality.VOCABULARY))
-    rows = [r for r in docs.collect() if quality.measure([r["text"] or ""], [r["lang"]], own)[0][6]]
+    own = quality.pieces(tokenizer_path(quality.VOCABULARY), tokenizer_path(quality.SECOND))
+    rows = [r for r in docs.collect() if quality.measure(pa.array([r["text"]], pa.string()), pa.array([r["lang"]]), own)[6][0]]
     chain = toxicity.train(spark.createDataFrame(rows, docs.schema), labels)
     rows = [r for r in rows if toxicity._probabilities(chain, [r["text"] or ""])[0, -1] <= toxicity.CUT]
     kept = {k[0] for k in brute_duplicates([(r["doc_id"], r["text"]) for r in rows], 80) if k[3]}
