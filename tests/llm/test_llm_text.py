@@ -259,12 +259,28 @@ def test_chat_round_trip_and_sharing(spark):
     assert chat.read_back(chat.trees(df.limit(0))).count() == 0
 
 
-def test_chat_trees_are_cut(spark, monkeypatch):
-    tree = chat.Tree()
-    for i in range(3):
-        tree.add(i, [("user", "first"), ("assistant", f"answer {i}")])
-    assert tree.row().to_pylist()[0]["text"].count("first") == 1
-    assert [n["parent"] for n in tree.nodes] == [-1, 0, 0, 0]
+@pytest.mark.parametrize(("chars", "leaves"), [(60, 4096), (1_000_000, 3), (1_000_000, 4096)])
+def test_chat_rows_are_cut_without_repeated_turns(spark, chars, leaves):
+    r = random.Random(8)
+    rows = []
+    for conv in range(150):  # most go on from one start, many are equal
+        said = ["start", "answer"][: r.randrange(1, 3)] + [r.choice("abc") * 9 for _ in range(r.randrange(0, 4))] if conv % 5 else [f"own {conv % 10}"]
+        rows += [(conv, t, "assistant" if t % 2 else "user", x) for t, x in enumerate(said)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    grown = chat.cut(chat.trees(df, most_chars=chars, most_leaves=leaves))
+    by = collections.defaultdict(list)
+    for conv, _, role, text in sorted(rows):
+        by[conv].append((role, text))
+    paths = {tuple(turns[: k + 1]) for turns in by.values() for k in range(len(turns))}
+    emitted = grown.collect()
+    assert len(emitted) > (10 if chars < 100 or leaves < 10 else 0)
+    assert sum(len(x["nodes"]) for x in emitted) == len(paths)
+    assert sum(len(x["text"]) for x in emitted) == sum(len(chat.format_turn(*p[-1])[0]) for p in paths)
+    for x in emitted:
+        for node in x["nodes"]:
+            assert node["parent"] < 0 or node["position"] == x["nodes"][node["parent"]]["position"] + x["nodes"][node["parent"]]["end"] - x["nodes"][node["parent"]]["start"]
+            assert node["n_above"] <= len(x["above"]) and (node["position"] > 0) == (node["parent"] >= 0 or node["n_above"] > 0)
+    assert {y["conv_id"]: tuple(y)[1:5] for y in chat.read_back(grown).collect()} == brute_chat(rows)
 
 
 def test_bpe_equals_the_library():
