@@ -38,7 +38,7 @@ MOST_SAMPLES, MISSED = 280, 1e-6
 #: Standard deviations of the sketch's estimate that a pair may lie below the threshold and still be confirmed.
 SLACK = 4.0
 #: Members of a pair's chunk, rows of a block of a large bucket, and pairs by row from which a cell is confirmed whole.
-CHUNK, BLOCK, FEW = 256, 512, 2
+CHUNK, BLOCK, FEW = 64, 256, 2
 #: Parts of a class of equal sets, and the most ids that are sent to all tasks.
 SALTS, SENT = 64, 1_000_000
 
