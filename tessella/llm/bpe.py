@@ -1,16 +1,18 @@
 """BPE encoding and decoding with an automaton compiled from the merges.
 
-An automaton reads tokens; its state is the last token. It starts with one state per byte, from which every
-byte may follow, and grows by one gadget per merge, in order of rank: the gadget of (a, b) adds the arc of the
-merged token from wherever an ``a`` followed by a ``b`` could be read, and takes away the path that reads them
-apart. An arc from x to y is thus gone exactly if some merge (a, b) found its ``a`` standing at the right edge
-of x and its ``b`` at the left edge of y, both not yet merged further. What the gadgets take away is kept by
-token as edge tables: which pieces stand at its left and right edge from which rank up to which rank. A word
-has one path that the automaton accepts, and its arc labels are the tokens.
-
-Encoding steps through a pre-split word by table look-ups: at each byte the one accepted token that can end
-there, found over the table of label ends and the arc table (filled from the edges when an arc is first asked
-for). Words met before come from a bounded table of words. Decoding emits arc labels.
+The automaton reads tokens; its states say what the last token is open to. It starts with one state in which every
+byte may follow every byte, and grows by one gadget per merge, in order of rank. The gadget of (a, b) adds the arc of
+the merged token from wherever an ``a`` followed by a ``b`` could be read, and takes away the arcs that read them
+apart: from every state whose token ends with a free ``a`` by every token that begins with a free ``b``. Which pieces
+stand free at a token's edges, from which rank up to which, is known when its gadget has run; tokens that are open to
+the same merges share a state, and tokens whose arcs are taken away by the same merges share a column. The result is a
+table, state by column, of one bit: whether the arc is there. A word has one path that the automaton accepts, and its
+arc labels are the tokens.
+
+Encoding steps through a pre-split word by two tables: one, node by byte, says which tokens end at each byte, and the
+automaton's says which of them its path goes through. Decoding emits arc labels. A portion of texts is split and its
+distinct chunks are coded in Arrow; ids of chunks are kept in a bounded table and gathered by numpy. Texts with white space that isn't single
+spaces or line ends between words, or with special tokens, are split one by one.
 
 Defined cases: a null text is empty and has no tokens. Special tokens in a text are their ids, as in the public
 library; ``ordinary=True`` makes them ordinary text. Repeated rows are encoded each.
@@ -20,21 +22,28 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import named, portions, sole, strings, tokenizer_path
+from tessella.llm.common import Ids, named, portions, ragged, sole, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The public pre-splitting pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and arcs that a worker remembers.
-KNOWN_WORDS, RECENT_WORDS, KNOWN_ARCS = 400_000, 300_000, 1_000_000
+#: White space other than a single space or line end between words.
+_SPACE = r"[\s\p{Z}\x{85}\x0b\x1c-\x1f]"
+ODD = rf"{_SPACE}[ \n]|[ \n]{_SPACE}|\A[ \n]|[ \n]\z"
 LAST = 1 << 40
+#: Bytes of words that are walked through at once.
+MATRIX = 4_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -48,65 +57,25 @@ class Automaton:
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int]], made: list[int]):
         """labels: bytes by token; merges: pairs by rank; made: the token that each merge makes."""
         self.labels = labels
-        self.single = {label: i for i, label in enumerate(labels) if len(label) == 1}
+        single = {label: i for i, label in enumerate(labels) if len(label) == 1}
         #: Ranks of merges, by right and then left token.
         self.rank: dict[int, dict[int, int]] = {}
-        #: By token: (piece, first rank, last rank) at its left and right edge.
-        self.left = {i: ((i, -1, LAST),) for i in self.single.values()}
+        #: By token: (piece, first rank, last rank) that stand free at its left and right edge.
+        self.left = {i: ((i, -1, LAST),) for i in single.values()}
         self.right = dict(self.left)
         #: Tokens by label; only those a gadget made or bytes.
-        self.token = dict(self.single)
+        self.token = dict(single)
         for rank, ((a, b), x) in enumerate(zip(merges, made, strict=True)):
             self.gadget(rank, a, b, x)
-        self.arcs: dict[int, bool] = {}
-        self._tables()
-
-    def _tables(self) -> None:
-        """By node of the labels' trie: where a byte leads, and the tokens (with their lengths) that end there, longest first."""
-        steps: dict[int, int] = {}
-        own: list[int] = [-1]
-        for label, t in self.token.items():
-            node = 0
-            for byte in label:
-                key = node << 8 | byte
-                to = steps.get(key)
-                if to is None:
-                    to = steps[key] = len(own)
-                    own.append(-1)
-                node = to
-            own[node] = t
-        below: list[list[tuple[int, int]]] = [[] for _ in own]
-        for key, to in steps.items():
-            below[key >> 8].append((key & 255, to))
-        back, ends = [0] * len(own), [()] * len(own)
-        level = [0]
-        while level:
-            for node in level:
-                for byte, to in below[node]:
-                    if node:
-                        at = back[node]
-                        while at and (at << 8 | byte) not in steps:
-                            at = back[at]
-                        back[to] = steps.get(at << 8 | byte, 0)
-                    t = own[to]
-                    ends[to] = ((t, len(self.labels[t])), *ends[back[to]]) if t >= 0 else ends[back[to]]
-            level = [to for node in level for _, to in below[node]]
-        self.steps, self.back, self.ends = steps, back, ends
-
-    def step(self, node: int, byte: int) -> int:
-        """The table's entry; entries of other than trie arcs are filled when first asked for."""
-        key, at = node << 8 | byte, node
-        while (to := self.steps.get(at << 8 | byte)) is None and at:
-            at = self.back[at]
-        self.steps[key] = to = to or 0
-        return to
+        self.compile()
+        self.compile_bytes()
 
     def gadget(self, rank: int, a: int, b: int, x: int) -> None:
-        """Add the arc of the merge of a and b; from now on they aren't read apart where both stand free."""
+        """The merge of a and b; from now on they aren't read apart where both stand free."""
         ranks = self.rank.setdefault(b, {})
         if a not in self.left or b not in self.left or a in ranks:
             return
-        read = self.accepts(a, b)  # else no path reads a and b side by side, and the merge never makes a token
+        read = self.apart(a, b)  # else no path reads a and b side by side, and the merge never makes a token
         ranks[a] = rank
         if not read or x in self.left:
             return
@@ -114,67 +83,153 @@ class Automaton:
         self.right[x] = ((x, rank, LAST), *((p, since, min(until, rank)) for p, since, until in self.right[b]))
         self.token[self.labels[x]] = x
 
-    def accepts(self, x: int, y: int) -> bool:
-        """Whether an arc y leaves the state x: no gadget took it away."""
-        right, rank = self.right[x], self.rank
+    def apart(self, x: int, y: int) -> bool:
+        """Whether no gadget so far took away the arc of y after x."""
         for b, since_b, until_b in self.left[y]:
-            ranks = rank.get(b)
+            ranks = self.rank.get(b)
             if ranks:
-                for a, since_a, until_a in right:
+                for a, since_a, until_a in self.right[x]:
                     r = ranks.get(a)
                     # of two merges of one rank the left one comes first
                     if r is not None and since_a < r < until_a and since_b < r <= until_b:
                         return False
         return True
 
+    def compile(self) -> None:
+        """The table of arcs: by token its state and column, and by state a row of bits."""
+        by_left, by_right = defaultdict(list), defaultdict(list)
+        for b, ranks in self.rank.items():
+            for a, r in ranks.items():
+                by_left[a].append(r)
+                by_right[b].append(r)
+        for ranks in (*by_left.values(), *by_right.values()):
+            ranks.sort()
+
+        def classes(edges: dict, ranks_of: dict, end) -> tuple[dict[int, int], list[tuple[int, ...]]]:
+            """A number by token, and by number the ranks of the merges that a free piece can take part in."""
+            numbers: dict[tuple[int, ...], int] = {}
+            own = {}
+            for t, pieces in edges.items():
+                ranks: list[int] = []
+                for p, since, until in pieces:
+                    if p in ranks_of:
+                        of = ranks_of[p]
+                        ranks += of[bisect_right(of, since) : end(of, until)]
+                own[t] = numbers.setdefault(tuple(sorted(ranks)), len(numbers))
+            return own, list(numbers)
+
+        states, open_to = classes(self.right, by_left, bisect_left)
+        columns, taken_by = classes(self.left, by_right, bisect_right)
+        rows_of, columns_of = defaultdict(list), defaultdict(list)
+        for numbers, ranks_of in ((rows_of, open_to), (columns_of, taken_by)):
+            for i, ranks in enumerate(ranks_of):
+                for r in ranks:
+                    numbers[r].append(i)
+        arcs = np.ones((len(open_to), len(taken_by)), bool)
+        for r in sorted(rows_of):
+            if r in columns_of:
+                arcs[np.ix_(rows_of[r], columns_of[r])] = False
+        self.state = np.zeros(len(self.labels), np.int32)
+        self.state[list(states)] = list(states.values())
+        self.column = columns
+        self.rows = np.packbits(arcs, axis=1, bitorder="little")
+
+    def accepts(self, x: int, y: int) -> bool:
+        """Whether an arc y leaves the state after x."""
+        column = self.column[y]
+        return bool(self.rows[self.state[x], column >> 3] >> (column & 7) & 1)
+
+    def compile_bytes(self) -> None:
+        """The table of label ends: by node and byte the next node, and by node the tokens that end there, longest first, with their lengths and columns."""
+        children: list[dict[int, int]] = [{}]
+        own = [-1]
+        for label, t in self.token.items():
+            node = 0
+            for byte in label:
+                to = children[node].get(byte)
+                if to is None:
+                    to = children[node][byte] = len(own)
+                    children.append({})
+                    own.append(-1)
+                node = to
+            own[node] = t
+        steps = np.zeros((len(own), 256), np.int32)
+        ends: list[tuple] = [()] * len(own)
+        back = [0] * len(own)
+        level = [0]
+        while level:
+            below = []
+            for node in level:
+                if node:
+                    steps[node] = steps[back[node]]
+                for byte, to in children[node].items():
+                    back[to] = int(steps[back[node], byte]) if node else 0
+                    t = own[to]
+                    more = ends[back[to]]
+                    ends[to] = ((t, len(self.labels[t]), self.column[t]), *more) if t >= 0 else more
+                    steps[node, byte] = to
+                    below.append(to)
+            level = below
+        self.steps = steps
+        #: The tokens that end at a node, one node after the other.
+        self.end_from = np.cumsum([0, *map(len, ends)])
+        self.end_token, self.end_length, self.end_column = np.array([x for e in ends for x in e] or [(0, 0, 0)], np.int32).T.copy()
+
     def word(self, word: bytes) -> tuple[int, ...]:
         """Tokens of a pre-split word."""
-        whole = self.token.get(word)
-        if whole is not None:
-            return (whole,)
-        arcs, steps, ends = self.arcs, self.steps, self.ends
-        last: list[int] = []  # by end, the token that the accepted path of the prefix ends with
-        node = 0
-        for end, byte in enumerate(word):
-            to = steps.get(node << 8 | byte)
-            node = self.step(node, byte) if to is None else to
-            for t, length in ends[node]:
-                if length > end:
-                    break
-                arc = last[end - length] << 20 | t
-                ok = arcs.get(arc)
-                if ok is None:
-                    if len(arcs) >= KNOWN_ARCS:
-                        arcs.clear()
-                    ok = arcs[arc] = self.accepts(last[end - length], t)
-                if ok:
-                    break
-            last.append(t)
-        out, end = [], len(word)
-        while end:
-            out.append(last[end - 1])
-            end -= len(self.labels[out[-1]])
-        return tuple(reversed(out))
-
-
-class Words(dict):
-    """Tokens by word: the first ``KNOWN_WORDS`` stay, as frequent words come early; of the others the late ones."""
-
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton, self.recent = automaton, {}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.recent.get(word)
-        if ids is None:
-            ids = self.automaton.word(word.encode("utf-8", "surrogatepass"))
-            if len(self) < KNOWN_WORDS:
-                self[word] = ids
-            else:
-                if len(self.recent) >= RECENT_WORDS:
-                    self.recent.clear()
-                self.recent[word] = ids
-        return ids
+        return tuple(self.words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0].tolist())
+
+    def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of pre-split words one after the other, and how many each has; words of a length's class go together."""
+        lengths = np.diff(bounds)
+        order = np.argsort(-lengths, kind="stable")
+        flat, counts = [], []
+        at = 0
+        while at < len(order):
+            longest = int(lengths[order[at]])
+            here = order[at : at + max(1, MATRIX // max(longest, 1))]
+            short = np.searchsorted(-lengths[here], -(longest // 2), "left") if longest > 24 else len(here)
+            here = here[: max(1, short)]
+            ids, n = self._walked(data, bounds[here], lengths[here])
+            flat.append(ids)
+            counts.append(n)
+            at += len(here)
+        if not flat:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        flat, counts, back = np.concatenate(flat), np.concatenate(counts), np.argsort(order)
+        return ragged(flat, (np.cumsum(counts) - counts)[back], counts[back])[0], counts[back]
+
+    def _walked(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that come longest first. By end, the one token that the accepted path of the prefix ends with is found, for all words at once."""
+        n, longest = len(starts), int(lengths[0])
+        last, states = np.zeros((longest, n), np.int32), np.zeros((longest, n), np.int32)
+        node = np.zeros(n, np.int32)
+        for end in range(longest):
+            m = int(np.searchsorted(-lengths, -end, "left"))  # the words that are longer
+            node = self.steps[node[:m], data[starts[:m] + end]]
+            todo, k = np.arange(m), self.end_from[node]
+            final = self.end_from[node + 1] - 1
+            while len(todo):
+                length, column = self.end_length[k], self.end_column[k]
+                before = states[np.maximum(end - length, 0), todo]
+                taken = (length > end) | (self.rows[before, column >> 3] >> (column & 7) & 1).astype(bool) | (k == final)
+                token = self.end_token[k[taken]]
+                last[end, todo[taken]], states[end, todo[taken]] = token, self.state[token]
+                left = ~taken
+                todo, k, final = todo[left], k[left] + 1, final[left]
+        sizes = np.zeros(len(self.labels), np.int64)
+        sizes[list(self.token.values())] = [len(x) for x in self.token]
+        found, counts = np.zeros((longest, n), np.int32), np.zeros(n, np.int64)
+        todo, end = np.flatnonzero(lengths > 0), lengths[lengths > 0]
+        while len(todo):  # backwards along the path
+            token = last[end - 1, todo]
+            found[counts[todo], todo] = token
+            counts[todo] += 1
+            end = end - sizes[token]
+            todo, end = todo[end > 0], end[end > 0]
+        bounds = np.cumsum(counts)
+        word = np.repeat(np.arange(n), counts)
+        return found[bounds[word] - 1 - np.arange(bounds[-1] if n else 0), word], counts
 
 
 class Codec:
@@ -195,17 +250,72 @@ class Codec:
         merges = [(vocabulary[a], vocabulary[b]) for a, b in pairs]
         self.automaton = Automaton([b"" if i in special.values() else x for i, x in enumerate(labels)], merges, [vocabulary[a + b] for a, b in pairs])
         self.labels, self.special = labels, special
-        self.words = Words(self.automaton)
+        self.flat = np.frombuffer(b"".join(labels), np.uint8)
+        self.lengths = np.array([len(x) for x in labels], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.known = Ids(self.learn, np.int32)
+        self.odd = "|".join([ODD, *map(regex.escape, special)])
         self.split = regex.compile(SPLIT).findall
         self.marked = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
 
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [self.split(chunk) for chunk in new]
+        flat = pa.array(list(chain.from_iterable(words)), pa.string())
+        data, offsets = np.frombuffer(flat.buffers()[2] or b"", np.uint8), np.frombuffer(flat.buffers()[1], np.int32)[: len(flat) + 1].astype(np.int64)
+        ids, counts = self.automaton.words(data, offsets)
+        ends = np.cumsum([0, *map(len, words)])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[ends])
+
     def encode(self, text: str, ordinary: bool = False) -> list[int]:
+        """The ids of one text."""
         if not ordinary and self.marked and any(s in text for s in self.special):
             return [i for part in self.marked(text) if part for i in ([self.special[part]] if part in self.special else self.encode(part, True))]
-        return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
+        words = pa.array(self.split(text), pa.string())
+        return self.known.of(self.known.slots(words))[0].tolist()
+
+    def encode_all(self, texts: pa.Array, ordinary: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and the bounds between them; null ones are empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.odd)
+        alone = {i: np.array(self.encode(texts[i].as_py(), ordinary), np.int32) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        # chunks are words with the space before them; a line end is a chunk
+        lines = pc.split_pattern(pc.if_else(odd, "", texts), "\n")
+        chunks = pc.split_pattern(lines.values, " ")
+        coded = chunks.values.dictionary_encode()
+        words, kinds = coded.dictionary, coded.indices.to_numpy().astype(np.int64) * 2 + 1
+        begins = chunks.offsets.to_numpy()
+        kinds[begins[:-1]] -= 1  # no space before a line's first word
+        used = np.zeros(2 * len(words) + 2, bool)
+        used[kinds] = True
+        line_end = 2 * len(words)
+        used[line_end] = True
+        wanted = np.flatnonzero(used)
+        bare, spaced = wanted[wanted % 2 == 0][:-1] // 2, wanted[wanted % 2 == 1] // 2
+        parts = pa.concat_arrays([words.take(pa.array(bare)), pc.binary_join_element_wise(" ", words.take(pa.array(spaced)), "") if len(spaced) else pa.array([], pa.string()), pa.array(["\n"])])
+        slots = self.known.slots(parts)
+        slot_of = np.zeros(len(used), np.int64)
+        slot_of[2 * bare], slot_of[2 * spaced + 1], slot_of[line_end] = slots[: len(bare)], slots[len(bare) : -1], slots[-1]
+        # a line end goes before each line but a text's first
+        text_begins = lines.offsets.to_numpy()
+        later = np.ones(len(lines.values), bool)
+        later[text_begins[:-1]] = False
+        before = np.concatenate([[0], np.cumsum(later)])
+        kinds = np.insert(kinds, begins[:-1][later], line_end)
+        ids, at = self.known.of(slot_of[kinds])
+        bounds = at[begins[text_begins] + before[text_begins]]
+        if not alone:
+            return ids, bounds
+        whole = [alone.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
+        return np.concatenate(whole), np.concatenate([[0], np.cumsum([len(x) for x in whole])])
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of ids one after the other."""
+        raw, at = ragged(self.flat, self.starts[ids], self.lengths[ids])
+        raw, ends = raw.tobytes(), at[bounds].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 def codec(path: str) -> Codec:
@@ -219,7 +329,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: st
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer_path(name, folder))
         for batch in portions(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(x, ordinary) for x in strings(batch.column(1))], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids, bounds = own.encode_all(batch.column(1), ordinary)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     return named(docs, doc_id=doc_id, text=text).mapInArrow(encoded, "doc_id long, ids array<int>")
 
@@ -230,7 +341,9 @@ def decode(tokens: DataFrame, doc_id: str = "doc_id", ids: str = "ids", name: st
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer_path(name, folder))
         for batch in portions(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            lists = batch.column(1)
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.decode_all(lists.flatten().to_numpy(), bounds), pa.string())], ["doc_id", "text"])
 
     return named(tokens, doc_id=doc_id, ids=ids).mapInArrow(decoded, "doc_id long, text string")
 
@@ -243,13 +356,12 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: s
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer_path(name, folder))
+        numerals = list(map(str, range(len(own.labels))))
         for batch in portions(batches):
-            n, of_ids, of_text = [], [], []
-            for x in strings(batch.column(1)):
-                ids = own.encode(x)
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(own.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, bounds = own.encode_all(batch.column(1))
+            ends = bounds.tolist()
+            of_ids = [hashlib.sha256(",".join(map(numerals.__getitem__, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            of_text = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in own.decode_all(ids, bounds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return named(docs, doc_id=doc_id, text=text).mapInArrow(made, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
