@@ -1,16 +1,18 @@
 """Toxicity: a classifier chain whose later linear models see out-of-fold probabilities of earlier categories.
 
 Categories are predicted in the order of ``CATEGORIES``. The table of labels has one label, so the two earlier
-categories are weak labels: a toxic text that holds one of the category's seed words. The last one is the
-label itself. Features are the presence of words (lower case, marks stripped) and of beginnings of words, chosen
+categories are kinds of toxic texts that the training finds by itself: the labelled toxic texts fall into two clusters by
+their features (k-means from the two ends of their first principal component), and the last category is the
+label. Features are the presence of words (lower case, marks stripped) and of beginnings of words, chosen
 by the difference of their document shares. While training, the model of a category gets the earlier categories' probabilities
 that models of the other folds gave; when applied, it gets those of the final earlier models.
 
-The chain is fitted on at most ``SAMPLE`` labelled rows (those with the smallest hash of the id), a documented
+The chain is fitted on at most ``SAMPLE`` labelled documents (those with the smallest hash of the id), a documented
 bound; every document is scored, over its whole text.
 
 Defined cases: a null or empty text has no features, so it gets the prior. A null id is scored like any other.
-Labels that are null or whose document is missing are not used; without any labels every probability is 0.
+Labels that are null or whose document is missing are not used, any number over 0 is toxic; of rows that share an id the
+first text by order is learned from. Without any toxic label every probability is 0.
 """
 
 from __future__ import annotations
@@ -33,12 +35,8 @@ CLEAR = 4.0
 #: Lengths of the beginnings of words that are features.
 BEGINNINGS = (4, 6)
 CUT = 0.4
-#: Categories in the order of the chain with their seed words; the last is the label.
-CATEGORIES = {
-    "insult": {"idiot", "moron", "stupid", "loser", "clown", "fool", "jerk"},
-    "contempt": {"trash", "scum", "pathetic", "disgusting", "worthless", "garbage", "filth"},
-    "toxic": None,
-}
+#: Categories in the order of the chain; the last is the label.
+CATEGORIES = ("first_kind", "second_kind", "toxic")
 MARKS = ".,;:!?\"'()[]{}<>|%*$#&-_~`+=/\\"
 
 
@@ -51,7 +49,7 @@ class Chain:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probabilities (row, category) from 0/1 features."""
-        out = np.zeros((len(x), len(CATEGORIES)))
+        out = np.zeros((len(x), len(CATEGORIES)))  # without weights every probability is 0
         for k, (bias, w, chained) in enumerate(self.weights):
             out[:, k] = sigmoid(bias + x @ w + out[:, :k] @ chained)
         return out
@@ -115,6 +113,24 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, words: list[
     return Chain(words, weights)
 
 
+def kinds(x: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Two clusters (0 or 1) of rows of features; equal rows fall together, and all into the first if none differ."""
+    if not len(x) or not (x != x[0]).any():
+        return np.zeros(len(x), int)
+    centred = x - x.mean(0)
+    along = centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1]
+    own = (along * np.sign(along[np.abs(along).argmax()]) > 0).astype(int)
+    for _ in range(rounds):
+        if own.min() == own.max():
+            break
+        centres = np.stack([x[own == k].mean(0) for k in (0, 1)])
+        new = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        if (new == own).all():
+            break
+        own = new
+    return own
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches):
         found = [sorted(features(tokens(t))) for t in strings(batch.column(1))]
@@ -122,30 +138,35 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Chain:
-    """Fit the chain on at most ``sample`` labelled rows."""
-    marked = named(labels, doc_id=doc_id, toxic=label).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Fit the chain on at most ``sample`` labelled documents."""
+    marked = named(labels, doc_id=doc_id, toxic=label).dropna().groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marked = marked.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = cut(named(docs, doc_id=doc_id, text=text).join(F.broadcast(marked), "doc_id").mapInArrow(_tokens, "doc_id long, tokens array<string>, toxic int"))
+    one = named(docs, doc_id=doc_id, text=text).join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
+    rows = cut(one.mapInArrow(_tokens, "doc_id long, tokens array<string>, toxic int"))
     size = rows.agg(F.sum("toxic").alias("yes"), F.count("*").alias("n")).first()
     yes, no = float(size["yes"] or 0), float(size["n"] - (size["yes"] or 0))
     if not yes:
-        return Chain([], [(-40.0, np.zeros(0), np.zeros(k)) for k in range(len(CATEGORIES))])
+        return Chain([], [])
     share = F.col("a") / yes - F.col("b") / max(no, 1.0)
     seen = rows.select("toxic", F.explode("tokens").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     spread = F.sqrt((F.col("a") + F.col("b")) * (1 / yes + 1 / max(no, 1.0)) / (yes + no))
     clear = F.abs(share) / spread
     best = seen.where(f"word <> '' and a + b >= {LEAST}").where(clear >= CLEAR).orderBy(F.desc(clear), "word").limit(FEATURES)
     words = best.select("word").toPandas()["word"].tolist()
-    seeds = [[w for w in v] for v in CATEGORIES.values() if v]
-    has = [F.arrays_overlap("tokens", F.array(*map(F.lit, s))).cast("int").alias(f"s{k}") for k, s in enumerate(seeds)]
     at = {w: i for i, w in enumerate(words)}
-    picked = rows.select("doc_id", "toxic", *has, F.array_intersect("tokens", F.array(*map(F.lit, words))).alias("tokens")).toPandas()
+    # a row by labelled document, and of its features the chosen ones only
+    chosen = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    picked = rows.select("doc_id", "toxic", F.array_intersect("tokens", chosen).alias("tokens")).toPandas()
     picked = picked.sort_values("doc_id", kind="stable")
     x = np.zeros((len(picked), len(words)))
     for i, found in enumerate(picked["tokens"]):
         x[i, [at[w] for w in found]] = 1
     toxic = picked["toxic"].to_numpy(float)
-    y = np.column_stack([*(toxic * picked[f"s{k}"].to_numpy(float) for k in range(len(seeds))), toxic])
+    y = np.zeros((len(picked), len(CATEGORIES)))
+    y[:, -1] = toxic
+    own = np.flatnonzero(toxic)
+    y[own, kinds(x[own])] = 1
     folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in picked["doc_id"]])
     return fit_chain(x, y, folds, words)
 

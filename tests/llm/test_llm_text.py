@@ -88,6 +88,36 @@ def test_toxicity_chain_feeds_earlier_probabilities():
     assert ((chain.predict(x) > 0.5) == y.astype(bool)).mean() > 0.98
 
 
+def test_toxicity_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
+    for d in docs.collect():
+        counts = collections.Counter(w.strip(toxicity.MARKS) for w in (d["text"] or "").lower().split())
+        on = []
+        for f in chain.words:
+            if f.startswith("^"):
+                begin = f.lstrip("^")
+                on.append(sum(w[: len(begin)] == begin and len(w) >= len(begin) for w in counts) >= len(f) - len(begin) or f in counts)
+            else:
+                on.append(f in counts or f.startswith("2") and counts[f[1:]] > 1)
+        earlier = []
+        for bias, words, chained in chain.weights:
+            z = bias + sum(w for w, x in zip(words, on, strict=True) if x) + sum(c * p for c, p in zip(chained, earlier, strict=True))
+            earlier.append(1 / (1 + math.exp(-max(-40, min(40, z)))))
+        assert [got[d["doc_id"]][c] for c in toxicity.CATEGORIES] == pytest.approx(earlier, abs=1e-9)
+        assert got[d["doc_id"]]["is_toxic"] == (earlier[-1] > toxicity.CUT)
+
+
+def test_toxicity_finds_two_kinds():
+    r = np.random.default_rng(3)
+    x = np.zeros((200, 10))
+    x[:120, :5], x[120:, 5:] = r.random((120, 5)) < 0.8, r.random((80, 5)) < 0.8
+    own = toxicity.kinds(x)
+    assert max((own[:120] == own[0]).mean(), 0) > 0.95 and (own[120:] != own[0]).mean() > 0.95
+    assert not toxicity.kinds(np.ones((5, 3))).any() and len(toxicity.kinds(np.zeros((0, 3)))) == 0
+
+
 def test_toxicity_odd_input(spark):
     docs, rows = odd_docs(spark)
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (7, None), (99, 1)], "doc_id long, toxic int")
@@ -95,7 +125,11 @@ def test_toxicity_odd_input(spark):
     assert toxicity.score(docs, chain).count() == len(rows)
     assert toxicity.keep_clean(docs, chain).columns == docs.columns
     none = toxicity.train(docs, labels.limit(0))
-    assert not any(r["is_toxic"] or r["toxic"] > 1e-9 for r in toxicity.score(docs, none).collect())
+    assert all(r["first_kind"] == r["second_kind"] == r["toxic"] == 0 and not r["is_toxic"] for r in toxicity.score(docs, none).collect())
+    for kind in ("bigint", "smallint", "tinyint", "boolean"):
+        toxicity.train(docs, labels.selectExpr("doc_id", f"cast(toxic as {kind}) as toxic"))
+    many = spark.createDataFrame([(1, f"word{i} again") for i in range(3000)] + [(5, "clean")], "doc_id long, text string")
+    toxicity.train(many, labels, sample=1)
     assert toxicity.score(docs.limit(0), chain).count() == 0
 
 
