@@ -41,9 +41,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = folder(spark)
     sharding.store_map(spark, maps, 1, sharding.first_map(SHARDS))
-    first = sharding.load_map(spark, maps, 1)
-    sharding.store_map(spark, maps, 2, sharding.grow(first))
-    return sharding.place(sharding.slotted(table(spark, sf_dir, "documents")), first, sharding.load_map(spark, maps, 2))
+    rows = sharding.slotted(table(spark, sf_dir, "documents"))
+    sharding.store_map(spark, maps, 2, sharding.rebalance(sharding.load_map(spark, maps, 1), sharding.bytes_by_slot(rows)))
+    return sharding.place(rows, sharding.load_map(spark, maps, 2))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
