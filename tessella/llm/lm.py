@@ -5,11 +5,16 @@ corpus counts, class trigrams and scores are all array work on the blocks, and o
 are shuffled. The model's outcomes are ``CLASSES`` word classes: the most frequent training tokens are a class
 each, all other words fall into classes by the end of their letters. Two context classes predict the next one:
 ``r = R[a] A + R[b] B; s(w) = r . Q[w] + bias[w]``; a batched matrix product and a log-softmax give normalised
-log-probabilities. Inside a class a word has its share of the class's training tokens, less the share set
-aside for unknown words (by the number of words seen once), so all outcomes of a step sum to one.
+log-probabilities. Inside a class, words have vectors of their own: ``s(w) = log share + b[w] + c . V[w]``, where c
+is the last token's context vector and the share is the word's of the class's training tokens; a word seen fewer than ``OWN_COUNT``
+times has its share only. Scores are normalised over the class, less the share set aside for unknown words (by the number of words
+seen once), so all outcomes of a step sum to one.
 
-Training uses every training text: its class trigram counts are summed over the cluster (at most
-129 * 129 * 128 cells), and the noise-contrastive objective is taken in expectation over the data and the noise.
+Training uses every training text. Class trigrams (at most 129 * 129 * 128 cells) are summed over the cluster for the class model. How
+often each word with a vector came after each context class is summed too, a table that grows with the vocabulary; as
+contexts are fixed by then, the noise-contrastive objective falls apart by word, and the cluster fits words
+side by side. Words with a vector grow with the input up to ``OWN_WORDS``, the most frequent ones, as all tasks
+hold their vectors. The objective is taken in expectation over the data and the noise.
 
 Defined cases: a null text is an empty text (its one token is the end). A null id counts as the text ''.
 Without any training text the base score is 0 and the model is uniform. Repeated rows are scored each.
@@ -20,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -37,6 +43,8 @@ CONTEXTS = CLASSES + 1
 #: Words never hold white space, so this is the end's token.
 END = "\n"
 BLOCK_TOKENS = 2_000_000
+#: Words with a vector of their own: how often they are seen at least, how many they are at most (80 bytes each), their vector's size and its ridge.
+OWN_COUNT, OWN_WORDS, OWN_DIM, OWN_RIDGE = 12, 1_000_000, 8, 2.0
 NOISE, STEPS, RATE = 10.0, 120, 0.08
 
 BLOCKS = "block long, doc_ids array<bigint>, held array<boolean>, lengths array<int>, codes binary, words array<string>, counts array<int>, tails binary"
@@ -126,21 +134,94 @@ def _unpacked(batch: pa.RecordBatch, i: int, kinds: np.ndarray) -> tuple[np.ndar
     return codes, lengths, (far * CONTEXTS + near) * CLASSES + target
 
 
-def class_trigrams(blocks: DataFrame, top: list[str]) -> DataFrame:
-    """(cell, n) of the class trigrams of all training tokens: a bounded table at any input size."""
-    values = pa.array(top, pa.string())
+def context_counts(blocks: DataFrame, top: list[str], own: list[str]) -> DataFrame:
+    """(word, cell, n) over all training tokens: class trigrams with word -1, and with a word of ``own`` (by place) the class before it."""
+    values, words_of_own = pa.array(top, pa.string()), pa.array(own, pa.string())
 
     def counted(batches):
         total = np.zeros(CONTEXTS * CONTEXTS * CLASSES, np.int64)
-        for batch in portions(batches):
+        for batch in batches:
             for i in range(batch.num_rows):
-                _, lengths, cells = _unpacked(batch, i, _classes(batch.column("words")[i], batch.column("tails")[i].as_py(), values))
+                words = batch.column("words")[i]
+                codes, lengths, cells = _unpacked(batch, i, _classes(words, batch.column("tails")[i].as_py(), values))
                 learn = np.repeat(~np.array(batch.column("held")[i].as_py(), bool), lengths)
                 total += np.bincount(cells[learn], minlength=len(total))
+                place = pc.fill_null(pc.index_in(words.values, value_set=words_of_own), -1).to_numpy().astype(np.int64)[codes]
+                learn &= place >= 0
+                keys, n = np.unique(place[learn] * CONTEXTS + cells[learn] // CLASSES % CONTEXTS, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((keys // CONTEXTS).astype(np.int32)), pa.array((keys % CONTEXTS).astype(np.int32)), pa.array(n)], ["word", "cell", "n"])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
-
-    return blocks.select("held", "lengths", "codes", "words", "tails").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["word", "cell", "n"])
+
+    rows = blocks.select("held", "lengths", "codes", "words", "tails").mapInArrow(counted, "word int, cell int, n long")
+    return cut(rows.groupBy("word", "cell").agg(F.sum("n").alias("n")))
+
+
+def fit_words(n: np.ndarray, after: np.ndarray, share: np.ndarray, contexts: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """By word, a bias and a vector: Newton's method on the expected noise-contrastive objective, for all words at once.
+
+    n: (word, context) how often the word came after the context; after: (word, context) how often any word of its class
+    did; share: the word's share of its class, from which the noise is drawn.
+    """
+    phi = np.hstack([np.ones((len(contexts), 1)), contexts])
+    noise = NOISE * after * share[:, None]
+    theta = np.zeros((len(n), phi.shape[1]))
+    ridge = OWN_RIDGE * np.eye(phi.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(theta @ phi.T - np.log(NOISE), -30, 30)))
+        slope = (n * (1 - p) - noise * p) @ phi - OWN_RIDGE * theta
+        curve = np.einsum("wc,ci,cj->wij", (n + noise) * p * (1 - p), phi, phi, optimize=True) + ridge
+        step = np.linalg.solve(curve, slope[..., None])[..., 0]
+        theta += np.clip(step, -2, 2)
+        if np.abs(step).max(initial=0) < 1e-3:
+            break
+    return theta
+
+
+def word_vectors(counts: DataFrame, c: np.ndarray, kinds: np.ndarray, n_class: np.ndarray, after: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """By word of ``own`` its bias and vector. c, kinds: its count and class; after: (class, context) counts. A row by word comes to the driver, ``OWN_WORDS`` at most."""
+    theta = np.zeros((len(c), 1 + contexts.shape[1]), np.float32)
+
+    def fitted(batches):
+        held: list[pa.RecordBatch] = [b for b in batches if b.num_rows]  # a part of the words, each with a row by context at most
+        if not held:
+            return
+        word, cell, n = (np.concatenate([b.column(x).to_numpy() for b in held]) for x in ("word", "cell", "n"))
+        words, place = np.unique(word, return_inverse=True)
+        for at in range(0, len(words), 2000):
+            here = words[at : at + 2000]
+            inside = (place >= at) & (place < at + len(here))
+            seen = np.zeros((len(here), CONTEXTS))
+            seen[place[inside] - at, cell[inside]] = n[inside]
+            found = fit_words(seen, after[kinds[here]], c[here] / n_class[kinds[here]], contexts).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(here), pa.array([x.tobytes() for x in found], pa.binary())], ["word", "theta"])
+
+    if len(c):
+        parts = max(1, len(c) // 4000)
+        rows = counts.where("word >= 0").repartition(parts, "word").mapInArrow(fitted, "word int, theta binary").toArrow()
+        if rows.num_rows:
+            theta[rows["word"].to_numpy()] = np.frombuffer(b"".join(rows["theta"].to_pylist()), np.float32).reshape(rows.num_rows, -1)
+    return theta
+
+
+def context_vectors(model: LogBilinear, weights: np.ndarray) -> np.ndarray:
+    """What the class model knows of the last token, in ``OWN_DIM`` directions of unit spread over the training tokens."""
+    r = model.p["R"] @ model.p["A"]
+    weights = weights / max(weights.sum(), 1)
+    r = r - weights @ r
+    values, directions = np.linalg.eigh((r * weights[:, None]).T @ r)
+    keep = np.argsort(-values)[:OWN_DIM]
+    return np.clip(r @ directions[:, keep] / np.sqrt(np.maximum(values[keep], 1e-12)), -6, 6)
+
+
+def normalisers(theta: np.ndarray, c: np.ndarray, kinds: np.ndarray, n_class: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """By class and context, the sum over the class's words of share times what their vectors say; words without a vector say 1."""
+    total = np.ones((CLASSES, len(contexts)))
+    for at in range(0, len(c), 20_000):
+        here = slice(at, at + 20_000)
+        share = c[here] / n_class[kinds[here]]
+        np.add.at(total, kinds[here], share[:, None] * np.expm1(theta[here, :1] + theta[here, 1:] @ contexts.T))
+    return total
 
 
 class LogBilinear:
@@ -190,14 +271,44 @@ class LogBilinear:
         return (s / np.log(10)).astype(np.float32)
 
 
-def train(trigrams: DataFrame) -> LogBilinear:
-    """The bounded trigram table comes to the driver; training there is the same work at any input size."""
-    rows = trigrams.toArrow()
+def train(trigrams: pa.Table) -> tuple[LogBilinear, np.ndarray]:
+    """The class model, and by class and context before it the counts; training on the driver is the same work at any input size."""
     n = np.zeros(CONTEXTS * CONTEXTS * CLASSES)
-    n[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    n[trigrams["cell"].to_numpy()] = trigrams["n"].to_numpy()
     n = n.reshape(-1, CLASSES)
     seen = np.flatnonzero(n.sum(1))
-    return LogBilinear().fit(seen // CONTEXTS, seen % CONTEXTS, n[seen])
+    return LogBilinear().fit(seen // CONTEXTS, seen % CONTEXTS, n[seen]), n.reshape(CONTEXTS, CONTEXTS, CLASSES).sum(0).T
+
+
+@dataclass
+class Words:
+    """Words with a vector: their names by place, what is said of each, and the normalisers by class and context."""
+
+    names: pa.Array
+    theta: np.ndarray
+    contexts: np.ndarray
+    log_total: np.ndarray
+
+    def said(self, place: np.ndarray, kinds: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """log10 of what the context adds for each token (place -1: no vector), normalised over the class."""
+        out = -self.log_total[kinds, near]
+        own = np.flatnonzero(place >= 0)
+        theta = self.theta[place[own]]
+        out[own] += theta[:, 0] + np.einsum("td,td->t", theta[:, 1:], self.contexts[near[own]])
+        return out / np.log(10)
+
+
+def learn_words(counts: DataFrame, top: list[str], n_class: np.ndarray, blocks: DataFrame) -> tuple[LogBilinear, Words]:
+    """Both parts of the model."""
+    frequent = counts.where((F.col("c") >= OWN_COUNT) & ~F.col("word").isin(top)).orderBy(F.desc("c"), "word").limit(OWN_WORDS).toArrow()
+    names, c = frequent["word"].combine_chunks(), frequent["c"].to_numpy()
+    names = names if isinstance(names, pa.Array) else pa.array([], pa.string())
+    kinds = np.fromiter((tail_class(w.encode()) for w in names.to_pylist()), np.int64, len(names))
+    found = context_counts(blocks, top, names.to_pylist())
+    model, after = train(found.where("word < 0").select("cell", "n").toArrow())
+    contexts = context_vectors(model, after.sum(0))
+    theta = word_vectors(found, c, kinds, n_class, after, contexts)
+    return model, Words(names, theta, contexts.astype(np.float32), np.log(normalisers(theta, c, kinds, n_class, contexts)))
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,10 +317,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     counts = word_counts(blocks)
     frequent = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(TOP - 1).select("word").toPandas()["word"].tolist()
     top = [END, *frequent]
-    model = train(class_trigrams(blocks, top))
-    values = pa.array(top, pa.string())
-    n_class, once = _class_sizes(counts, values)
+    n_class, once = _class_sizes(counts, pa.array(top, pa.string()))
     n_all, distinct = int(n_class.sum()), counts.count()
+    model, words = learn_words(counts, top, n_class, blocks)
     p = model.p
 
     def scored(batches):
@@ -219,37 +329,44 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         unseen = (once + 0.5) / (n_class + 1.0)
         unseen[: len(top)] = 0.0
         unseen[n_class == 0] = 1.0
-        for batch in portions(batches):
+        for batch in batches:
             for i in range(batch.num_rows):
                 kinds = np.frombuffer(batch.column("tails")[i].as_py(), np.uint8).astype(np.int64)
                 own = batch.column("tops")[i].values
                 if own is not None and len(own):
                     kinds[own.to_numpy() >> 8] = own.to_numpy() & 255
                 codes, lengths, cells = _unpacked(batch, i, kinds)
-                c = np.zeros(len(kinds), np.int64)
+                c, place = np.zeros(len(kinds), np.int64), np.full(len(kinds), -1, np.int32)
                 found = batch.column("found")[i].values
                 if found is not None and len(found):
                     packed = found.to_numpy()
                     c[packed >> 40] = packed & ((1 << 40) - 1)
+                placed = batch.column("placed")[i].values
+                if placed is not None and len(placed):
+                    place[placed.to_numpy() >> 32] = placed.to_numpy() & ((1 << 32) - 1)
                 base = np.log10((c + 0.1) / (n_all + 0.1 * (distinct + 1)))
-                with np.errstate(divide="ignore"):
-                    inside = np.where(c > 0, np.log10(np.maximum(1 - unseen[kinds], 1e-12)) + np.log10(np.maximum(c, 1) / np.maximum(n_class[kinds], 1)), np.log10(np.maximum(unseen[kinds], 1e-12)))
+                inside = np.where(c > 0, np.log10(np.maximum(1 - unseen[kinds], 1e-12)) + np.log10(np.maximum(c, 1) / np.maximum(n_class[kinds], 1)), np.log10(np.maximum(unseen[kinds], 1e-12)))
+                by_token = inside[codes] + table[cells]
+                known = np.flatnonzero(c[codes] > 0)
+                by_token[known] += words.said(place[codes[known]], kinds[codes[known]], cells[known] // CLASSES % CONTEXTS)
                 starts = np.cumsum(lengths) - lengths
-                sums = [np.add.reduceat(x, starts) for x in (base[codes], inside[codes] + table[cells], (c > 0)[codes].astype(np.int64))]
+                sums = [np.add.reduceat(x, starts) for x in (base[codes], by_token, (c > 0)[codes].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_ids")[i].values, batch.column("held")[i].values, pa.array(lengths.astype(np.int64)), pa.array(sums[2]), pa.array(np.full(len(lengths), n_all)), pa.array(sums[0]), pa.array(sums[1])],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    # a block gets its words' counts and the classes of its frequent words by place; its words needn't travel again
+    # a block gets its words' counts, the classes of its frequent words and places of words with a vector; its words needn't travel again
     at = blocks.select("block", F.posexplode("words").alias("pos", "word"))
     ranks = F.create_map(*[F.lit(x) for k, w in enumerate(top) for x in (w, k)])
+    places = docs.sparkSession.createDataFrame(pa.table({"word": words.names, "place": pa.array(np.arange(len(words.names)), pa.int64())})) if len(words.names) else None
     known = counts.withColumn("rank", ranks[F.col("word")])
+    known = known.join(places, "word", "left") if places else known.withColumn("place", F.lit(None).cast("long"))
     pos = F.col("pos").cast("long")
-    found = at.join(known, "word").select("block", (F.shiftleft(pos, 40) + F.col("c")).alias("packed"), (F.shiftleft(pos, 8) + F.col("rank")).alias("top"))
-    found = found.groupBy("block").agg(F.collect_list("packed").alias("found"), F.collect_list("top").alias("tops"))
-    joined = blocks.drop("counts", "words").join(found.hint("shuffle_hash"), "block", "left")
-    return joined.select("doc_ids", "held", "lengths", "codes", "tails", "found", "tops").mapInArrow(scored, SCORES)
+    found = at.join(known, "word").select("block", (F.shiftleft(pos, 40) + F.col("c")).alias("packed"), (F.shiftleft(pos, 8) + F.col("rank")).alias("top"), (F.shiftleft(pos, 32) + F.col("place")).alias("placed"))
+    found = found.groupBy("block").agg(F.collect_list("packed").alias("found"), F.collect_list("top").alias("tops"), F.collect_list("placed").alias("placed"))
+    joined = blocks.drop("counts", "words").join(found, "block", "left")
+    return joined.select("doc_ids", "held", "lengths", "codes", "tails", "found", "tops", "placed").mapInArrow(scored, SCORES)
 
 
 def _class_sizes(counts: DataFrame, top: pa.Array) -> tuple[np.ndarray, np.ndarray]:

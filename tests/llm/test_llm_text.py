@@ -56,6 +56,56 @@ def test_lm_learns_and_is_normalised():
     assert all(table[far * lm.CONTEXTS + near].argmax() == (near + 3) % 10 for far in range(10) for near in range(10))
 
 
+def test_lm_scores_equal_brute_force_and_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(lm, "OWN_COUNT", 3)
+    r = random.Random(11)
+    ends = [f"{x}{z}{y}" for x in "bcdfg" for z in "aeiou" for y in ("an", "est", "ing", "ed.", "le")]
+    follow = {w: r.sample(ends, 16) for w in "abcdefgh"}
+    texts = {i: " ".join(x for _ in range(r.randrange(0, 30)) for w in [r.choice("abcdefgh")] for x in (w, r.choice(follow[w]))) for i in range(300)} | {900: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tokens = {i: [*WORD.findall(lower(t)), "\n"] for i, t in texts.items()}
+    counts = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    blocks = lm.code_blocks(docs)
+    known = lm.word_counts(blocks)
+    top = ["\n", *[w for w, _ in sorted(((w, c) for w, c in counts.items() if w != "\n"), key=lambda x: (-x[1], x[0]))[: lm.TOP - 1]]]
+    kind = lambda w: top.index(w) if w in top else lm.tail_class(w.encode())
+    n_class, once = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    for w, c in counts.items():
+        n_class[kind(w)] += c
+        once[kind(w)] += c == 1
+    model, words = lm.learn_words(known, top, n_class, blocks)
+    places = {w: i for i, w in enumerate(words.names.to_pylist())}
+    assert set(places) == {w for w, c in counts.items() if c >= 3 and w not in top}
+    table = 10.0 ** model.log_probs().astype(float)
+    unseen = np.where(n_class == 0, 1.0, (once + 0.5) / (n_class + 1))
+    unseen[: len(top)] = 0
+
+    def weight(w, near):
+        said = words.theta[places[w], 0] + words.theta[places[w], 1:] @ words.contexts[near] if w in places else 0.0
+        return counts[w] / n_class[kind(w)] * math.exp(said)
+
+    def probability(w, far, near):
+        k = kind(w)
+        inside = unseen[k] if not counts[w] else (1 - unseen[k]) * weight(w, near) / sum(weight(x, near) for x in counts if kind(x) == k)
+        return table[far * lm.CONTEXTS + near, k] * inside
+
+    for far, near in [(lm.START, lm.START), (0, 1), (5, kind("zzz")), (lm.START, 3)]:
+        assert sum(probability(w, far, near) for w in counts) + (table[far * lm.CONTEXTS + near] * unseen).sum() == pytest.approx(1, abs=1e-4)
+    got = {x["doc_id"]: x["score"] for x in lm.score(docs).collect()}
+    for i in [900, *list(texts)[:40]]:
+        kinds = [lm.START, lm.START, *map(kind, tokens[i])]
+        want = sum(math.log10(probability(w, kinds[k], kinds[k + 1])) for k, w in enumerate(tokens[i]))
+        assert got[i] == pytest.approx(want, abs=1e-3 * len(tokens[i]))
+
+
+def test_lm_words_learn_their_contexts():
+    contexts = np.eye(4)[:, :3]
+    n = np.array([[900.0, 100, 0, 0], [10, 10, 10, 10]])
+    theta = lm.fit_words(n, np.full((2, 4), 2000.0), np.array([0.125, 0.005]), contexts)
+    said = np.exp(theta[:, :1] + theta[:, 1:] @ contexts.T)
+    assert said[0] == pytest.approx([900 / 250, 100 / 250, 0.02, 0.02], rel=0.2, abs=0.05) and said[1] == pytest.approx(1, abs=0.05)
+
+
 def test_lm_empty_and_untrained(spark):
     assert lm.score(spark.createDataFrame([], DOCS)).count() == 0
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
