@@ -45,6 +45,8 @@ END = "\n"
 BLOCK_TOKENS = 2_000_000
 #: Words with a vector of their own: how often they are seen at least, how many they are at most (80 bytes each), their vector's size and its ridge.
 OWN_COUNT, OWN_WORDS, OWN_DIM, OWN_RIDGE = 12, 1_000_000, 8, 2.0
+#: Words that are fitted in one go.
+PART = 2048
 NOISE, STEPS, RATE = 10.0, 120, 0.08
 
 BLOCKS = "block long, doc_ids array<bigint>, held array<boolean>, lengths array<int>, codes binary, words array<string>, counts array<int>, tails binary"
@@ -134,27 +136,53 @@ def _unpacked(batch: pa.RecordBatch, i: int, kinds: np.ndarray) -> tuple[np.ndar
     return codes, lengths, (far * CONTEXTS + near) * CLASSES + target
 
 
-def context_counts(blocks: DataFrame, top: list[str], own: list[str]) -> DataFrame:
-    """(word, cell, n) over all training tokens: class trigrams with word -1, and with a word of ``own`` (by place) the class before it."""
-    values, words_of_own = pa.array(top, pa.string()), pa.array(own, pa.string())
+def class_trigrams(blocks: DataFrame, top: list[str]) -> DataFrame:
+    """(cell, n) of the class trigrams of all training tokens: a bounded table at any input size."""
+    values = pa.array(top, pa.string())
 
     def counted(batches):
         total = np.zeros(CONTEXTS * CONTEXTS * CLASSES, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                words = batch.column("words")[i]
-                codes, lengths, cells = _unpacked(batch, i, _classes(words, batch.column("tails")[i].as_py(), values))
+                _, lengths, cells = _unpacked(batch, i, _classes(batch.column("words")[i], batch.column("tails")[i].as_py(), values))
                 learn = np.repeat(~np.array(batch.column("held")[i].as_py(), bool), lengths)
                 total += np.bincount(cells[learn], minlength=len(total))
-                place = pc.fill_null(pc.index_in(words.values, value_set=words_of_own), -1).to_numpy().astype(np.int64)[codes]
-                learn &= place >= 0
-                keys, n = np.unique(place[learn] * CONTEXTS + cells[learn] // CLASSES % CONTEXTS, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((keys // CONTEXTS).astype(np.int32)), pa.array((keys % CONTEXTS).astype(np.int32)), pa.array(n)], ["word", "cell", "n"])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["word", "cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    return blocks.select("held", "lengths", "codes", "words", "tails").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def contexts_by_word(blocks: DataFrame, top: list[str], own: pa.Array) -> DataFrame:
+    """(part, seen): of each block, and of each ``PART`` words of ``own``, how often a word came after a context class in the
+    training tokens: keys (word in the part, context) in order and their counts, compressed."""
+    values = pa.array(top, pa.string())
 
-    rows = blocks.select("held", "lengths", "codes", "words", "tails").mapInArrow(counted, "word int, cell int, n long")
-    return cut(rows.groupBy("word", "cell").agg(F.sum("n").alias("n")))
+    def counted(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column("words")[i]
+                codes, lengths, cells = _unpacked(batch, i, _classes(words, batch.column("tails")[i].as_py(), values))
+                place = pc.fill_null(pc.index_in(words.values, value_set=own), -1).to_numpy().astype(np.int64)[codes]
+                learn = np.repeat(~np.array(batch.column("held")[i].as_py(), bool), lengths) & (place >= 0)
+                keys, n = np.unique(place[learn] * CONTEXTS + cells[learn] // CLASSES % CONTEXTS, return_counts=True)
+                parts, starts = np.unique(keys // (PART * CONTEXTS), return_index=True)
+                ends = np.append(starts, len(keys))[1:]
+                seen = [packed_counts(keys[a:b] - p * PART * CONTEXTS, n[a:b]) for p, a, b in zip(parts.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(seen, pa.binary())], ["part", "seen"])
+
+    return blocks.select("held", "lengths", "codes", "words", "tails").mapInArrow(counted, "part int, seen binary")
+
+
+def packed_counts(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys as steps, and counts, with bytes of a place side by side."""
+    steps = np.diff(keys, prepend=0).astype("<u4")
+    return zstandard.compress(np.concatenate([steps, n.astype("<u4")]).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpacked_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.cumsum(both[: len(both) // 2].astype(np.int64)), both[len(both) // 2 :]
 
 
 def fit_words(n: np.ndarray, after: np.ndarray, share: np.ndarray, contexts: np.ndarray, rounds: int = 6) -> np.ndarray:
@@ -178,29 +206,29 @@ def fit_words(n: np.ndarray, after: np.ndarray, share: np.ndarray, contexts: np.
     return theta
 
 
-def word_vectors(counts: DataFrame, c: np.ndarray, kinds: np.ndarray, n_class: np.ndarray, after: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+def word_vectors(seen: DataFrame, c: np.ndarray, kinds: np.ndarray, n_class: np.ndarray, after: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """By word of ``own`` its bias and vector. c, kinds: its count and class; after: (class, context) counts. A row by word comes to the driver, ``OWN_WORDS`` at most."""
     theta = np.zeros((len(c), 1 + contexts.shape[1]), np.float32)
 
     def fitted(batches):
-        held: list[pa.RecordBatch] = [b for b in batches if b.num_rows]  # a part of the words, each with a row by context at most
-        if not held:
-            return
-        word, cell, n = (np.concatenate([b.column(x).to_numpy() for b in held]) for x in ("word", "cell", "n"))
-        words, place = np.unique(word, return_inverse=True)
-        for at in range(0, len(words), 2000):
-            here = words[at : at + 2000]
-            inside = (place >= at) & (place < at + len(here))
-            seen = np.zeros((len(here), CONTEXTS))
-            seen[place[inside] - at, cell[inside]] = n[inside]
-            found = fit_words(seen, after[kinds[here]], c[here] / n_class[kinds[here]], contexts).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(here), pa.array([x.tobytes() for x in found], pa.binary())], ["word", "theta"])
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column("part").to_pylist(), batch.column("seen").to_pylist(), strict=True):
+                if part not in totals:
+                    totals[part] = np.zeros(PART * CONTEXTS, np.float32)
+                keys, n = unpacked_counts(raw)
+                totals[part][keys] += n
+        for part, total in totals.items():
+            here = slice(part * PART, min((part + 1) * PART, len(c)))
+            n = total.reshape(PART, CONTEXTS)[: here.stop - here.start].astype(np.float64)
+            found = fit_words(n, after[kinds[here]], c[here] / n_class[kinds[here]], contexts).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["part", "theta"])
 
     if len(c):
-        parts = max(1, len(c) // 4000)
-        rows = counts.where("word >= 0").repartition(parts, "word").mapInArrow(fitted, "word int, theta binary").toArrow()
-        if rows.num_rows:
-            theta[rows["word"].to_numpy()] = np.frombuffer(b"".join(rows["theta"].to_pylist()), np.float32).reshape(rows.num_rows, -1)
+        rows = seen.repartition(max(1, -(-len(c) // PART)), "part").mapInArrow(fitted, "part int, theta binary").toArrow()
+        for part, raw in zip(rows["part"].to_pylist(), rows["theta"].to_pylist(), strict=True):
+            found = np.frombuffer(raw, np.float32).reshape(-1, theta.shape[1])
+            theta[part * PART : part * PART + len(found)] = found
     return theta
 
 
@@ -282,9 +310,10 @@ def train(trigrams: pa.Table) -> tuple[LogBilinear, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words with a vector: their names by place, what is said of each, and the normalisers by class and context."""
+    """Words with a vector: their names and training counts by place, what is said of each, and the normalisers by class and context."""
 
     names: pa.Array
+    c: np.ndarray
     theta: np.ndarray
     contexts: np.ndarray
     log_total: np.ndarray
@@ -301,26 +330,41 @@ class Words:
 def learn_words(counts: DataFrame, top: list[str], n_class: np.ndarray, blocks: DataFrame) -> tuple[LogBilinear, Words]:
     """Both parts of the model."""
     frequent = counts.where((F.col("c") >= OWN_COUNT) & ~F.col("word").isin(top)).orderBy(F.desc("c"), "word").limit(OWN_WORDS).toArrow()
-    names, c = frequent["word"].combine_chunks(), frequent["c"].to_numpy()
-    names = names if isinstance(names, pa.Array) else pa.array([], pa.string())
+    names, c = pa.array(frequent["word"].to_pylist(), pa.string()), frequent["c"].to_numpy()
     kinds = np.fromiter((tail_class(w.encode()) for w in names.to_pylist()), np.int64, len(names))
-    found = context_counts(blocks, top, names.to_pylist())
-    model, after = train(found.where("word < 0").select("cell", "n").toArrow())
+    model, after = train(class_trigrams(blocks, top).toArrow())
     contexts = context_vectors(model, after.sum(0))
-    theta = word_vectors(found, c, kinds, n_class, after, contexts)
-    return model, Words(names, theta, contexts.astype(np.float32), np.log(normalisers(theta, c, kinds, n_class, contexts)))
+    theta = word_vectors(contexts_by_word(blocks, top, names), c, kinds, n_class, after, contexts)
+    return model, Words(names, c, theta, contexts.astype(np.float32), np.log(normalisers(theta, c, kinds, n_class, contexts)))
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Base and model log10 probability of every text; learns from the texts that aren't held out."""
     blocks = code_blocks(docs, doc_id, text)
     counts = word_counts(blocks)
-    frequent = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(TOP - 1).select("word").toPandas()["word"].tolist()
-    top = [END, *frequent]
+    frequent = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(TOP - 1).union(counts.where(F.col("word") == END)).toPandas()
+    own_count = dict(zip(frequent["word"], frequent["c"], strict=True))
+    top = [END, *[w for w in frequent["word"] if w != END]]
     n_class, once = _class_sizes(counts, pa.array(top, pa.string()))
     n_all, distinct = int(n_class.sum()), counts.count()
     model, words = learn_words(counts, top, n_class, blocks)
     p = model.p
+    # all tasks know the counts of the top words and of those with a vector; only other words meet theirs by a shuffle
+    held_names = pa.concat_arrays([pa.array(top, pa.string()), words.names])
+    held_counts = np.concatenate([[own_count.get(w, 0) for w in top], words.c]).astype(np.int64)
+
+    def resolved(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here = batch.slice(i, 1)
+                place = pc.fill_null(pc.index_in(here.column("words")[0].values, value_set=held_names), -1).to_numpy().astype("<i4")
+                yield pa.RecordBatch.from_arrays([*(here.column(x) for x in ("block", "doc_ids", "held", "lengths", "codes", "tails")), pa.array([zstandard.compress(place.tobytes(), 1)])], ["block", "doc_ids", "held", "lengths", "codes", "tails", "places"])
+
+    def others(batches):
+        for batch in batches:
+            for block, own in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
+                at = np.flatnonzero(pc.index_in(own.values, value_set=held_names).is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), own.values.take(pa.array(at))], ["block", "pos", "word"])
 
     def scored(batches):
         table = LogBilinear()
@@ -331,24 +375,20 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         unseen[n_class == 0] = 1.0
         for batch in batches:
             for i in range(batch.num_rows):
-                kinds = np.frombuffer(batch.column("tails")[i].as_py(), np.uint8).astype(np.int64)
-                own = batch.column("tops")[i].values
-                if own is not None and len(own):
-                    kinds[own.to_numpy() >> 8] = own.to_numpy() & 255
+                place = np.frombuffer(zstandard.decompress(batch.column("places")[i].as_py()), "<i4")
+                kinds = np.where((place >= 0) & (place < len(top)), place, np.frombuffer(batch.column("tails")[i].as_py(), np.uint8)).astype(np.int64)
                 codes, lengths, cells = _unpacked(batch, i, kinds)
-                c, place = np.zeros(len(kinds), np.int64), np.full(len(kinds), -1, np.int32)
+                c = np.where(place >= 0, held_counts[place], 0)
                 found = batch.column("found")[i].values
                 if found is not None and len(found):
                     packed = found.to_numpy()
                     c[packed >> 40] = packed & ((1 << 40) - 1)
-                placed = batch.column("placed")[i].values
-                if placed is not None and len(placed):
-                    place[placed.to_numpy() >> 32] = placed.to_numpy() & ((1 << 32) - 1)
                 base = np.log10((c + 0.1) / (n_all + 0.1 * (distinct + 1)))
                 inside = np.where(c > 0, np.log10(np.maximum(1 - unseen[kinds], 1e-12)) + np.log10(np.maximum(c, 1) / np.maximum(n_class[kinds], 1)), np.log10(np.maximum(unseen[kinds], 1e-12)))
                 by_token = inside[codes] + table[cells]
-                known = np.flatnonzero(c[codes] > 0)
-                by_token[known] += words.said(place[codes[known]], kinds[codes[known]], cells[known] // CLASSES % CONTEXTS)
+                known = np.flatnonzero((c > 0)[codes])
+                own = codes[known]
+                by_token[known] += words.said(np.maximum(place - len(top), -1)[own], kinds[own], cells[known] // CLASSES % CONTEXTS)
                 starts = np.cumsum(lengths) - lengths
                 sums = [np.add.reduceat(x, starts) for x in (base[codes], by_token, (c > 0)[codes].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
@@ -356,17 +396,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    # a block gets its words' counts, the classes of its frequent words and places of words with a vector; its words needn't travel again
-    at = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    ranks = F.create_map(*[F.lit(x) for k, w in enumerate(top) for x in (w, k)])
-    places = docs.sparkSession.createDataFrame(pa.table({"word": words.names, "place": pa.array(np.arange(len(words.names)), pa.int64())})) if len(words.names) else None
-    known = counts.withColumn("rank", ranks[F.col("word")])
-    known = known.join(places, "word", "left") if places else known.withColumn("place", F.lit(None).cast("long"))
-    pos = F.col("pos").cast("long")
-    found = at.join(known, "word").select("block", (F.shiftleft(pos, 40) + F.col("c")).alias("packed"), (F.shiftleft(pos, 8) + F.col("rank")).alias("top"), (F.shiftleft(pos, 32) + F.col("place")).alias("placed"))
-    found = found.groupBy("block").agg(F.collect_list("packed").alias("found"), F.collect_list("top").alias("tops"), F.collect_list("placed").alias("placed"))
-    joined = blocks.drop("counts", "words").join(found, "block", "left")
-    return joined.select("doc_ids", "held", "lengths", "codes", "tails", "found", "tops", "placed").mapInArrow(scored, SCORES)
+    rare = blocks.select("block", "words").mapInArrow(others, "block long, pos int, word string")
+    rare_counts = counts.where(F.col("c") <= (int(words.c.min()) if len(words.c) == OWN_WORDS else OWN_COUNT))
+    found = rare.join(rare_counts, "word").select("block", (F.shiftleft(F.col("pos").cast("long"), 40) + F.col("c")).alias("packed"))
+    found = found.groupBy("block").agg(F.collect_list("packed").alias("found"))
+    placed = blocks.select("block", "doc_ids", "held", "lengths", "codes", "tails", "words").mapInArrow(resolved, "block long, doc_ids array<bigint>, held array<boolean>, lengths array<int>, codes binary, tails binary, places binary")
+    return placed.join(found, "block", "left").drop("block").mapInArrow(scored, SCORES)
 
 
 def _class_sizes(counts: DataFrame, top: pa.Array) -> tuple[np.ndarray, np.ndarray]:
