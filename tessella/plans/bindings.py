@@ -88,10 +88,10 @@ ppx AS (SELECT sample_id, y, x, max(label) AS label FROM pboxpx GROUP BY ALL)"""
 
 #: Classes of the painted true label map.
 SEM = f"""
-sem AS (SELECT p.sample_id, p.y, p.x, p.label, CASE WHEN
-  (p.x = 0 OR l.label = p.label) AND (p.x = {SIDE - 1} OR r.label = p.label) AND (p.y = 0 OR u.label = p.label) AND (p.y = {SIDE - 1} OR d.label = p.label) THEN 1 ELSE 2 END AS cls
-  FROM tpx p LEFT JOIN tpx l ON l.sample_id = p.sample_id AND l.y = p.y AND l.x = p.x - 1 LEFT JOIN tpx r ON r.sample_id = p.sample_id AND r.y = p.y AND r.x = p.x + 1
-  LEFT JOIN tpx u ON u.sample_id = p.sample_id AND u.y = p.y - 1 AND u.x = p.x LEFT JOIN tpx d ON d.sample_id = p.sample_id AND d.y = p.y + 1 AND d.x = p.x)"""
+near AS (SELECT *, lag(x) OVER h AS lx, lag(label) OVER h AS ll, lead(x) OVER h AS rx, lead(label) OVER h AS rl, lag(y) OVER v AS uy, lag(label) OVER v AS ul, lead(y) OVER v AS ny, lead(label) OVER v AS nl
+  FROM tpx WINDOW h AS (PARTITION BY sample_id, y ORDER BY x), v AS (PARTITION BY sample_id, x ORDER BY y)),
+sem AS (SELECT sample_id, y, x, label, CASE WHEN (x = 0 OR (lx = x - 1 AND ll = label)) AND (x = {SIDE - 1} OR (rx = x + 1 AND rl = label))
+  AND (y = 0 OR (uy = y - 1 AND ul = label)) AND (y = {SIDE - 1} OR (ny = y + 1 AND nl = label)) THEN 1 ELSE 2 END AS cls FROM near)"""
 
 #: Overlaps, areas and IoUs of the painted maps.
 PAIRS = """

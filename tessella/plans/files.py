@@ -18,105 +18,13 @@ def _px(s, d):
     return B.raster(s, d).select(*V, "y", "x", F.col("u").alias("v"))
 
 
-@query("src_02", f"{RASTER} x AS (SELECT 1) SELECT vec_id, y, x, u / 255.0::DOUBLE AS v FROM rast")
-def src_02(s, d):
-    """Pixels as shares of the greatest value."""
-    return _px(s, d).withColumn("v", F.col("v") / F.lit(255.0))
-
-
-@query("src_03", f"{RASTER} x AS (SELECT 1) SELECT vec_id, y, x, u % 3 AS cls FROM rast")
-@query("src_06", f"{RASTER} x AS (SELECT 1) SELECT vec_id, y, x, u % 3 AS cls FROM rast")
 @query("flt_10", f"{RASTER} x AS (SELECT 1) SELECT vec_id, y, x, u % 3 AS cls FROM rast")
-def src_03(s, d):
+def flt_10(s, d):
     """Masks of one band; a class beyond 0, 1, 2 is an error."""
     m = _px(s, d).withColumn("cls", F.col("v") % 3)
     return m.select(*V, "y", "x", catalog.require(F.col("cls").isin(0, 1, 2), F.col("cls"), "a mask's classes are 0, 1 and 2").alias("cls"))
 
 
-@query("src_04", f"{RASTER} x AS (SELECT 1) SELECT vec_id // 3 AS grp, (vec_id % 3)::INTEGER AS c, y, x, u AS v FROM rast")
-@query("src_05", f"{RASTER} x AS (SELECT 1) SELECT vec_id // 3 AS grp, (vec_id % 3)::INTEGER AS c, y, x, u AS v FROM rast")
-def src_04(s, d):
-    """Channels first: from images whose channels come last, as one flat array."""
-    i = F.expr("(y * 8 + x) * 3 + c")
-    flat = _px(s, d).select(F.expr("vec_id div 3").alias("grp"), (F.col("vec_id") % 3).cast("int").alias("c"), "y", "x", "v").select("grp", i.alias("i"), "v")
-    return flat.select("grp", (F.col("i") % 3).alias("c"), F.expr("i div 24").cast("int").alias("y"), F.expr("(i div 3) % 8").cast("int").alias("x"), "v")
-
-
-@query("src_08", f"{RASTER} x AS (SELECT 1) SELECT vec_id // 3 AS grp, (y // 4)::INTEGER AS ty, (x // 4)::INTEGER AS tx, sum(u)::BIGINT AS total FROM rast GROUP BY ALL")
-def src_08(s, d):
-    """Aligned images read by blocks."""
-    p = _px(s, d).select(F.expr("vec_id div 3").alias("grp"), F.expr("y div 4").cast("int").alias("ty"), F.expr("x div 4").cast("int").alias("tx"), "v")
-    return p.groupBy("grp", "ty", "tx").agg(F.sum("v").alias("total"))
-
-
-@query("src_09", f"{BOXES} st AS (SELECT unnest([0, 12, 24, 36, 48]) AS o) SELECT sample_id, a.o AS y0, b.o AS x0, count(*) AS n FROM tpx, st a, st b WHERE y >= a.o AND y < a.o + 16 AND x >= b.o AND x < b.o + 16 GROUP BY ALL")
-def src_09(s, d):
-    """Tiles of 16 that overlap by 4, with the pixels in each: a pixel finds its tiles by arithmetic, without a join."""
-    of = lambda c: F.filter(F.sequence(F.lit(0), F.lit(48), F.lit(12)), lambda o: (F.col(c) >= o) & (F.col(c) < o + 16))
-    p = B.pixels(s, d).withColumn("y0", F.explode(of("y"))).withColumn("x0", F.explode(of("x")))
-    return p.groupBy(*K, "y0", "x0").agg(F.count("*").alias("n"))
-
-
-PARTS = "SELECT sample_id, count(*) AS parts, sum((x1 - x0) * (y1 - y0))::BIGINT AS area FROM tb WHERE x1 > x0 AND y1 > y0 GROUP BY ALL"
-
-
-@query("src_10", f"{BOXES} x AS (SELECT 1) {PARTS}")
-@query("src_11", f"{BOXES} x AS (SELECT 1) {PARTS}")
-@query("src_12", f"{BOXES} x AS (SELECT 1) {PARTS}")
-def src_11(s, d):
-    """Collections of polygons, flattened; null and empty ones are dropped."""
-    b = B.boxes(s, d)
-    part = F.when((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), F.struct("x0", "y0", "x1", "y1"))
-    many = b.groupBy(*K).agg(F.collect_list(F.array(part)).alias("g")).select(*K, F.explode(F.flatten("g")).alias("p")).where("p is not null")
-    return many.groupBy(*K).agg(F.count("*").alias("parts"), F.sum((F.col("p.x1") - F.col("p.x0")) * (F.col("p.y1") - F.col("p.y0"))).cast("long").alias("area"))
-
-
-@query("src_24", f"{RASTER} e AS (SELECT vec_id // 3 AS grp, vec_id % 3 AS f, min(u) AS lo, max(u) AS hi FROM rast GROUP BY ALL), n AS (SELECT vec_id // 3 AS grp, vec_id % 3 AS f, y, x, CASE WHEN hi > lo THEN floor((u - lo)::DOUBLE / (hi - lo)::DOUBLE * 255)::INTEGER ELSE 0 END AS v FROM rast JOIN e ON e.grp = vec_id // 3 AND e.f = vec_id % 3), m AS (SELECT grp, max(f) AS last FROM n GROUP BY ALL) SELECT n.grp, c::INTEGER AS c, y, x, v FROM n JOIN m USING (grp), range(3) r(c) WHERE f = least(c, last)")
-def src_24(s, d):
-    """Previews: the first three frames, each stretched to 0 to 255; the last one is repeated where there are fewer."""
-    p = _px(s, d).select(F.expr("vec_id div 3").alias("grp"), (F.col("vec_id") % 3).cast("int").alias("c"), "y", "x", "v")
-    n = raster.normalise_channels(p, ["grp"])
-    last = n.groupBy("grp").agg(F.max("c").alias("last"))
-    want = F.when(F.col("c") == F.col("last"), F.sequence("c", F.lit(2))).otherwise(F.array("c"))
-    return n.join(last, "grp").withColumn("c", F.explode(want)).select("grp", "c", "y", "x", "v")
-
-
-@query("src_16", "SELECT r_regionkey, n_nationkey % 5 AS place, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-def src_16(s, d):
-    """Names given as a map by number."""
-    n = B.table(s, d, "nation").select("n_regionkey", (F.col("n_nationkey") % 5).alias("place"), F.col("n_nationkey").alias("k"), "n_name")
-    maps = n.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("place", "n_name").alias("v")))).alias("names"))
-    return maps.select("r_regionkey", F.explode("names").alias("k", "v")).select("r_regionkey", "v.place", "v.n_name")
-
-
-SHAPES = "sh AS (SELECT sample_id, label, count(*) AS area, min(x)::INTEGER AS bx0, min(y)::INTEGER AS by0, max(x)::INTEGER AS bx1, max(y)::INTEGER AS by1 FROM tpx GROUP BY ALL)"
-
-
-@query("src_13", f"{BOXES} {SHAPES} SELECT * FROM sh")
-@query("src_14", f"{BOXES} {SHAPES} SELECT * FROM sh")
-@query("snk_08", f"{BOXES} {SHAPES} SELECT * FROM sh")
-def snk_08(s, d):
-    """Annotations written as JSON lines and read back."""
-    return shared.written(runs.shapes(B.label_runs(s, d), K), kind="json")
-
-
-@query("snk_01", f"{BOXES} x AS (SELECT 1) SELECT sample_id, label, ((x1 - x0) * (y1 - y0))::DOUBLE AS area FROM tb WHERE x1 > x0 AND y1 > y0")
-def snk_01(s, d):
-    """Rings written as a table and read back."""
-    from tessella.functions import arrays
-
-    b = B.boxes(s, d).where("x1 > x0 and y1 > y0")
-    t = shared.written(b.select(*K, "label", F.array(arrays.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("rings")))
-    return t.select(*K, "label", arrays.shoelace(F.get("rings", F.lit(0))).alias("area"))
-
-
-@query("snk_02", f"{RASTER} x AS (SELECT 1) SELECT vec_id, y, x, u AS v FROM rast")
-@query("snk_03", f"{RASTER} x AS (SELECT 1) SELECT vec_id, y, x, u AS v FROM rast")
-def snk_03(s, d):
-    """Rasters written in stripes and read back."""
-    return shared.written(_px(s, d).withColumn("stripe", F.expr("y div 4")), ["stripe"]).select(*V, "y", "x", "v")
-
-
 @query("snk_04", f"{RASTER} x AS (SELECT 1) SELECT vec_id, sum(u)::BIGINT AS total FROM rast GROUP BY ALL")
 def snk_04(s, d):
     """A cache of predictions: half of the samples are there, the others are added, none twice."""

@@ -11,6 +11,7 @@ from tessella.operators import catalog, runs, series
 from tessella.plans import bindings as B
 from tessella.plans.registry import query
 from tessella.sources import readers
+from tessella.sources.shared import cut
 
 U = ["user_id"]
 WITH = f"WITH {B.SERIES}, "
@@ -112,8 +113,9 @@ def _log(s, d):
 def src_21(s, d):
     """Measures of log lines; the epoch is the match's place in the log."""
     found = series.parse_log(_log(s, d)).drop("value")
-    # a log is one file with one order; its places are offsets by range plus ranks inside, so no task holds it all
-    part = found.repartitionByRange("event_id").sortWithinPartitions("event_id").withColumn("_p", F.spark_partition_id())
+    # a log is one file with one order; its places are offsets by range plus ranks inside, so no task holds it all.
+    # The ranges are drawn once and kept, as offsets and ranks have to speak of the same ones.
+    part = cut(found.repartitionByRange("event_id").withColumn("_p", F.spark_partition_id()))
     sizes = part.groupBy("_p").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     place = F.row_number().over(Window.partitionBy("_p").orderBy("event_id"))
@@ -142,13 +144,6 @@ def src_22(s, d):
     return e.select("event_id", F.col("b.k").alias("min_distance"))
 
 
-@query("src_19", f"{WITH} x AS (SELECT 1) SELECT user_id, i, fitness FROM ser WHERE NOT isnan(fitness)")
-@query("src_20", f"{WITH} x AS (SELECT 1) SELECT user_id, i, fitness FROM ser WHERE NOT isnan(fitness)")
-def src_19(s, d):
-    """Series without NaN."""
-    return B.series(s, d).where(~F.isnan("fitness")).select("user_id", "i", "fitness")
-
-
 @query("snk_11", "WITH e AS (SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events), t AS (SELECT event_id, list_concat(['--min-distance', k::VARCHAR], CASE WHEN k % 2 = 0 THEN ['--exclude-border'] ELSE [] END, CASE WHEN k % 3 = 0 THEN [] ELSE ['--ridge-level', (k % 3)::VARCHAR || '.0'] END) AS l FROM e) SELECT event_id, (p - 1)::INTEGER AS pos, l[p] AS token FROM t, range(1, 6) r(p) WHERE p <= len(l)")
 def snk_11(s, d):
     """Settings as command-line tokens."""
@@ -157,13 +152,6 @@ def snk_11(s, d):
     return catalog.settings_tokens(p, ["min_distance", "exclude_border", "ridge_level"]).select("event_id", "pos", "token")
 
 
-@query("snk_07", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS summary FROM events")
-def snk_07(s, d):
-    """Summaries as JSON."""
-    e = B.table(s, d, "events").select("event_id", F.from_json("props", "k int").alias("b"))
-    return e.select("event_id", F.to_json("b").alias("summary"))
-
-
 @query("prj_23", r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^0-9A-Za-z+\-_]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'model') AS label FROM pages")
 def prj_23(s, d):
     return B.table(s, d, "pages").select("page_id", arrays.clean_label(F.col("url")).alias("label"))
@@ -201,14 +189,12 @@ def flt_12(s, d):
 
 
 @query("join_02", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
-@query("src_26", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def join_02(s, d):
     """Images that have a label file."""
     return catalog.having_labels(B.table(s, d, "documents").select("doc_id"), B.table(s, d, "labels"), "doc_id")
 
 
 @query("join_05", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-@query("src_23", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 @query("set_04", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def join_05(s, d):
     """Samples without a cached prediction."""
@@ -216,7 +202,6 @@ def join_05(s, d):
 
 
 @query("join_01", "SELECT c.conv_id, max(text) FILTER (role = 'user') AS a, max(text) FILTER (role = 'assistant') AS b FROM (SELECT conv_id, role, min(text) AS text FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL GROUP BY ALL) c GROUP BY ALL HAVING count(*) = 2")
-@query("src_01", "SELECT c.conv_id, max(text) FILTER (role = 'user') AS a, max(text) FILTER (role = 'assistant') AS b FROM (SELECT conv_id, role, min(text) AS text FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL GROUP BY ALL) c GROUP BY ALL HAVING count(*) = 2")
 def join_01(s, d):
     """One file for each suffix of a stem; stems are those that have all, so that none raises."""
     c = B.table(s, d, "conversations").where("role in ('user', 'assistant') and text is not null").select("conv_id", "role", "text")
@@ -282,19 +267,6 @@ def src_28(s, d):
     return catalog.newest(B.table(s, d, "orders"), ["o_custkey"], "o_orderkey", "o_orderdate")
 
 
-@query("src_25", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '(html|example[.]net)')")
-def src_25(s, d):
-    """Files of some endings."""
-    return B.table(s, d, "pages").where(F.col("url").rlike("(html|example[.]net)")).select("page_id", "url")
-
-
-@query("src_17", "SELECT page_id, CASE WHEN url LIKE '/%' THEN url ELSE 'base/' || url END AS path FROM pages")
-def src_17(s, d):
-    """Paths of a manifest: relative ones are under its folder."""
-    u = F.col("url")
-    return B.table(s, d, "pages").select("page_id", F.when(u.startswith("/"), u).otherwise(F.concat(F.lit("base/"), u)).alias("path"))
-
-
 @query("agg_16", "SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_pos FROM orders GROUP BY ALL")
 def agg_16(s, d):
     """Regions of each source and where it was first seen."""

@@ -148,7 +148,6 @@ def agg_20(s, d):
 
 
 @query("geo_17", f"{WITH} x AS (SELECT 1) SELECT vec_id, (y - 2)::INTEGER AS y, (x - 1)::INTEGER AS x, u AS v FROM rast WHERE y >= 2 AND y < 6 AND x >= 1 AND x < 8")
-@query("src_07", f"{WITH} x AS (SELECT 1) SELECT vec_id, (y - 2)::INTEGER AS y, (x - 1)::INTEGER AS x, u AS v FROM rast WHERE y >= 2 AND y < 6 AND x >= 1 AND x < 8")
 def geo_17(s, d):
     """A window of each image."""
     return raster.crop(B.raster(s, d).select(*V, "y", "x", F.col("u").alias("v")), 2, 6, 1, 8)
@@ -196,15 +195,3 @@ def agg_24(s, d):
     return B.table(s, d, "events").groupBy("user_id").agg(F.min("value").alias("objective"))
 
 
-@query("snk_06", "SELECT DISTINCT p_size, printf('%.8f', p_size / 8.0::DOUBLE) AS mean_aji, CASE WHEN p_size % 5 = 0 THEN '' ELSE (p_size)::VARCHAR END AS ridge FROM part")
-def snk_06(s, d):
-    """Cells of the tuning table: eight decimals, an automatic ridge is blank."""
-    v = B.table(s, d, "part").select("p_size").distinct()
-    return v.select("p_size", F.format_string("%.8f", F.col("p_size") / F.lit(8.0)).alias("mean_aji"), F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_size").cast("string")).alias("ridge"))
-
-
-@query("snk_05", "SELECT DISTINCT p_size, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size / 8.0::DOUBLE END AS value FROM part")
-def snk_05(s, d):
-    """Strict values: NaN is null."""
-    v = B.table(s, d, "part").select("p_size").distinct().withColumn("value", F.when(F.col("p_size") % 4 == 0, float("nan")).otherwise(F.col("p_size") / F.lit(8.0)))
-    return v.select("p_size", F.when(~F.isnan("value"), F.col("value")).alias("value"))

@@ -336,12 +336,6 @@ def agg_23(s, d):
     return _local(s, d).groupBy(*K).agg(F.max(F.col("tile_y") + F.col("ly") + F.col("h")).alias("height"))
 
 
-@query("snk_09", f"{WITH} {SPLIT} SELECT split || '/region_' || lpad(tile::VARCHAR, 4, '0') || '_y' || lpad((tile // {N} * {B.TILE})::VARCHAR, 5, '0') || '_x' || lpad((tile % {N} * {B.TILE})::VARCHAR, 5, '0') AS stem, sample_id FROM sp")
-def snk_09(s, d):
-    """File stems of the exported tiles."""
-    return split(s, d).select(F.concat("split", F.lit("/"), F.format_string("region_%04d_y%05d_x%05d", "tile", F.expr(f"tile div {N} * {B.TILE}").cast("int"), F.expr(f"tile % {N} * {B.TILE}").cast("int"))).alias("stem"), *K)
-
-
 @query("geo_13", f"{WITH} x AS (SELECT 1), pa1 AS (SELECT sample_id, y, x, 2 AS cls, 0 AS pass, label FROM tboxpx UNION ALL SELECT t.sample_id, y, x, 1, 1, t.label FROM tboxpx t JOIN tb USING (sample_id, label) WHERE x >= x0 + 1 AND x < x1 - 1 AND y >= y0 + 1 AND y < y1 - 1) SELECT sample_id, y::INTEGER AS y, x::INTEGER AS x, arg_max(cls, pass * 1000000000 + label) AS cls FROM pa1 GROUP BY ALL")
 def geo_13(s, d):
     """Boxes drawn in two passes: all as boundary, then each shrunk by a pixel as interior; later draws win."""

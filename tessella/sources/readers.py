@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import sqlite3
-import struct
-import tempfile
-import zlib
-from collections.abc import Iterator
+import io
+import os
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.catalog import require
+from tessella.sources import formats
+from tessella.sources.formats import decode_png, decode_tiff, encode_tiff
+
 
 POINT = "struct<x:double,y:double>"
 RINGS = f"array<array<{POINT}>>"
@@ -53,9 +57,9 @@ def write_geojson(features: DataFrame, path: str) -> None:
 RLE = "rle struct<size:array<int>,counts:array<bigint>,order:string>, area bigint, bbox array<int>, predicted_iou double, stability_score double, tile_x int, tile_y int"
 
 
-def rle_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Mask annotations as rows; any key may be absent."""
-    return spark.read.option("multiLine", True).schema(RLE).json(path)
+def rle_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Mask annotations as rows, from documents that are lists of them, or one by line; any key may be absent."""
+    return spark.read.option("multiLine", not lines).schema(RLE).json(path)
 
 
 def metrics_document(spark: SparkSession, path: str) -> DataFrame:
@@ -84,154 +88,162 @@ def model_table(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(*[F.get(good, F.lit(i)).alias(n) for i, n in enumerate(names)]).withColumn("num_inputs", F.col("num_inputs").cast("int"))
 
 
-def manifest(spark: SparkSession, path: str, base: str) -> DataFrame:
+def manifest(spark: SparkSession, path: str, base: str, lines: bool = False) -> DataFrame:
     """(tiff, gpkg) pairs of a manifest; short names are taken too, relative paths are under base."""
-    raw = spark.read.option("multiLine", True).schema("test_tiff string, test_gpkg string, tiff string, gpkg string").json(path)
+    raw = spark.read.option("multiLine", not lines).schema("test_tiff string, test_gpkg string, tiff string, gpkg string").json(path)
     full = lambda c: F.when(c.startswith("/"), c).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), c))
     return raw.select(full(F.coalesce("test_tiff", "tiff")).alias("tiff"), full(F.coalesce("test_gpkg", "gpkg")).alias("gpkg"))
 
 
 def listing(spark: SparkSession, folder: str, extensions: list[str] | None = None) -> DataFrame:
-    """(path, name, stem, ext, modified) of all files below a folder; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("modificationTime").alias("modified"))
+    """(path, name, stem, ext, modified, length) of all files below a folder; contents aren't read.
+
+    Spark leaves files without content out, which label files may be; so a mounted folder is listed by itself. In
+    other stores files without content are missed.
+    """
+    if mounted(folder):
+        top = os.path.abspath(unquote(urlsplit(folder).path))
+        found = [e for base, _, names in os.walk(top) for x in names for e in [(os.path.join(base, x), os.stat(os.path.join(base, x)))]]
+        columns = [pa.array(["file:" + p for p, _ in found], pa.string()), pa.array([int(e.st_mtime * 1e6) for _, e in found], pa.timestamp("us", "UTC")), pa.array([e.st_size for _, e in found], pa.int64())]
+        files = spark.createDataFrame(pa.table(columns, ["path", "modified", "length"]), "path string, modified timestamp, length long")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("modificationTime").alias("modified"), "length")
     name = F.element_at(F.split("path", "/"), -1)
-    out = files.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("ext"), "modified")
+    out = files.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("ext"), "modified", "length")
     return out.where(F.col("ext").isin(extensions)) if extensions else out
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """(height, width, channels) of an 8- or 16-bit PNG without interlacing."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG")
-    at, body, head, palette = 8, b"", None, None
-    while at < len(data):
-        n, kind = struct.unpack(">I4s", data[at : at + 8])
-        chunk = data[at + 8 : at + 8 + n]
-        at += 12 + n
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", chunk)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            body += chunk
-    width, height, depth, colour, _, _, interlaced = head
-    if depth not in (8, 16) or interlaced:
-        raise ValueError("this PNG's depth or interlacing isn't supported")
-    step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour] * depth // 8
-    raw, row = zlib.decompress(body), np.zeros(width * step, np.uint8)
-    out = np.zeros((height, width * step), np.uint8)
-    for y in range(height):
-        start = y * (width * step + 1)
-        kind, line = raw[start], np.frombuffer(raw, np.uint8, width * step, start + 1).copy()
-        if kind == 1:
-            line = np.cumsum(line.reshape(-1, step), 0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            line += row
-        elif kind in (3, 4):
-            for i in range(len(line)):
-                left = int(line[i - step]) if i >= step else 0
-                up, corner = int(row[i]), int(row[i - step]) if i >= step else 0
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    guess = min((left, up, corner), key=lambda v: abs(p - v))
-                line[i] = (int(line[i]) + guess) & 255
-        out[y] = row = line
-    pixels = out.view(">u2").astype(np.uint16) if depth == 16 else out
-    pixels = pixels.reshape(height, width, -1)
-    return palette[pixels[:, :, 0]] if colour == 3 and palette is not None else pixels
-
-
-def decode_tiff(data: bytes) -> np.ndarray:
-    """(pages, height, width, channels) of an uncompressed or deflated strip TIFF of 8 or 16 bits."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    sizes = {1: 1, 2: 1, 3: 2, 4: 4}
-    at, pages = struct.unpack(order + "I", data[4:8])[0], []
-    while at:
-        n = struct.unpack(order + "H", data[at : at + 2])[0]
-        tags = {}
-        for i in range(n):
-            tag, kind, count = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
-            if kind in sizes:
-                place = at + 10 + 12 * i
-                if sizes[kind] * count > 4:
-                    place = struct.unpack(order + "I", data[place : place + 4])[0]
-                tags[tag] = struct.unpack(order + str(count) + "BBHI"[kind - 1], data[place : place + sizes[kind] * count])
-        width, height, channels = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
-        compression = tags.get(259, (1,))[0]
-        strips = [data[o : o + c] for o, c in zip(tags[273], tags[279], strict=True)]
-        if compression in (8, 32946):
-            strips = [zlib.decompress(s) for s in strips]
-        elif compression != 1:
-            raise ValueError("this TIFF's compression isn't supported")
-        kind = np.dtype(np.uint8 if tags.get(258, (8,))[0] == 8 else np.uint16).newbyteorder(order)
-        raw = np.frombuffer(b"".join(strips), kind)
-        planes = tags.get(284, (1,))[0] == 2
-        pages.append(raw.reshape(channels, height, width).transpose(1, 2, 0) if planes else raw.reshape(height, width, channels))
-        at = struct.unpack(order + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
-    return np.stack(pages).astype(kind.newbyteorder("="))
-
-
-def encode_tiff(pixels: np.ndarray) -> bytes:
-    """A deflated TIFF of one page from (height, width, channels) of 8 bits."""
-    h, w, c = pixels.shape
-    body = zlib.compress(np.ascontiguousarray(pixels, np.uint8).tobytes())
-    entries = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 8), (259, 3, 1, 8), (262, 3, 1, 2 if c == 3 else 1), (273, 4, 1, 8), (277, 3, 1, c), (278, 4, 1, h), (279, 4, 1, len(body)), (284, 3, 1, 1)]
-    table = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
-    return b"II*\x00" + struct.pack("<I", 8 + len(body)) + body + table
+def mounted(path: str) -> bool:
+    """Whether tasks can open the files of a path."""
+    return path.startswith(("/", "file:"))
+
+
+def pages_of(read: Callable[[int, int], bytes]) -> list[formats.Page | np.ndarray]:
+    """The images of a PNG or TIFF."""
+    if read(0, 4) == b"\x89PNG":
+        return [formats.decode_png(read(0, 1 << 31))]
+    return formats.tiff_pages(read)
+
+
+def window(page: formats.Page | np.ndarray, top: int, bottom: int, left: int, right: int) -> np.ndarray:
+    return page[top:bottom, left:right] if isinstance(page, np.ndarray) else page.window(top, bottom, left, right)
+
+
+def shape(page: formats.Page | np.ndarray) -> tuple[int, int]:
+    return page.shape[:2] if isinstance(page, np.ndarray) else (page.height, page.width)
+
+
+def _windows(spark: SparkSession, path: str, windows: Callable[[int, int], list[tuple[int, int, int, int, int, int]]]) -> DataFrame:
+    """(path, page, ty, tx, h, w, c, px) of the windows (ty, tx, top, bottom, left, right) that a function gives for an image's height and width.
+
+    Where tasks can open the files they read the parts that a window needs, so an image of any size is read in small
+    pieces; elsewhere Spark hands over whole files, of 2 GB at most.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    opens = mounted(path)
+    files = files.select("path") if opens else files.select("path", "content")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                with open(unquote(urlsplit(name).path), "rb") if opens else io.BytesIO(batch.column(1)[i].as_py()) as f:
+
+                    def read(at: int, n: int, f=f) -> bytes:
+                        f.seek(at)
+                        return f.read(n)
+
+                    for k, page in enumerate(pages_of(read)):
+                        for ty, tx, *place in windows(*shape(page)):
+                            b = window(page, *place)
+                            if b.dtype.kind == "f":
+                                raise ValueError("rasters of floats have no whole numbers")
+                            whole = [pa.array([x], pa.int32()) for x in (k, ty, tx, *b.shape)]
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), *whole, pa.array([b.ravel().astype(np.int32)], pa.list_(pa.int32()))], ["path", "page", "ty", "tx", "h", "w", "c", "px"])
+
+    return files.mapInArrow(blocks, "path string, page int, ty int, tx int, h int, w int, c int, px array<int>")
 
 
 def rasters(spark: SparkSession, path: str, tile: int = 512) -> DataFrame:
     """(path, page, ty, tx, h, w, c, px): images as blocks; a block is small whatever the image's size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return _windows(spark, path, lambda h, w: [(y // tile, x // tile, y, y + tile, x, x + tile) for y in range(0, h, tile) for x in range(0, w, tile)])
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                pages = decode_png(content)[None] if content[:4] == b"\x89PNG" else decode_tiff(content)
-                rows = [(name, k, y // tile, x // tile, *b.shape, b.ravel().astype(np.int32)) for k, p in enumerate(pages) for y in range(0, p.shape[0], tile) for x in range(0, p.shape[1], tile) for b in [p[y : y + tile, x : x + tile]]]
-                yield pd.DataFrame(rows, columns=["path", "page", "ty", "tx", "h", "w", "c", "px"])
 
-    return files.mapInPandas(blocks, "path string, page int, ty int, tx int, h int, w int, c int, px array<int>")
+def raster_window(spark: SparkSession, path: str, top: int, bottom: int, left: int, right: int) -> DataFrame:
+    """The same window of each image, as a block; it is held to the image, and an empty one is an error."""
+    return _windows(spark, path, lambda h, w: [(0, 0, top, bottom, left, right)])
 
 
-def block_pixels(blocks: DataFrame, tile: int = 512) -> DataFrame:
-    """(path, page, y, x, c, v) of blocks."""
-    i = F.col("i")
-    return blocks.select("path", "page", "ty", "tx", "w", "c", F.posexplode("px").alias("i", "v")).select("path", "page", (F.col("ty") * tile + F.floor(i / (F.col("w") * F.col("c")))).cast("int").alias("y"), (F.col("tx") * tile + F.floor(i / F.col("c")) % F.col("w")).cast("int").alias("x"), (i % F.col("c")).alias("ch"), "v")
+def overlapping_tiles(spark: SparkSession, path: str, side: int, overlap: int | None = None) -> DataFrame:
+    """Square tiles that share ``overlap`` pixels with their neighbours (a quarter of the side by default); ty and tx are their first pixels."""
+    step = side - (side // 4 if overlap is None else overlap)
+    starts = lambda n: range(0, max(n - side, 0) + step, step) if n > side else [0]
+    return _windows(spark, path, lambda h, w: [(y, x, y, y + side, x, x + side) for y in starts(h) if y < h for x in starts(w) if x < w])
+
+
+def one_band(blocks: DataFrame) -> DataFrame:
+    """Blocks of masks: one band and one page, others are an error."""
+    return blocks.withColumn("px", require((F.col("c") == 1) & (F.col("page") == 0), F.col("px"), "a mask has one band and two dimensions"))
+
 
+def channels_first(blocks: DataFrame) -> DataFrame:
+    """Blocks with their channel (channel, h, w, px): pages are channels where each has one band; pages with several are an error."""
+    whole = blocks.withColumn("px", require((F.col("page") == 0) | (F.col("c") == 1), F.col("px"), "channels are pages or bands, not both"))
+    split = whole.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    own = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda i: F.get("px", i * F.col("c") + F.col("k")))
+    return split.select("path", "ty", "tx", F.when(F.col("c") == 1, F.col("page")).otherwise(F.col("k")).alias("channel"), "h", "w", own.alias("px"))
 
-def _polygons(blob: bytes) -> list[list[list[dict]]]:
-    """Polygons (rings of points) of a GeoPackage geometry."""
-    flags = blob[3]
-    at = 8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[(flags >> 1) & 7]
-
-    def read(at: int) -> tuple[list, int]:
-        order = "<" if blob[at] else ">"
-        kind = struct.unpack_from(order + "I", blob, at + 1)[0]
-        at += 5
-        kind, wide = kind % 1000, 2 + (kind // 1000 in (1, 2)) + 2 * (kind // 1000 == 3)
-        n = struct.unpack_from(order + "I", blob, at)[0]
-        at += 4
-        if kind == 3:
-            rings = []
-            for _ in range(n):
-                m = struct.unpack_from(order + "I", blob, at)[0]
-                at += 4
-                values = struct.unpack_from(f"{order}{m * wide}d", blob, at)
-                at += 8 * m * wide
-                rings.append([{"x": values[i], "y": values[i + 1]} for i in range(0, len(values), wide)])
-            return [rings], at
-        if kind in (6, 7):
+
+def dataset_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """(path, root, train, val, id, name) of data set files: the root is the file's folder unless given, names are a list or a map by number."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             found = []
-            for _ in range(n):
-                part, at = read(at)
-                found += part
-            return found, at
-        raise ValueError("only polygons are read")
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                plain, names = yaml_subset(text)
+                root = plain.get("path", "") or "."
+                root = root if root.startswith("/") else os.path.normpath(os.path.join(os.path.dirname(unquote(urlsplit(file).path)), root))
+                found += [(file, root, plain.get("train"), plain.get("val"), i, n) for i, n in names.items()]
+            columns = list(zip(*found, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 4 else pa.string()) for i, c in enumerate(columns)], ["path", "root", "train", "val", "id", "name"])
+
+    return raw.mapInArrow(rows, "path string, root string, train string, val string, id int, name string")
+
+
+def yaml_subset(text: str) -> tuple[dict[str, str], dict[int, str]]:
+    """Top-level values and names of a data set file: ``key: value`` lines, and names as a list, a map, or either in brackets."""
+    plain: dict[str, str] = {}
+    names: dict[int, str] = {}
+    inside = False
+    clean = lambda x: x.strip().strip("\"'")
+    for line in text.splitlines():
+        line = re.sub(r"(^|\s)#.*", "", line).rstrip()
+        if not line:
+            continue
+        if not line[0].isspace() and not line.startswith("-"):
+            key, _, value = line.partition(":")
+            inside = clean(key) == "names"
+            value = value.strip()
+            if not inside:
+                plain[clean(key)] = clean(value)
+            elif value[:1] in "[{" and value:
+                parts = [x for x in value[1:-1].split(",") if x.strip()]
+                names |= dict(enumerate(map(clean, parts))) if value[0] == "[" else {int(clean(k)): clean(v) for k, _, v in (x.partition(":") for x in parts)}
+        elif inside:
+            item = line.strip()
+            if item.startswith("-"):
+                names[len(names)] = clean(item[1:])
+            else:
+                key, _, value = item.partition(":")
+                names[int(clean(key))] = clean(value)
+    return plain, names
+
 
-    return [] if flags & 16 else read(at)[0]
+def block_pixels(blocks: DataFrame, tile: int = 512) -> DataFrame:
+    """(path, page, y, x, c, v) of blocks."""
+    i = F.col("i")
+    return blocks.select("path", "page", "ty", "tx", "w", "c", F.posexplode("px").alias("i", "v")).select("path", "page", (F.col("ty") * tile + F.floor(i / (F.col("w") * F.col("c")))).cast("int").alias("y"), (F.col("tx") * tile + F.floor(i / F.col("c")) % F.col("w")).cast("int").alias("x"), (i % F.col("c")).alias("ch"), "v")
 
 
 def geopackage(spark: SparkSession, path: str, layer: str, geometry: str = "geom") -> DataFrame:
@@ -244,12 +256,8 @@ def geopackage(spark: SparkSession, path: str, layer: str, geometry: str = "geom
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                with tempfile.NamedTemporaryFile(suffix=".gpkg") as f:
-                    f.write(content)
-                    f.flush()
-                    with sqlite3.connect(f.name) as c:
-                        found = c.execute(f'SELECT rowid, "{geometry}" FROM "{layer}" ORDER BY rowid').fetchall()  # noqa: S608
-                yield pd.DataFrame([(name, fid, k, p) for fid, blob in found if blob for k, p in enumerate(_polygons(blob))], columns=["path", "fid", "part", "rings"])
+                found = formats.decode_geopackage(content, layer, geometry)
+                yield pd.DataFrame([(name, fid, k, p) for fid, blob in found if blob for k, p in enumerate(formats.geometry(blob))], columns=["path", "fid", "part", "rings"])
 
     return files.mapInPandas(rows, f"path string, fid long, part int, rings {RINGS}")
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.sources import readers
+from tessella.sources import formats, readers, writers
 from tessella.streaming import lines
 
 
@@ -110,3 +110,94 @@ def test_line_stream(spark, tmp_path):
     query.awaitTermination(60)
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["keep me", "keep too"]
     assert lines.filter_lines(spark.read.text(str(tmp_path / "in")).withColumn("n", F.lit(1)), patterns).count() == 2
+
+
+@pytest.mark.parametrize("kind", ["u1", "u2", "i4", "f4", "f8"])
+@pytest.mark.parametrize("layout", [{}, {"strip": 3}, {"tile": 16}])
+@pytest.mark.parametrize("planar", [False, True])
+def test_tiffs_round_trip_and_windows(kind, layout, planar):
+    x = (np.random.default_rng(0).random((2, 21, 37, 3)) * 250).astype(kind)
+    for big in (False, True):
+        for compression in (1, 8):
+            for predictor in (1, 2) if kind[0] != "f" else (1,):
+                body = formats.encode_tiff(x, compression=compression, predictor=predictor, planar=planar, big=big, **layout)
+                got = formats.decode_tiff(body)
+                assert got.dtype == x.dtype and (got == x).all()
+                touched = []
+
+                def read(at, n, body=body, touched=touched):
+                    touched.append(n)
+                    return body[at : at + n]
+
+                page = formats.tiff_pages(read)[1]
+                touched.clear()
+                assert (page.window(17, 99, 30, 34) == x[1, 17:, 30:34]).all()
+                assert not layout or sum(touched) < len(body) / 3
+                with pytest.raises(ValueError, match="empty"):
+                    page.window(21, 30, 0, 5)
+
+
+def test_tiff_lzw_and_packbits():
+    raw = bytes(range(50)) * 3
+    codes = [256, *raw[:100], 256, *raw[100:], 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    packed = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+    assert formats.lzw(packed) == raw
+    # codes of strings: aaaa.. as a, aa, aaa and so on
+    assert formats.lzw(bytes(int(b[i : i + 8].ljust(8, "0"), 2) for b in ["".join(f"{c:09b}" for c in (256, 97, 258, 259, 257))] for i in range(0, len(b), 8))) == b"a" * 6
+    assert formats.packbits(b"\x02abc\xfex\x80\x00y") == b"abcxxxy"
+
+
+@pytest.mark.parametrize(("tag", "value"), [(259, 7), (317, 3), (258, 12), (262, 3), (266, 2)])
+def test_unsupported_tiffs_are_errors(tag, value):
+    tags = {256: (4,), 257: (4,), 258: (8,), 273: (8,), 279: (16,)} | {tag: (value,)}
+    with pytest.raises(ValueError, match="supported"):
+        formats.Page(lambda at, n: b"", tags, "<")
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2, 3, 4])
+def test_png_filters(kind):
+    x = np.random.default_rng(kind).integers(0, 256, (9, 13, 3)).astype(int)
+    left, up, corner = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+    left[:, 1:], up[1:], corner[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
+    p = left + up - corner
+    nearest = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+    lines = (x - [0 * x, left, up, (left + up) // 2, nearest][kind]) & 255
+    assert (formats.unfiltered(np.full(9, kind), lines.astype(np.uint8)) == x).all()
+    mixed = np.array([0, 1, 2, 3, 4, 4, 3, 2, 1])
+    every = np.stack([(x - g) & 255 for g in (0 * x, left, up, (left + up) // 2, nearest)])
+    assert (formats.unfiltered(mixed, every[mixed, np.arange(9)].astype(np.uint8)) == x).all()
+
+
+def test_geometry_kinds():
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    body = formats.encode_geopackage("a b", [(3, [[ring]]), (5, [[ring], [ring, ring]]), (7, []), (9, None)])
+    found = formats.decode_geopackage(body, "a b")
+    assert [fid for fid, _ in found] == [3, 5, 7, 9] and found[3][1] is None
+    assert [len(formats.geometry(b)) for _, b in found[:3]] == [1, 2, 0] and len(formats.geometry(found[1][1])[1]) == 2
+    mixed = b"GP\x00\x01" + struct.pack("<i", 0) + b"\x01" + struct.pack("<II", 7, 3) + b"\x01" + struct.pack("<Idd", 1, 5, 5) + b"\x01" + struct.pack("<II", 2, 1) + struct.pack("<dd", 1, 1) + formats.wkb([[ring]])
+    assert [len(p) for p in formats.geometry(mixed)] == [1]
+    assert formats.decode_geopackage(formats.encode_geopackage("none", []), "none") == []
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("train", "a", ["0 0.0", "0 1.0"]), ("val", "b", [])], "split string, stem string, rows array<string>")
+    (tmp_path / "labels" / "train").mkdir(parents=True)
+    (tmp_path / "labels" / "train" / "stale.txt").write_text("x")
+    (tmp_path / "labels" / "train" / "kept.json").write_text("x")
+    assert writers.write_tree(rows, f"file:{tmp_path}") == 2
+    assert (tmp_path / "labels/train/a.txt").read_text() == "0 0.0\n0 1.0\n" and (tmp_path / "labels/val/b.txt").read_text() == ""
+    listed = readers.listing(spark, f"file:{tmp_path}").collect()
+    assert sorted((r["name"], r["length"]) for r in listed) == [("a.txt", 12), ("b.txt", 0), ("kept.json", 1)]
+    assert readers.listing(spark, str(tmp_path / "labels" / "val"), ["png"]).count() == 0
+    with pytest.raises(ValueError, match="can't write"):
+        writers.write_files(rows, "hdfs://somewhere/x")
+    grid = spark.createDataFrame([(1, 0.25, 1.0), (2, 0.5, None), (3, 0.125, 0.5)], "a int, mean_aji double, ridge_level double")
+    writers.write_grid(grid, str(tmp_path / "grid"), ["mean_aji"])
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "grid")).collect() if r["value"][0] != "a") == ["1,0.25000000,1", "2,0.50000000,", "3,0.12500000,0.5"]
+
+
+def test_dataset_files():
+    assert readers.yaml_subset("path: ../d # x\ntrain: 'a b'\nnames:\n  0: p\n  2: \"q\"\n") == ({"path": "../d", "train": "a b"}, {0: "p", 2: "q"})
+    assert readers.yaml_subset("names: [a, 'b']\nval: v")[1] == {0: "a", 1: "b"} and readers.yaml_subset("names: {0: a, 1: b}")[1] == {0: "a", 1: "b"}
+    assert readers.yaml_subset("names:\n- a\n- b\ntrain: t") == ({"train": "t"}, {0: "a", 1: "b"})
