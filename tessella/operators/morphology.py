@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,47 +10,69 @@ from pyspark.sql import DataFrame
 
 
 def offsets(connectivity: int) -> list[tuple[int, int]]:
-    """The four or eight neighbours."""
+    """The four (connectivity 1, or 4) or eight (2, or 8) neighbours."""
     near = [(-1, 0), (0, -1), (0, 1), (1, 0)]
-    return near if connectivity == 4 else near + [(-1, -1), (-1, 1), (1, -1), (1, 1)]
+    if connectivity in (1, 4):
+        return near
+    if connectivity in (2, 8):
+        return [*near, (-1, -1), (-1, 1), (1, -1), (1, 1)]
+    raise ValueError("connectivity is 1 or 2")
 
 
 def distances(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each set pixel to the nearest unset one; 0 elsewhere, and infinite if none is unset."""
+    """Euclidean distance of each set pixel to the nearest unset one; 0 elsewhere, and infinite if none is unset.
+
+    Columns first, then rows by growing steps, as far as the largest distance found; memory of a few rasters.
+    """
     h, w = mask.shape
-    far = h + w
-    up = np.zeros((h, w))
-    for grid, to in ((mask, up), (mask[::-1], up[::-1])):
-        run = np.full(w, far, float)
-        for y in range(h):
-            run = np.where(grid[y], run + 1, 0)
-            to[y] = run if to is up else np.minimum(to[y], run)
-    i = np.arange(w)
-    squares = up**2
-    out = np.min(squares[:, None, :] + (i[:, None] - i[None, :])[None] ** 2, axis=2)
-    out = np.sqrt(out)
-    return np.where(mask, np.where(out >= far, np.inf, out), 0.0)
+    far = float((h + w) ** 2)
+    run, up = np.full(w, np.inf), np.full((h, w), np.inf)
+    for y in [*range(h), *range(h - 1, -1, -1)]:
+        if y == h - 1:
+            run = np.where(mask[y], np.minimum(run + 1, up[y]), 0)
+        else:
+            run = np.where(mask[y], run + 1, 0)
+        up[y] = run = np.minimum(run, up[y])
+    squares = np.minimum(up**2, far)
+    out, step = squares.copy(), 1
+    while step < w and step**2 < out.max():
+        np.minimum(out[:, step:], squares[:, :-step] + step**2, out=out[:, step:])
+        np.minimum(out[:, :-step], squares[:, step:] + step**2, out=out[:, :-step])
+        step += 1
+    return np.where(mask, np.where(out >= far, np.inf, np.sqrt(out)), 0.0)
+
+
+def window_max(height: np.ndarray, distance: int) -> np.ndarray:
+    """The greatest height in the (2 * distance + 1) square around each pixel."""
+    out = height
+    for axis in (0, 1):
+        wide = np.pad(out, [(distance, distance) if i == axis else (0, 0) for i in (0, 1)], constant_values=-np.inf)
+        out = np.lib.stride_tricks.sliding_window_view(wide, 2 * distance + 1, axis).max(-1)
+    return out
 
 
 def peaks(height: np.ndarray, distance: int, mask: np.ndarray, border: bool) -> list[tuple[int, int]]:
     """Highest pixels of their neighbourhood (2 * distance + 1 square), best first, at least ``distance`` apart.
 
-    With border, pixels within the distance of the image's edge are none.
+    With border, pixels within the distance of the image's edge are out of the mask. Pixels out of the mask neither are peaks nor
+    stand in one's way.
     """
     h, w = height.shape
-    wide = np.pad(height, distance, constant_values=-np.inf)
-    windows = np.lib.stride_tricks.sliding_window_view(wide, (2 * distance + 1, 2 * distance + 1))
-    top = windows.max((2, 3))
-    good = (height == top) & mask & (height > 0)
+    lowest = height.min()
+    inside = mask.copy()
     if border:
-        inner = np.zeros_like(good)
-        inner[distance : h - distance, distance : w - distance] = True
-        good &= inner
-    found = sorted(zip(*np.nonzero(good), strict=True), key=lambda p: (-height[p], p))
+        inside[:] = False
+        inner = (slice(distance, max(h - distance, 0)), slice(distance, max(w - distance, 0)))
+        inside[inner] = mask[inner]
+    seen = np.where(inside, height, lowest)
+    good = (seen == window_max(seen, distance)) & inside & (height > lowest)
+    found = np.argwhere(good)
+    free = np.ones((h, w), bool)
     kept: list[tuple[int, int]] = []
-    for y, x in found:
-        if all(max(abs(y - a), abs(x - b)) > distance for a, b in kept):
-            kept.append((int(y), int(x)))
+    for y, x in found[np.argsort(-height[good], kind="stable")].tolist():
+        if free[y, x]:
+            kept.append((y, x))
+            free[max(y - distance + 1, 0) : y + distance, max(x - distance + 1, 0) : x + distance] = False
     return kept
 
 
@@ -99,69 +120,104 @@ def flood(height: np.ndarray, markers: np.ndarray, mask: np.ndarray, connectivit
     return out
 
 
-def watershed(cls: np.ndarray, min_distance: int, dilate_iter: int, connectivity: int, min_area: int, exclude_border: bool, ridge_level: float | None) -> np.ndarray:
+def elevation(interior: np.ndarray, boundary: np.ndarray, d: np.ndarray, ridge_level: float | None) -> np.ndarray:
+    """What is flooded: the inside lies as deep as its distances, all else and (dilated) boundaries stand at the ridge level.
+
+    By default that is above all: twice the greatest distance and 1.
+    """
+    top = float(2 * d.max() + 1) if ridge_level is None else float(ridge_level)
+    return np.where(interior & ~boundary, -d, top)
+
+
+def watershed(cls: np.ndarray, min_distance: int, dilate_iter: int, connectivity: int, min_area: int, exclude_border: bool, ridge_level: float | None, d: np.ndarray | None = None) -> np.ndarray:
     """Instances of a semantic raster (1 interior, 2 boundary).
 
-    The interior's distance transform, lowered on (dilated) boundaries to the ridge level (a tenth of the greatest
-    distance if none is given), is flooded from its peaks; without peaks the interior's components are the instances.
+    The interior's distances (``d``, if they are known) have peaks, from which the elevation is flooded inside; without peaks the
+    interior's four-connected components are the instances. With ``min_area`` smaller ones are dropped and the others numbered anew.
     """
-    interior, boundary = cls == 1, dilate(cls == 2, dilate_iter)
+    interior = cls == 1
     if not interior.any():
         return np.zeros(cls.shape, np.int32)
-    d = distances(interior)
-    d[~np.isfinite(d)] = max(cls.shape)
-    level = float(d.max()) * 0.1 if ridge_level is None else ridge_level
-    height = np.where(boundary, np.minimum(d, level), d)
-    found = peaks(height, min_distance, interior, exclude_border)
+    if d is None:
+        d = interior_distances(interior)
+    found = peaks(d, min_distance, interior, exclude_border)
     if found:
         markers = np.zeros(cls.shape, np.int32)
-        for i, p in enumerate(found, 1):
-            markers[p] = i
-        out = flood(-height, markers, interior, connectivity)
+        markers[tuple(np.array(found).T)] = np.arange(1, len(found) + 1)
+        out = flood(elevation(interior, dilate(cls == 2, dilate_iter), d, ridge_level), markers, interior, connectivity)
     else:
-        out = label(interior, connectivity)
+        out = label(interior, 1)
+    if min_area <= 0:
+        return out
     sizes = np.bincount(out.ravel())
-    keep = np.flatnonzero((sizes >= max(min_area, 1)) & (np.arange(len(sizes)) > 0))
+    keep = np.flatnonzero((sizes >= min_area) & (np.arange(len(sizes)) > 0))
     table = np.zeros(len(sizes), np.int32)
     table[keep] = np.arange(1, len(keep) + 1)
     return table[out]
 
 
+def interior_distances(interior: np.ndarray) -> np.ndarray:
+    d = distances(interior)
+    d[~np.isfinite(d)] = max(interior.shape)
+    return d
+
+
 def per_image(pixels: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
-    """Run work(keys' values, dense raster) on each image; work gives rows without the keys. pixels: keys, y, x, cls."""
+    """Run work(dense raster) on each image; work gives the columns of ``schema`` as arrays. pixels: keys, y, x, cls."""
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        dense = np.zeros((int(group["y"].max()) + 1, int(group["x"].max()) + 1), np.int32)
+        dense = np.zeros((int(group["y"].max()) + 1, int(group["x"].max()) + 1), np.int8)
         dense[group["y"], group["x"]] = group["cls"]
-        own = [group[k].iloc[0] for k in keys]
-        rows = [(*own, *r) for r in work(dense)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in full.split(", ")])
+        own = {k: group[k].iloc[0] for k in keys}
+        del group
+        found = pd.DataFrame(dict(zip(names, work(dense), strict=True)))
+        for i, k in enumerate(keys):
+            found.insert(i, k, own[k])
+        return found
 
     kinds = dict(pixels.dtypes)
+    names = [c.split()[0] for c in schema.split(", ")]
     full = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])
     return pixels.groupBy(*keys).applyInPandas(fold, full)
 
 
-def distance_rows(dense: np.ndarray) -> Iterator[tuple]:
+def distance_rows(dense: np.ndarray) -> tuple[np.ndarray, ...]:
     d = distances(dense == 1)
-    for y, x in zip(*np.nonzero(d), strict=True):
-        yield int(y), int(x), float(d[y, x])
+    y, x = np.nonzero(d)
+    return y, x, d[y, x]
 
 
 def peak_rows(min_distance: int):
-    def rows(dense: np.ndarray) -> Iterator[tuple]:
+    def rows(dense: np.ndarray) -> tuple[np.ndarray, ...]:
         mask = dense == 1
         d = distances(mask)
-        for i, (y, x) in enumerate(peaks(np.where(np.isfinite(d), d, 0), min_distance, mask, False), 1):
-            yield i, y, x
+        found = np.array(peaks(np.where(np.isfinite(d), d, 0), min_distance, mask, False), int).reshape(-1, 2)
+        return np.arange(1, len(found) + 1), found[:, 0], found[:, 1]
 
     return rows
 
 
 def watershed_rows(**parameters):
-    def rows(dense: np.ndarray) -> Iterator[tuple]:
+    """Labelled pixels of one setting."""
+
+    def rows(dense: np.ndarray) -> tuple[np.ndarray, ...]:
         out = watershed(dense, **parameters)
-        for y, x in zip(*np.nonzero(out), strict=True):
-            yield int(y), int(x), int(out[y, x])
+        y, x = np.nonzero(out)
+        return y, x, out[y, x]
+
+    return rows
+
+
+def watershed_grid(settings: list[dict]):
+    """Labelled pixels of each setting, by its place in the list, from distances that are made once."""
+
+    def rows(dense: np.ndarray) -> tuple[np.ndarray, ...]:
+        d = interior_distances(dense == 1)
+        parts = []
+        for i, parameters in enumerate(settings):
+            out = watershed(dense, **parameters, d=d)
+            y, x = np.nonzero(out)
+            parts.append((np.full(len(y), i), y, x, out[y, x]))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
     return rows

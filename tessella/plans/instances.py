@@ -9,6 +9,7 @@ from tessella.operators import grid, metrics, morphology, polygons, runs, spatia
 from tessella.operators.graph import components
 from tessella.plans import bindings as B
 from tessella.plans.registry import query
+from tessella.plans.tiling import GRID
 
 K = B.KEYS
 WITH = f"WITH RECURSIVE {B.SQL}, "
@@ -319,40 +320,39 @@ def mor_03(s, d):
 @query("mor_05")
 def mor_05(s, d):
     """Watershed instances; the flood is sequential, so no SQL."""
-    rows = morphology.watershed_rows(min_distance=2, dilate_iter=0, connectivity=4, min_area=3, exclude_border=False, ridge_level=None)
+    rows = morphology.watershed_rows(min_distance=2, dilate_iter=0, connectivity=1, min_area=3, exclude_border=False, ridge_level=None)
     return morphology.per_image(B.semantic(s, d).select(*K, "y", "x", "cls"), K, rows, "y int, x int, label int")
 
 
+SETTINGS = ["min_distance", "dilate", "connectivity", "min_area", "exclude_border", "ridge"]
+
+
 def _tuning(s, d):
-    """AJI of each sample under each setting of the watershed grid."""
-    iou_k = [*K, "min_distance", "min_area"]
-    sem = B.semantic(s, d, True).select(*K, "y", "x", "cls")
-    parts = []
-    for min_distance in (1, 2, 3):
-        for min_area in (0, 6):
-            rows = morphology.watershed_rows(min_distance=min_distance, dilate_iter=0, connectivity=4, min_area=min_area, exclude_border=False, ridge_level=None)
-            px = morphology.per_image(sem, K, rows, "y int, x int, label int")
-            parts.append(px.withColumn("min_distance", F.lit(min_distance)).withColumn("min_area", F.lit(min_area)))
-    px = parts[0]
-    for p in parts[1:]:
-        px = px.unionByName(p)
-    pred = runs.to_runs(px, iou_k)
-    small = grid.parameter_grid(s, min_distance=[1, 2, 3], min_area=[0, 6])
-    true = runs.to_runs(runs.paint(B.boxes(s, d), K), K).join(F.broadcast(small))
-    at, ap = runs.shapes(true, iou_k), runs.shapes(pred, iou_k)
-    return metrics.aggregated_jaccard(B.samples(s, d).select(*K).join(F.broadcast(small)), metrics.ious(runs.contingency(true, pred, iou_k), at, ap, iou_k), at, ap, iou_k)
+    """AJI of each sample under each setting of the watershed grid; an image's distances are made once for all of them."""
+    small = grid.parameter_grid(s, **GRID)
+    rows = sorted(small.collect(), key=lambda r: [GRID[k].index(r[k]) for k in SETTINGS])  # a row by setting
+    settings = [{"min_distance": r["min_distance"], "dilate_iter": r["dilate"], "connectivity": r["connectivity"], "min_area": r["min_area"], "exclude_border": r["exclude_border"], "ridge_level": r["ridge"]} for r in rows]
+    key = [*K, "setting"]
+    px = morphology.per_image(B.semantic(s, d, True).select(*K, "y", "x", "cls"), K, morphology.watershed_grid(settings), "setting int, y int, x int, label int")
+    pred = runs.to_runs(px, key)
+    every = s.range(len(settings)).select(F.col("id").cast("int").alias("setting"))
+    true = runs.to_runs(runs.paint(B.boxes(s, d), K), K).join(F.broadcast(every))
+    at, ap = runs.shapes(true, key), runs.shapes(pred, key)
+    aji = metrics.aggregated_jaccard(B.samples(s, d).select(*K).join(F.broadcast(every)), metrics.ious(runs.contingency(true, pred, key), at, ap, key), at, ap, key)
+    named = s.createDataFrame([(i, *[r[k] for k in SETTINGS]) for i, r in enumerate(rows)], "setting int, min_distance int, dilate int, connectivity int, min_area int, exclude_border boolean, ridge double")
+    return aji.groupBy("setting").agg(F.round(F.avg("aji"), 9).alias("mean_aji")).join(F.broadcast(named), "setting")
 
 
 @query("agg_21")
 def agg_21(s, d):
-    """Mean AJI by watershed setting; rests on mor_05."""
-    return _tuning(s, d).groupBy("min_distance", "min_area").agg(F.round(F.avg("aji"), 9).alias("mean_aji"))
+    """Mean AJI by setting, for all settings of the grid; rests on mor_05."""
+    return _tuning(s, d).select(*SETTINGS, "mean_aji")
 
 
 @query("lim_01")
 def lim_01(s, d):
     """The best watershed setting; of equal ones the first in the grid's order. Rests on mor_05."""
-    return agg_21(s, d).orderBy(F.desc("mean_aji"), "min_distance", "min_area").limit(1)
+    return _tuning(s, d).orderBy(F.desc("mean_aji"), "setting").limit(1).select(*SETTINGS, "mean_aji")
 
 
 @query("geo_12")

@@ -239,6 +239,86 @@ def discs():
     return (((y - 15) ** 2 + (x - 10) ** 2 <= 64) | ((y - 15) ** 2 + (x - 30) ** 2 <= 64)).astype(int)
 
 
+def test_watershed_of_ridges_and_levels():
+    cls = np.ones((12, 16), int)
+    cls[:, 6] = 2
+    out = morphology.watershed(cls, 4, 0, 1, 0, False, None)
+    left, right = set(np.unique(out[:, :6])) - {0}, set(np.unique(out[:, 7:])) - {0}
+    assert left and right and not left & right and not out[:, 6].any()
+    interior, d = cls == 1, morphology.interior_distances(cls == 1)
+    raised = morphology.elevation(interior, morphology.dilate(cls == 2, 1), d, None)
+    assert (raised[:, 5:8] == 2 * d.max() + 1).all() and (raised[:, :5] == -d[:, :5]).all()
+    for level in (0.5, 5.0):
+        assert (morphology.elevation(interior, morphology.dilate(cls == 2, 1), d, level)[:, 5:8] == level).all()
+    # a raised boundary is flooded last: its pixels go to whoever comes first over it, not to the nearest deep one
+    row = np.ones((1, 9), int)
+    height = np.array([[-1, -1, -1, 9, 9, -1, -1, -1, -1]], float)
+    markers = np.zeros((1, 9), np.int32)
+    markers[0, 0], markers[0, 8] = 1, 2
+    assert morphology.flood(height, markers, row == 1, 1).tolist() == [[1, 1, 1, 1, 2, 2, 2, 2, 2]]
+
+
+def test_watershed_with_dilation_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        cls = r.choice([0, 1, 1, 1, 2], (14, 15))
+        for dilate_iter, connectivity, ridge in ((0, 1, None), (1, 1, 0.5), (1, 2, 5.0), (2, 2, None)):
+            out = morphology.watershed(cls, 2, dilate_iter, connectivity, 0, False, ridge)
+            interior = cls == 1
+            found = morphology.peaks(morphology.interior_distances(interior), 2, interior, False)
+            # what can be reached from a peak is labelled, nothing else is
+            reach = np.zeros(cls.shape, bool)
+            todo = list(found)
+            while todo:
+                y, x = todo.pop()
+                if reach[y, x]:
+                    continue
+                reach[y, x] = True
+                todo += [(y + a, x + b) for a, b in morphology.offsets(connectivity) if 0 <= y + a < 14 and 0 <= x + b < 15 and interior[y + a, x + b]]
+            assert ((out > 0) == reach).all() and all(out[p] == i for i, p in enumerate(found, 1))
+
+
+def test_peaks_and_connectivity():
+    height = np.zeros((7, 12))
+    height[3, 2] = height[3, 5] = 4
+    height[3, 9] = 3
+    mask = np.ones_like(height, bool)
+    assert morphology.peaks(height, 3, mask, False) == [(3, 2), (3, 5), (3, 9)]  # exactly the distance apart is far enough
+    assert morphology.peaks(height, 4, mask, False) == [(3, 2)]
+    assert morphology.peaks(height, 3, mask, True) == [(3, 5)]
+    assert len(morphology.offsets(1)) == 4 and len(morphology.offsets(2)) == 8
+    with pytest.raises(ValueError, match="1 or 2"):
+        morphology.offsets(3)
+    diagonal = np.eye(4, dtype=int)
+    assert morphology.watershed(diagonal * 1, 1, 0, 2, 0, True, None).max() == 4  # without peaks components are four-connected
+
+
+def test_watershed_of_a_large_image_in_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    cls = np.ones((1024, 1024), np.int8)
+    cls[:, ::37] = 2
+    cls[::41] = 2
+    cls[r.integers(0, 1024, 400), r.integers(0, 1024, 400)] = 0
+    tracemalloc.start()
+    out = morphology.watershed(cls, 5, 1, 1, 10, False, None)
+    assert tracemalloc.get_traced_memory()[1] < 300e6 and out.max() > 500
+    tracemalloc.stop()
+
+
+def test_distances_equal_brute_force():
+    r = np.random.default_rng(2)
+    for share in (0.02, 0.3, 0.9, 0.999):
+        mask = r.random((17, 23)) < share
+        if mask.all():
+            mask[3, 4] = False
+        unset = np.argwhere(~mask)
+        want = np.array([[0 if not mask[y, x] else np.sqrt(((unset - (y, x)) ** 2).sum(1).min()) for x in range(23)] for y in range(17)])
+        assert np.allclose(morphology.distances(mask), want)
+    assert np.isinf(morphology.distances(np.ones((4, 5), bool))).all()
+
+
 def test_watershed_separates_discs():
     out = morphology.watershed(discs(), 5, 0, 4, 0, False, None)
     assert out[15, 10] and out[15, 30] and out[15, 10] != out[15, 30]
