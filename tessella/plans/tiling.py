@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays
-from tessella.operators import grid
+from tessella.operators import clip, grid
 from tessella.plans import bindings as B
 from tessella.plans.registry import query
 
@@ -174,9 +174,10 @@ def _clipped(s, d):
     p = patches(s, d).withColumn("ty", F.floor(F.col("py0") / B.TILE)).withColumn("tx", F.floor(F.col("px0") / B.TILE))
     met = p.join(cells, [*K, "ty", "tx"]).where("x0 < px1 and px0 < x1 and y0 < py1 and py0 < y1")
     d_ = lambda c: F.col(c).cast("double")
-    ring = arrays.clip_ring(arrays.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), d_("px0"), d_("py0"), d_("px1"), d_("py1"))
-    moved = F.transform(ring, lambda q: F.struct((q["x"] - F.col("px0")).alias("x"), (q["y"] - F.col("py0")).alias("y")))
-    return met.select(*K, "py0", "px0", "label", arrays.canonical_ring(moved).alias("ring"))
+    side = [d_("px0"), d_("py0"), d_("px1"), d_("py1")]
+    cut = clip.clip_rings(met.select(*K, "label", arrays.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"), *[c.alias(n) for c, n in zip(side, ("cx0", "cy0", "cx1", "cy1"), strict=True)]), "ring", ["cx0", "cy0", "cx1", "cy1"])
+    moved = F.transform("ring", lambda q: F.struct((q["x"] - F.col("cx0")).alias("x"), (q["y"] - F.col("cy0")).alias("y")))
+    return cut.select(*K, F.col("cy0").cast("int").alias("py0"), F.col("cx0").cast("int").alias("px0"), "label", moved.alias("ring"))
 
 
 @query("geo_01", f"{WITH} {CLIP} SELECT sample_id, py0, px0, label, cx0::DOUBLE AS cx0, cy0::DOUBLE AS cy0, cx1::DOUBLE AS cx1, cy1::DOUBLE AS cy1 FROM cl")

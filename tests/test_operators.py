@@ -290,7 +290,7 @@ def test_peaks_and_connectivity():
     with pytest.raises(ValueError, match="1 or 2"):
         morphology.offsets(3)
     diagonal = np.eye(4, dtype=int)
-    assert morphology.watershed(diagonal * 1, 1, 0, 2, 0, True, None).max() == 4  # without peaks components are four-connected
+    assert morphology.watershed(diagonal, 2, 0, 2, 0, True, None).max() == 4  # without peaks components are four-connected
 
 
 def test_watershed_of_a_large_image_in_little_memory():
