@@ -47,6 +47,20 @@ def canonical_ring(ring: Column) -> Column:
     return let(let(let(ring, opened), lambda r: F.when(shoelace(r) < 0, F.reverse(r)).otherwise(r)), rotated)
 
 
+def oriented_ring(ring: Column) -> Column:
+    """Counter-clockwise and without the closing point, from the same point on."""
+    opened = lambda r: F.when((F.size(r) > 1) & (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r)
+    back = lambda r: F.concat(F.slice(r, F.lit(1), F.lit(1)), F.reverse(F.slice(r, F.lit(2), F.size(r))))
+    return let(let(ring, opened), lambda r: F.when(shoelace(r) < 0, back(r)).otherwise(r))
+
+
+def line_length(line: Column) -> Column:
+    """The length of a line of points."""
+    step = lambda p, q: F.sqrt(F.pow(q["x"] - p["x"], F.lit(2)) + F.pow(q["y"] - p["y"], F.lit(2)))
+    steps = let(line, lambda r: F.zip_with(F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1), step))
+    return F.aggregate(steps, F.lit(0.0), lambda a, b: a + b)
+
+
 def flat_ring(ring: Column) -> Column:
     """[x1, y1, x2, y2, ...]"""
     return F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"])))

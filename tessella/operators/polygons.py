@@ -303,3 +303,98 @@ def shared_lines(pixels: DataFrame, keys: list[str]) -> DataFrame:
     kinds = dict(pixels.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", i {kinds['id']}, j {kinds['id']}, points int, length double"
     return pixels.groupBy(*keys).applyInPandas(fold, schema)
+
+
+def intersects(a: list[Point], b: list[Point]) -> bool:
+    """Whether two rings share area: edges cross, or one holds a point of the other's inside."""
+    p, q = np.array(a, float), np.array(b, float)
+    r, s = np.roll(p, -1, 0) - p, np.roll(q, -1, 0) - q
+    side = lambda o, d, x: d[:, None, 0] * (x[None, :, 1] - o[:, None, 1]) - d[:, None, 1] * (x[None, :, 0] - o[:, None, 0])
+    of_q, of_p = side(p, r, q), side(q, s, p).T
+    if ((of_q * np.roll(of_q, -1, 1) < 0) & (of_p * np.roll(of_p, -1, 0) < 0)).any():
+        return True
+    middle = lambda ring: [((u[0] + v[0] + w[0]) / 3, (u[1] + v[1] + w[1]) / 3) for u, v, w in zip(ring, ring[1:] + ring[:1], ring[2:] + ring[:2], strict=True)]
+    return any(inside(b, x) and inside(a, x) for x in [centroid(a), centroid(b), *middle(a), *middle(b)])
+
+
+def shrink_convex(ring: list[Point], by: float) -> list[Point]:
+    """A convex ring with its edges moved inwards; empty if nothing is left."""
+    ring = ring if area(ring) >= 0 else ring[::-1]
+    out = list(ring)
+    for (ax, ay), (bx, by_) in zip(ring, ring[1:] + ring[:1], strict=True):
+        length = math.hypot(bx - ax, by_ - ay)
+        if not length:
+            continue
+        depth = [((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / length - by for x, y in out]
+        cut = []
+        for i, (p, d) in enumerate(zip(out, depth, strict=True)):
+            q, e = out[(i + 1) % len(out)], depth[(i + 1) % len(out)]
+            if d >= 0:
+                cut.append(p)
+            if (d >= 0) != (e >= 0):
+                t = d / (d - e)
+                cut.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        out = cut
+    return out if len(out) >= 3 and abs(area(out)) > 1e-12 else []
+
+
+def contours(mask: np.ndarray, tolerance: float = 0.001, offset: Point = (0.0, 0.0), negate: bool = True) -> list[list[Point]]:
+    """Outer rings of a mask's parts, closed: points nearer to the line than a share of the ring's length are dropped, then the ring is moved and y turned; rings of fewer than three points are none."""
+    out = []
+    for ring in outlines(mask):
+        if area(ring) <= 0:  # a hole
+            continue
+        closed = [*ring, ring[0]]
+        kept = simplify(closed, tolerance * sum(math.dist(p, q) for p, q in zip(closed, closed[1:], strict=False)))
+        if len(kept) >= 4:
+            out.append([(x + offset[0], -(y + offset[1]) if negate else y + offset[1]) for x, y in kept])
+    return out
+
+
+def by_ring(rows: DataFrame, ring: str, work, schema: str) -> DataFrame:
+    """Rows with columns that work(points) gives for their ring."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+
+    def folded(batches):
+        for batch in batches:
+            found = [work([(p["x"], p["y"]) for p in r]) for r in batch[ring]]
+            yield batch.assign(**{n: [f[i] for f in found] for i, n in enumerate(names)})
+
+    return rows.mapInPandas(folded, f"{kinds}, {schema}")
+
+
+def filled(rows: DataFrame, keys: list[str], rings: str, height: int, width: int) -> DataFrame:
+    """(keys, y, x0, x1): runs of the pixels whose centre is inside an odd number of a row's rings, on the canvas; points are cut to whole numbers towards 0 first."""
+
+    def folded(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                own = [[(float(int(p["x"])), float(int(p["y"]))) for p in r] for r in getattr(row, rings)]
+                low = max(0, int(min((y for r in own for _, y in r), default=0)))
+                high = min(height, int(max((y for r in own for _, y in r), default=0)) + 1)
+                for y in range(low, high):
+                    marks = fill([[(x, v - y) for x, v in r] for r in own], 1, width)[0]
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
+                    out += [(*(getattr(row, k) for k in keys), y, int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            yield pd.DataFrame(out, columns=[*keys, "y", "x0", "x1"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, rings).mapInPandas(folded, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", y int, x0 int, x1 int")
+
+
+def contour_rows(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ring, points, area): a row by outer contour of each group's mask, as ``contours`` gives them. pixels: keys, y, x; a group is one component."""
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(group["y"].min()), int(group["x"].min())
+        mask = np.zeros((int(group["y"].max()) - y0 + 1, int(group["x"].max()) - x0 + 1), bool)
+        mask[group["y"] - y0, group["x"] - x0] = True
+        own = [group[k].iloc[0] for k in keys]
+        rows = [(*own, [{"x": x, "y": y} for x, y in ring], len(ring), abs(area(ring[:-1]))) for ring in contours(mask, offset=(float(x0), float(y0)))]
+        return pd.DataFrame(rows, columns=[*keys, "ring", "points", "area"])
+
+    kinds = dict(pixels.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ring array<struct<x: double, y: double>>, points int, area double"
+    return pixels.groupBy(*keys).applyInPandas(fold, schema)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.arrays import window_starts
+
 
 def screen_blend(pixels: DataFrame, keys: list[str], top: int = 255, value: str = "v") -> DataFrame:
     """One image from several: top * (1 - product(1 - v / top)), clipped and truncated.
@@ -57,6 +60,29 @@ def argmax_class(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys, "y", "x").agg(F.max_by("k", F.struct(F.col("p"), -F.col("k"))).alias("cls"))
 
 
+def predict_tiled(pixels: DataFrame, keys: list[str], side: int, patch: int, stride: int, predict, classes: int = 3) -> DataFrame:
+    """(keys, y, x, cls): square images predicted by overlapping patches, whose scores are blended by their windows.
+
+    predict: scores (n, patch, patch, classes) of patches (n, patch, patch) of values; it runs on batches of patches.
+    """
+    starts = window_starts(F.lit(side), patch, stride)
+    of = lambda c: F.filter(starts, lambda o: (F.col(c) >= o) & (F.col(c) < o + patch))
+    cut = pixels.withColumn("py", F.explode(of("y"))).withColumn("px", F.explode(of("x")))
+    whole = cut.groupBy(*keys, "py", "px").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("cells")).select(*keys, "py", "px", F.transform("cells", lambda e: e["v"].cast("double")).alias("v"))
+
+    def scored(batches):
+        for batch in batches:
+            values = np.stack(batch["v"].to_list()).reshape(-1, patch, patch) if len(batch) else np.zeros((0, patch, patch))
+            yield batch.drop(columns="v").assign(p=list(predict(values).reshape(len(batch), -1)))
+
+    kinds = dict(whole.dtypes)
+    scores = whole.mapInPandas(scored, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "py", "px")) + ", p array<double>")
+    at = scores.select(*keys, "py", "px", F.posexplode("p").alias("i", "p"))
+    y, x = F.expr(f"i div {patch * classes}").cast("int"), F.expr(f"(i div {classes}) % {patch}").cast("int")
+    rows = at.select(*keys, (F.col("py") + y).alias("y"), (F.col("px") + x).alias("x"), (F.col("i") % classes).alias("k"), "p", window_weight(y, x, patch).alias("w"))
+    return argmax_class(blend_predictions(rows, keys), keys)
+
+
 def normalise_channels(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Least to greatest value of a channel become 0 to 255, truncated; a constant channel is 0."""
     ends = pixels.groupBy(*keys, "c").agg(F.min("v").alias("_low"), F.max("v").alias("_high"))

@@ -73,7 +73,6 @@ STARTS = "st AS (SELECT unnest([0, 3, 4]) AS o)"
 
 
 @query("stm_02", f"{RASTER} {STARTS} SELECT vec_id, a.o AS py, b.o AS px, round(sum(u / 255.0::DOUBLE), 6) AS total FROM rast, st a, st b WHERE y >= a.o AND y < a.o + 4 AND x >= b.o AND x < b.o + 4 GROUP BY ALL")
-@query("stm_03", f"{RASTER} {STARTS} SELECT vec_id, a.o AS py, b.o AS px, round(sum(u / 255.0::DOUBLE), 6) AS total FROM rast, st a, st b WHERE y >= a.o AND y < a.o + 4 AND x >= b.o AND x < b.o + 4 GROUP BY ALL")
 def stm_02(s, d):
     """The data set's chain as one lazy plan: load, scale, window in space, gather."""
     of = lambda c: F.filter(F.array(F.lit(0), F.lit(3), F.lit(4)), lambda o: (F.col(c) >= o) & (F.col(c) < o + 4))

@@ -150,7 +150,6 @@ def agg_07(s, d):
 
 
 @query("join_06", f"{WITH} x AS (SELECT 1) SELECT a.sample_id, a.label AS i, b.label AS j, ((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)))::BIGINT AS overlap FROM tb a JOIN tb b ON a.sample_id = b.sample_id AND a.label < b.label AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.x1 > a.x0 AND b.x1 > b.x0 AND a.y1 > a.y0 AND b.y1 > b.y0")
-@query("join_07", f"{WITH} x AS (SELECT 1) SELECT a.sample_id, a.label AS i, b.label AS j, count(*) AS overlap FROM tboxpx a JOIN tboxpx b ON a.sample_id = b.sample_id AND a.y = b.y AND a.x = b.x AND a.label < b.label GROUP BY ALL")
 def join_06(s, d):
     """Boxes of a sample that share area, by a grid."""
     return spatial.meeting_boxes(B.boxes(s, d).withColumnRenamed("label", "id"), K)
@@ -285,22 +284,6 @@ def flt_04(s, d):
     return found.where("pixel_area >= 6").drop("comp")
 
 
-@query("geo_16", f"""{WITH} {B.SEM}, {CC8}, q AS (SELECT px.sample_id, px.y, px.x, dense_rank() OVER (PARTITION BY px.sample_id ORDER BY root) AS comp FROM px JOIN comp ON comp.sample_id = px.sample_id AND comp.id = px.id),
-ed AS (SELECT sample_id, comp, 'h' AS way, y AS ey, x AS ex FROM q UNION ALL SELECT sample_id, comp, 'h', y + 1, x FROM q UNION ALL SELECT sample_id, comp, 'v', y, x FROM q UNION ALL SELECT sample_id, comp, 'v', y, x + 1 FROM q),
-un AS (SELECT sample_id, comp, way, ey, ex FROM ed GROUP BY ALL HAVING count(*) = 1)
-SELECT sample_id, comp::INTEGER AS comp, (SELECT count(*) FROM q WHERE q.sample_id = un.sample_id AND q.comp = un.comp) AS pixel_area, count(*) AS n_edges FROM un GROUP BY sample_id, comp""")
-def geo_16(s, d):
-    """Pixel-exact outlines of eight-connected components: unit edges that stay unpaired."""
-    return runs.edge_count(runs.to_pixels(runs.connected_components(_interior(s, d), K, True)), K)
-
-
-@query("geo_15")
-def geo_15(s, d):
-    """Rings traced along the components' outlines; the shoelace area of the rings equals the pixels. No SQL: ring stitching is iterative."""
-    traced = polygons.trace(runs.to_pixels(runs.connected_components(_interior(s, d), K, True)).select(*K, "comp", "y", "x"), [*K, "comp"])
-    return traced.select(*K, "comp", "n_rings", "pixel_area", "area")
-
-
 @query("mor_04", f"{WITH} {B.SEM} SELECT DISTINCT sample_id, (y + dy)::INTEGER AS y, (x + dx)::INTEGER AS x FROM (SELECT sample_id, y, x FROM sem WHERE cls = 2), range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63")
 def mor_04(s, d):
     return runs.dilate(B.semantic(s, d).where("cls = 2"), K, B.SIDE, B.SIDE)

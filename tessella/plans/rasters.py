@@ -139,7 +139,6 @@ BL = f"{IMG}, pt AS (SELECT grp // 2 AS g, (grp % 2) * 4 AS oy, c AS k, y, x, v
 
 
 @query("agg_20", f"{WITH} {BL} SELECT g AS grp, (y + oy)::INTEGER AS y, x, k::INTEGER AS k, round(sum(p * w) / sum(w), 9) AS p FROM pt GROUP BY ALL")
-@query("ml_07", f"{WITH} {BL} SELECT g AS grp, (y + oy)::INTEGER AS y, x, k::INTEGER AS k, round(sum(p * w) / sum(w), 9) AS p FROM pt GROUP BY ALL")
 def agg_20(s, d):
     """Scores of two overlapping patches blended by their windows."""
     i = _img(s, d).select(F.expr("grp div 2").alias("grp"), ((F.col("grp") % 2) * 4).alias("oy"), F.col("c").alias("k"), "y", "x", F.col("v").alias("p"), raster.window_weight(F.col("y"), F.col("x"), 8).alias("w"))

@@ -181,7 +181,6 @@ def _clipped(s, d):
 
 
 @query("geo_01", f"{WITH} {CLIP} SELECT sample_id, py0, px0, label, cx0::DOUBLE AS cx0, cy0::DOUBLE AS cy0, cx1::DOUBLE AS cx1, cy1::DOUBLE AS cy1 FROM cl")
-@query("geo_02", f"{WITH} {CLIP} SELECT sample_id, py0, px0, label, cx0::DOUBLE AS cx0, cy0::DOUBLE AS cy0, cx1::DOUBLE AS cx1, cy1::DOUBLE AS cy1 FROM cl")
 def geo_01(s, d):
     """Boxes cut by half-planes; the bounds of what is left."""
     side = lambda f, c: f(F.transform("ring", lambda q: q[c]))
@@ -221,7 +220,6 @@ def prj_12(s, d):
 
 
 @query("prj_14", f"{WITH} x AS (SELECT 1) SELECT sample_id, label, concat_ws(' ', x0, y0, x1, y0, x1, y1, x0, y1) AS ring FROM tb WHERE x1 > x0 AND y1 > y0")
-@query("prj_15", f"{WITH} x AS (SELECT 1) SELECT sample_id, label, concat_ws(' ', x0, y0, x1, y0, x1, y1, x0, y1) AS ring FROM tb WHERE x1 > x0 AND y1 > y0")
 def prj_14(s, d):
     """Rings given clockwise, closed and started anywhere come out alike."""
     b = B.boxes(s, d).where("x1 > x0 and y1 > y0")
@@ -232,23 +230,6 @@ def prj_14(s, d):
     return b.select(*K, "label", F.array_join(F.transform(arrays.flat_ring(arrays.canonical_ring(closed)), lambda v: v.cast("int").cast("string")), " ").alias("ring"))
 
 
-@query("win_06", f"{WITH} x AS (SELECT 1) SELECT sample_id, label, 4 AS points FROM tb")
-def win_06(s, d):
-    """Rings with repeated points, without them."""
-    ring = arrays.box_ring(F.col("x0"), F.col("y0"), F.col("x0") + 3, F.col("y0") + 2)
-    twice = F.flatten(F.transform(ring, lambda p: F.array(p, p)))
-    return B.boxes(s, d).select(*K, "label", F.size(arrays.dedupe_consecutive(twice)).alias("points"))
-
-
-@query("flt_06", f"{WITH} x AS (SELECT 1) SELECT sample_id, label FROM tb WHERE x1 > x0 AND y1 > y0")
-@query("flt_07", f"{WITH} x AS (SELECT 1) SELECT sample_id, label FROM tb WHERE x1 > x0 AND y1 > y0")
-@query("flt_09", f"{WITH} x AS (SELECT 1) SELECT sample_id, label FROM tb WHERE x1 > x0 AND y1 > y0")
-def flt_06(s, d):
-    """Rings of three distinct points or more."""
-    ring = arrays.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    return B.boxes(s, d).select(*K, "label", ring.alias("ring")).where(F.col("ring").isNotNull() & (F.size(F.array_distinct("ring")) >= 3)).select(*K, "label")
-
-
 @query("flt_08", f"{WITH} {CLIP} SELECT sample_id, py0, px0, label FROM cl WHERE (cx1 - cx0) * (cy1 - cy0) > 0")
 def flt_08(s, d):
     """Cut rings with six numbers or more and an area."""
@@ -277,7 +258,6 @@ def prj_18(s, d):
 
 
 @query("prj_19", f"{WITH} {LOCAL} SELECT sample_id, label, tile_x::VARCHAR AS tile_x, tile_y::VARCHAR AS tile_y, 2::BIGINT AS n FROM lc")
-@query("prj_20", f"{WITH} {LOCAL} SELECT sample_id, label, tile_x::VARCHAR AS tile_x, tile_y::VARCHAR AS tile_y, 2::BIGINT AS n FROM lc")
 def prj_19(s, d):
     """Properties of annotations: those on the list, without masks and lists."""
     m = F.create_map(F.lit("tile_x"), F.col("tile_x").cast("string"), F.lit("tile_y"), F.col("tile_y").cast("string"), F.lit("rle"), F.lit("x"), F.lit("segmentation"), F.lit("y"))
@@ -337,36 +317,6 @@ def agg_23(s, d):
     return _local(s, d).groupBy(*K).agg(F.max(F.col("tile_y") + F.col("ly") + F.col("h")).alias("height"))
 
 
-@query("geo_13", f"{WITH} x AS (SELECT 1), pa1 AS (SELECT sample_id, y, x, 2 AS cls, 0 AS pass, label FROM tboxpx UNION ALL SELECT t.sample_id, y, x, 1, 1, t.label FROM tboxpx t JOIN tb USING (sample_id, label) WHERE x >= x0 + 1 AND x < x1 - 1 AND y >= y0 + 1 AND y < y1 - 1) SELECT sample_id, y::INTEGER AS y, x::INTEGER AS x, arg_max(cls, pass * 1000000000 + label) AS cls FROM pa1 GROUP BY ALL")
-def geo_13(s, d):
-    """Boxes drawn in two passes: all as boundary, then each shrunk by a pixel as interior; later draws win."""
-    b = B.boxes(s, d)
-    first = b.select(*K, "label", "x0", "y0", "x1", "y1", F.lit(2).alias("cls"), F.lit(0).alias("pass"))
-    second = b.select(*K, "label", (F.col("x0") + 1).alias("x0"), (F.col("y0") + 1).alias("y0"), (F.col("x1") - 1).alias("x1"), (F.col("y1") - 1).alias("y1"), F.lit(1).alias("cls"), F.lit(1).alias("pass"))
-    rows = first.unionByName(second).where("x1 > x0 and y1 > y0").withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))).withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
-    return rows.groupBy(*K, "y", "x").agg(F.max_by("cls", F.struct("pass", "label")).alias("cls"))
-
-
-@query("geo_14", f"{WITH} r AS (SELECT sample_id, label, count(*) AS n FROM tboxpx GROUP BY ALL) SELECT sample_id, label, n AS area FROM r")
-def geo_14(s, d):
-    """Features drawn to masks; empty ones are dropped."""
-    rows = B.box_runs(s, d)
-    return rows.groupBy(*K, "label").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area"))
-
-
-@query("geo_18", f"{WITH} x AS (SELECT 1) SELECT sample_id, label, greatest(x1 - x0 - 2, 0) * greatest(y1 - y0 - 2, 0) AS area FROM tb")
-def geo_18(s, d):
-    """Boxes shrunk by a pixel on each side."""
-    w, h = (F.greatest(F.col(a) - F.col(b) - 2, F.lit(0)).cast("long") for a, b in (("x1", "x0"), ("y1", "y0")))
-    return B.boxes(s, d).select(*K, "label", (w * h).alias("area"))
-
-
-@query("geo_19", f"{WITH} x AS (SELECT 1) SELECT sample_id, label, round(score / 3, 6) AS snapped FROM pb")
-def geo_19(s, d):
-    """Values on the precision grid."""
-    return B.boxes(s, d, True).select(*K, "label", F.round(F.col("score") / 3, 6).alias("snapped"))
-
-
 @query("geo_08")
 def geo_08(s, d):
     """Corner cutting, twice per pass: rings as lines, in array expressions."""
@@ -388,8 +338,3 @@ def lim_10(s, d):
     return both.groupBy(*K, "label").agg(F.min_by("p", F.struct(far, "p")).alias("nearest"))
 
 
-@query("lim_09", f"{WITH} x AS (SELECT 1) SELECT sample_id, arg_max(label, (x1 - x0) * 1000000000 - label) AS longest FROM tb GROUP BY ALL")
-def lim_09(s, d):
-    """The longest line of each sample, of equal ones the smallest label."""
-    return B.boxes(s, d).groupBy(*K).agg(F.max_by("label", F.struct(F.col("x1") - F.col("x0"), -F.col("label"))).alias("longest"))
-

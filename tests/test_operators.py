@@ -439,3 +439,85 @@ def test_seeded_split_goldens():
         train, val = grid.seeded_split(cover, 0.25, seed, 4)
         n = int((cover >= 0.1).sum())
         assert sorted(train + val) == list(range(30)) and len(val) == int(np.ceil(n * 0.25)) and (cover[val] >= 0.1).all()
+
+
+def test_clip_equals_the_expression(spark):
+    from tessella.operators import clip
+
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(200):
+        n = int(r.integers(3, 9))
+        angle = np.sort(r.random(n)) * 2 * np.pi
+        rows.append((i, [(float(x), float(y)) for x, y in np.stack([np.cos(angle), np.sin(angle)], 1) * r.random() * 4 + r.random(2) * 4], 1.0, 1.0, 4.0, 3.0))
+    rows.append((999, [], 0.0, 0.0, 1.0, 1.0))
+    df = spark.createDataFrame(rows, "id int, ring array<struct<x:double,y:double>>, x0 double, y0 double, x1 double, y1 double")
+    got = {x["id"]: [tuple(p) for p in x["ring"]] for x in clip.clip_rings(df, "ring", ["x0", "y0", "x1", "y1"]).collect()}
+    want = df.select("id", arrays.canonical_ring(arrays.clip_ring(F.col("ring"), *map(F.col, ("x0", "y0", "x1", "y1")))).alias("ring")).collect()
+    for x in want:
+        a, b = got.get(x["id"], []), [tuple(p) for p in x["ring"] or []]
+        assert abs(polygons.area(a) if a else 0) == pytest.approx(abs(polygons.area(b)) if b else 0, abs=1e-9)
+        assert all(1 - 1e-9 <= u <= 4 + 1e-9 and 1 - 1e-9 <= v <= 3 + 1e-9 for u, v in a) and (not a or (a[0] == min(a) and polygons.area(a) >= 0))
+
+
+def test_polygons_with_holes_are_clipped(spark):
+    from tessella.operators import clip
+
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    rows = [(1, [square(0.0, 8.0), square(2.0, 4.0), square(6.0, 7.0)]), (2, [square(9.0, 12.0), square(10.0, 11.0)]), (3, []), (4, None)]
+    df = spark.createDataFrame([(*x, 0.0, 0.0, 5.0, 3.0) for x in rows], "id int, rings array<array<struct<x:double,y:double>>>, x0 double, y0 double, x1 double, y1 double")
+    got = clip.clip_polygons(df, "rings", ["x0", "y0", "x1", "y1"]).collect()
+    assert [x["id"] for x in got] == [1] and [abs(polygons.area([tuple(p) for p in r])) for r in got[0]["rings"]] == [15, 2]
+
+
+def test_intersects_and_shrink():
+    square, far = [(0, 0), (4, 0), (4, 4), (0, 4)], [(9, 9), (10, 9), (10, 10)]
+    assert polygons.intersects(square, [(1, 1), (2, 1), (2, 2), (1, 2)]) and polygons.intersects(square, [(3, -1), (5, 1), (3, 9)]) and polygons.intersects(square, square)
+    assert not polygons.intersects(square, far) and not polygons.intersects(square, [(4, 0), (8, 0), (8, 4), (4, 4)])
+    assert abs(polygons.area(polygons.shrink_convex(square, 1))) == 4 and polygons.shrink_convex(square, 2) == []
+    triangle = [(0, 0), (6, 0), (0, 8)]  # of inradius 2
+    assert abs(polygons.area(polygons.shrink_convex(triangle, 1))) == pytest.approx(6) and polygons.shrink_convex(triangle, 2.1) == []
+
+
+def test_contours(spark):
+    mask = np.zeros((20, 24), int)
+    mask[2:18, 3:9] = 1
+    mask[5:8, 5:7] = 0
+    y, x = np.mgrid[0:20, 0:24]
+    mask[(y - 10) ** 2 + (x - 16) ** 2 <= 36] = 1
+    found = polygons.contours(mask, offset=(100.0, 50.0))
+    assert len(found) == 2 and all(r[0] == r[-1] for r in found)
+    box = min(found, key=len)
+    assert set(box) == {(103.0, -52.0), (109.0, -52.0), (109.0, -68.0), (103.0, -68.0)}  # the hole isn't an outer contour
+    round_ = max(found, key=len)
+    assert abs(abs(polygons.area(round_[:-1])) - (mask[:, 10:] > 0).sum()) < 3
+    px = spark.createDataFrame([(0, 1, int(a), int(b)) for a, b in np.argwhere(mask[:, :9])], "sample_id long, comp int, y int, x int")
+    row = polygons.contour_rows(px, [*K, "comp"]).collect()
+    assert [(r["points"], r["area"]) for r in row] == [(5, 96.0)] and row[0]["ring"][0]["y"] < 0
+
+
+def test_filled_polygons(spark):
+    rings = [[(1.9, 1.0), (9.0, 1.0), (9.0, 8.0), (1.0, 8.0)], [(3.0, 3.0), (6.0, 3.0), (6.0, 6.0), (3.0, 6.0)]]
+    df = spark.createDataFrame([(1, rings), (2, [[(-3.0, -2.0), (2.0, -2.0), (2.0, 99.0)]]), (3, [])], "label long, rings array<array<struct<x:double,y:double>>>")
+    px = {(r["label"], r["y"], x) for r in polygons.filled(df, ["label"], "rings", 10, 10).collect() for x in range(r["x0"], r["x1"])}
+    whole = [[(float(int(a)), float(int(b))) for a, b in r] for r in rings]
+    assert {(y, x) for i, y, x in px if i == 1} == {tuple(p) for p in np.argwhere(polygons.fill(whole, 10, 10))} and len([1 for i, _, _ in px if i == 1]) == 8 * 7 - 9
+    assert {(y, x) for i, y, x in px if i == 2} == {tuple(p) for p in np.argwhere(polygons.fill([[(-3.0, -2.0), (2.0, -2.0), (2.0, 99.0)]], 10, 10))}
+
+
+def test_predictions_by_patches(spark):
+    v = np.random.default_rng(6).random((8, 8))
+    df = spark.createDataFrame([(1, int(y), int(x), float(v[y, x])) for y in range(8) for x in range(8)], "vec_id long, y int, x int, v double")
+
+    def model(p):  # says more of a pixel the brighter its patch is
+        return np.stack([p, p.mean((1, 2))[:, None, None] * np.ones_like(p)], -1)
+
+    hann = lambda i: 0.5 - 0.5 * np.cos(2 * np.pi * i / 3)
+    score, weight = np.zeros((8, 8, 2)), np.zeros((8, 8, 1))
+    for a in (0, 2, 4):
+        for b in (0, 2, 4):
+            w = np.maximum(hann(np.arange(4))[:, None] * hann(np.arange(4))[None], 1e-4)[..., None]
+            score[a : a + 4, b : b + 4] += model(v[None, a : a + 4, b : b + 4])[0] * w
+            weight[a : a + 4, b : b + 4] += w
+    got = {(r["y"], r["x"]): r["cls"] for r in raster.predict_tiled(df, ["vec_id"], 8, 4, 2, model, 2).collect()}
+    assert got == {(y, x): int((score / weight)[y, x].argmax()) for y in range(8) for x in range(8)}
