@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
@@ -16,23 +19,37 @@ from tessella.sources.shared import cut
 __all__ = ["Ids", "cut", "mix", "named", "portions", "ragged", "sole", "strings", "table", "tokenizer_path", "words_of"]
 
 #: Bytes of the part of an Arrow batch that is worked on at once, if it has more than one row.
-PORTION = 12 << 20
+PORTION = 5 << 20
 #: Strings whose ids a worker remembers for good, and those of late.
-KNOWN, RECENT = 400_000, 200_000
+KNOWN, RECENT = 350_000, 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Hand freed memory to the system, as other tasks and the JVM share the executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # where the C library has no such call its own habits hold
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def portions(batches: Iterable[pa.RecordBatch], most: int = PORTION) -> Iterator[pa.RecordBatch]:
     """Batches cut into halves until each has ``most`` bytes at most or one row, as texts can be very long."""
     for batch in batches:
-        if batch.nbytes <= most or batch.num_rows < 2:
-            yield batch
-        else:
-            half = batch.num_rows // 2
-            yield from portions((batch.slice(0, half), batch.slice(half)), most)
+        yield from halves(batch, most)
+        if batch.nbytes > most:
+            give_back()
+
+
+def halves(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    if batch.nbytes <= most or batch.num_rows < 2:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from halves(batch.slice(0, half), most)
+        yield from halves(batch.slice(half), most)
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -50,7 +67,10 @@ _held: dict = {}
 def sole(key: tuple, make: Callable):
     """make() for the key, held while a worker serves one operator: the next one's takes its place and its memory."""
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            gc.collect()
+            give_back()
         _held[key] = make()
     return _held[key]
 
@@ -81,25 +101,26 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
     """The stretches of ``flat`` one after the other, and the bounds between them."""
     bounds = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=bounds[1:])
-    at = np.repeat(starts - bounds[:-1], lengths)
-    at += np.arange(bounds[-1])
+    kind = np.int32 if max(len(flat), bounds[-1]) < 1 << 31 else np.int64
+    at = np.repeat((starts - bounds[:-1]).astype(kind), lengths)
+    at += np.arange(bounds[-1], dtype=kind)
     return flat[at], bounds
 
 
 class Ids:
     """Ids by string, side by side in one array: the first ``KNOWN`` strings stay, as frequent ones come early; of the others the late ones."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: type = np.uint32):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: type = np.uint32, known: int = KNOWN, recent: int = RECENT):
         """encode: the ids of strings one after the other, and how many each has."""
-        self.encode, self.slot = encode, {}
+        self.encode, self.slot, self.known, self.recent = encode, {}, known, recent
         self.flat, self.bounds = np.zeros(0, dtype), np.zeros(1, np.int64)
 
     def slots(self, strings: pa.Array) -> np.ndarray:
         """Places of the strings, for ``of`` until the next call."""
-        if len(self.slot) > KNOWN + RECENT:
-            self.slot = dict(islice(self.slot.items(), KNOWN))
-            self.bounds = self.bounds[: KNOWN + 1]
-            self.flat = self.flat[: self.bounds[-1]]
+        if len(self.slot) > self.known + self.recent:
+            self.slot = dict(islice(self.slot.items(), self.known))
+            self.bounds = self.bounds[: self.known + 1].copy()
+            self.flat = self.flat[: self.bounds[-1]].copy()
         names = strings.to_pylist()
         found = list(map(self.slot.get, names))
         if None in found:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Ids, cut, named, portions, ragged, sole, tokenizer_path
+from tessella.llm.common import KNOWN, Ids, cut, named, portions, ragged, sole, tokenizer_path
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 LENGTH, GROUP = 4096, 4096
@@ -44,7 +44,7 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 class WordCodec:
     """Ids of texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,7 +54,7 @@ class WordCodec:
         (self.separator,) = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
-        self.parts = Ids(self.learn)
+        self.parts = Ids(self.learn, known=known, recent=known // 2)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]

@@ -28,6 +28,8 @@ from tessella.llm.packing import WordCodec
 
 VOCABULARY, SECOND = "piece_bpe_32k.model", "word_bpe_49k.json"
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
+#: Words whose ids a worker remembers by vocabulary, as it holds two.
+HELD = 200_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: By language: least and most characters per piece, most byte pieces, what the entropy floor is shifted by; then for the second vocabulary least characters per piece and shift.
 BANDS = {"en": (1.75, 9.0, 0.1, 0.03, 1.85, 0.13), "fr": (1.55, 9.0, 0.1, -0.17, 1.5, -0.4), "de": (1.65, 9.0, 0.1, -0.12, 1.8, -0.15), "es": (1.5, 9.0, 0.1, -0.08, 1.6, -0.2)}
@@ -51,8 +53,8 @@ class Pieces:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = np.array([self.library.is_byte(i) for i in range(self.library.get_piece_size())])
-        self.known = Ids(self.learn, np.uint16)
-        self.second = WordCodec(second)
+        self.known = Ids(self.learn, np.uint16, HELD, HELD // 2)
+        self.second = WordCodec(second, HELD)
 
     def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.library.encode(new, num_threads=1)
