@@ -30,3 +30,12 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_places_in_a_log_do_not_hang_on_reused_exchanges(spark, duck, data):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got, _ = spark_rows(plans.QUERIES["src_21"](spark, data))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == duck_rows(duck, plans.ORACLES["src_21"])[0]
