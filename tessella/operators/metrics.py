@@ -60,6 +60,31 @@ def precision_recall(samples: DataFrame, tp: DataFrame, taus: DataFrame, keys: l
     return df.select(*keys, "i", "tau", "tp", share(F.col("tp"), F.col("n_pred")).alias("precision"), share(F.col("tp"), F.col("n_true")).alias("recall"), share(2 * F.col("tp"), F.col("n_true") + F.col("n_pred")).alias("f1"))
 
 
+def jaccard(trues: dict[int, int], preds: dict[int, int], pairs: list[tuple[int, int, int]]) -> tuple[int, int, float]:
+    """(inter, uni, aji) of one image from areas by label and shared pixels (t, p, n): see ``aggregated_jaccard``."""
+    by: dict[int, list] = {}
+    for t, p, n in pairs:
+        by.setdefault(t, []).append((n / (trues[t] + preds[p] - n), -p, n))
+    left, inter, uni = dict(preds), 0, 0
+    for t, area in sorted(trues.items()):
+        best = max((x for x in by.get(t, []) if -x[1] in left), default=None)
+        if best:
+            inter, uni = inter + best[2], uni + area + left.pop(-best[1]) - best[2]
+        else:
+            uni += area
+    uni += sum(left.values())
+    return inter, uni, 1.0 if not trues and not preds else inter / uni if uni else 0.0
+
+
+def raster_jaccard(true: np.ndarray, pred: np.ndarray) -> tuple[int, int, float]:
+    """(inter, uni, aji) of two label maps of one shape; 0 is no label."""
+    count = lambda x: {int(i): int(n) for i, n in enumerate(np.bincount(x)) if i and n}
+    t, p = true.ravel(), pred.ravel()
+    both, width = (t > 0) & (p > 0), int(p.max(initial=0)) + 1
+    codes, n = np.unique(t[both].astype(np.int64) * width + p[both], return_counts=True)
+    return jaccard(count(t), count(p), list(zip((codes // width).tolist(), (codes % width).tolist(), n.tolist(), strict=True)))
+
+
 def aggregated_jaccard(samples: DataFrame, iou: DataFrame, true_areas: DataFrame, pred_areas: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, inter, uni, aji): trues in ascending order each take the best prediction left, by a fold per sample.
 
@@ -74,22 +99,9 @@ def aggregated_jaccard(samples: DataFrame, iou: DataFrame, true_areas: DataFrame
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                trues = sorted((int(x["label"]), int(x["area"])) for x in (row.trues if row.trues is not None else []))
-                left = {int(x["label"]): int(x["area"]) for x in (row.preds if row.preds is not None else [])}
-                by: dict[int, list] = {}
-                for x in row.pairs if row.pairs is not None else []:
-                    by.setdefault(int(x["t"]), []).append((float(x["iou"]), int(x["p"]), int(x["n"])))
-                both_empty, inter, uni = not trues and not left, 0, 0
-                areas = dict(left)
-                for t, area in trues:
-                    best = max(((i, -p, n) for i, p, n in by.get(t, []) if p in left), default=None)
-                    if best:
-                        inter, uni = inter + best[2], uni + area + areas[-best[1]] - best[2]
-                        del left[-best[1]]
-                    else:
-                        uni += area
-                uni += sum(left.values())
-                out.append((*(getattr(row, k) for k in keys), inter, uni, 1.0 if both_empty else inter / uni if uni else 0.0))
+                pairs, trues, preds = ([] if x is None else x for x in (row.pairs, row.trues, row.preds))
+                areas = ({int(x["label"]): int(x["area"]) for x in side} for side in (trues, preds))
+                out.append((*(getattr(row, k) for k in keys), *jaccard(*areas, [(int(x["t"]), int(x["p"]), int(x["n"])) for x in pairs])))
             yield pd.DataFrame(out, columns=[*keys, "inter", "uni", "aji"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.select(*keys).schema) + ", inter long, uni long, aji double"
