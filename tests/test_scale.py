@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import plans
-from tessella.operators import metrics, morphology, runs
+from tessella.operators import metrics, morphology, polygons, runs
 from tessella.plans import bindings as B
 
 K = B.KEYS
@@ -52,3 +52,47 @@ def test_parts_with_one_marker_are_filled_as_the_flood_fills_them(connectivity):
         markers.ravel()[at] = rng.permutation(len(at)) + 1
         whole = morphology.flood(height, markers, mask, connectivity)
         assert (morphology.flood(height, markers, mask, connectivity, morphology.label(mask, connectivity)) == whole).all()
+
+
+@pytest.mark.parametrize("name", ["geo_06"])
+def test_overlaps_broadcast_nothing(spark, data, name):
+    assert "Broadcast" not in plans.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+def whole_rasters(pixels, side):
+    """Masks by id on the whole raster."""
+    out = {i: np.zeros((side, side), bool) for i, _, _ in sorted(pixels)}
+    for i, y, x in pixels:
+        out[i][y, x] = True
+    return out
+
+
+def test_overlaps_by_own_boxes_equal_those_on_whole_rasters(spark):
+    rng, side, rows, after, lines = np.random.default_rng(3), 24, [], set(), {}
+    for k in range(25):
+        pixels = set()
+        for i in range(6):
+            y, x, h, w = (int(v) for v in rng.integers([0, 0, 2, 2], [14, 14, 10, 10]))
+            pixels |= {(i, a, b) for a in range(y, y + h) for b in range(x, x + w) if rng.random() < 0.9 or (a, b) == (y, x)}
+        rows += [(k, *p) for p in sorted(pixels)]
+        masks = whole_rasters(pixels, side)
+        for i, a in masks.items():
+            for j, b in masks.items():
+                if i < j and (a & b).any() and (a & ~b).any() and (b & ~a).any():
+                    line = polygons.smooth_line(polygons.taubin(polygons.dividing_line(a, b)))
+                    lines[k, i, j] = (len(line), sum(np.hypot(p[0] - q[0], p[1] - q[1]) for p, q in zip(line, line[1:], strict=False)))
+        for i in masks:
+            for j in masks:
+                if i < j and (masks[i] & masks[j]).any():
+                    a, b = masks[i], masks[j]
+                    try:
+                        masks[i], masks[j] = polygons.split_pair(a, b, 6)
+                    except ValueError:
+                        masks[i], masks[j] = (a, b & ~a) if a.sum() <= b.sum() else (a & ~b, b)
+        after |= {(k, i, int(y), int(x)) for i, m in masks.items() for y, x in np.argwhere(m)}
+    df = spark.createDataFrame(rows, "root long, id long, y int, x int")
+    got = [tuple(r) for r in polygons.resolve(df, ["root"], 6).select("root", "id", "y", "x").collect()]
+    assert len(got) == len(set(got)) and set(got) == after
+    found = {(r["root"], r["i"], r["j"]): (r["points"], r["length"]) for r in polygons.shared_lines(df, ["root"]).collect()}
+    assert found.keys() == lines.keys()
+    assert all(found[k][0] == v[0] and found[k][1] == pytest.approx(v[1], rel=1e-12) for k, v in lines.items())
