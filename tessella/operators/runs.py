@@ -107,6 +107,22 @@ def rle(flags: DataFrame, keys: list[str], order: list[str], flag: str) -> DataF
     return lists.select(*keys, F.when(F.get("_r", F.lit(0))["_f"], F.concat(F.array(F.lit(0).cast("long")), counts)).otherwise(counts).alias("counts"))
 
 
+def encoded(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, counts) as ``rle`` gives them, from set runs (keys, start, length), without the unset ones after the last."""
+    ordered = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("r"))
+    end = lambda e: e["start"] + e["length"]
+    counts = F.flatten(F.transform("r", lambda e, i: F.array(F.when(i == 0, e["start"]).otherwise(e["start"] - end(F.get("r", i - 1))), e["length"])))
+    return ordered.select(*keys, counts.alias("counts"))
+
+
+def span_shapes(spans: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Area and tight box (x1, y1 inclusive) by keys of runs (start, length) over rows of this width; a run may go on in the next row."""
+    y0, y1 = (F.floor(c / width).cast("int") for c in (F.col("start"), F.col("start") + F.col("length") - 1))
+    x0 = F.when(y0 == y1, F.col("start") % width).otherwise(0).cast("int")
+    x1 = F.when(y0 == y1, (F.col("start") + F.col("length") - 1) % width).otherwise(width - 1).cast("int")
+    return spans.groupBy(*keys).agg(F.sum("length").alias("area"), F.min(x0).alias("bx0"), F.min(y0).alias("by0"), F.max(x1).alias("bx1"), F.max(y1).alias("by1"))
+
+
 def unrle(encoded: DataFrame, keys: list[str], counts: str = "counts") -> DataFrame:
     """(keys, start, length) of the set runs; a doubled leading zero is repaired."""
     c = F.col(counts)

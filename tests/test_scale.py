@@ -96,3 +96,15 @@ def test_overlaps_by_own_boxes_equal_those_on_whole_rasters(spark):
     found = {(r["root"], r["i"], r["j"]): (r["points"], r["length"]) for r in polygons.shared_lines(df, ["root"]).collect()}
     assert found.keys() == lines.keys()
     assert all(found[k][0] == v[0] and found[k][1] == pytest.approx(v[1], rel=1e-12) for k, v in lines.items())
+
+
+def test_merge_entries_read_runs_only(spark, data):
+    text = plan(plans.QUERIES["mrg_01"](spark, data))
+    assert "Join" not in text and "4095" not in text  # no row for each pixel of the canvas
+
+
+def test_encoded_runs_go_on_in_the_next_row(spark):
+    spans = spark.createDataFrame([(1, 0, 3), (1, 6, 4), (1, 10, 2), (2, 5, 1)], "id long, start long, length long")
+    read = runs.unrle(runs.encoded(spans, ["id"]), ["id"])
+    assert sorted(map(tuple, read.collect())) == [(1, 0, 3), (1, 6, 4), (1, 10, 2), (2, 5, 1)]
+    assert sorted(map(tuple, runs.span_shapes(read, ["id"], 8).collect())) == [(1, 9, 0, 0, 7, 1), (2, 1, 5, 0, 5, 0)]
