@@ -1,5 +1,7 @@
 """What queries may not do on large tables: send pixels, or tables that grow, to the driver; and that they give the same rows without it."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from tessella import plans
 from tessella.operators import metrics, morphology, polygons, runs
 from tessella.plans import bindings as B
+from tessella.plans import instances
+from tessella.plans.tiling import GRID
 
 K = B.KEYS
 
@@ -34,6 +38,14 @@ def test_tuning_folds_boxes_and_gives_what_the_tables_give(spark, data):
     assert got == {(i, k): v for i, x in enumerate(settings) for k, v in by_tables(spark, data, x).items()}
 
 
+def test_best_setting_is_the_first_best_of_all_and_makes_no_pixels(spark, data):
+    best = plans.QUERIES["lim_01"](spark, data)
+    assert "Generate" not in plan(best)
+    order = {tuple(r): i for i, r in enumerate(itertools.product(*[GRID[k] for k in instances.SETTINGS]))}
+    every = sorted(plans.QUERIES["agg_21"](spark, data).collect(), key=lambda r: (-r["mean_aji"], order[tuple(r)[:-1]]))
+    assert [tuple(r) for r in best.collect()] == [tuple(every[0])]
+
+
 def test_tuning_of_samples_without_pixels(spark):
     rows = [(1, 5, 9, 9, 9, 9, False), (2, 7, 3, 3, 9, 9, False), (3, 8, 3, 3, 9, 9, True)]  # nothing, nothing predicted, nothing true
     boxes = spark.createDataFrame(rows, "sample_id long, label long, x0 int, y0 int, x1 int, y1 int, pred boolean")
