@@ -77,6 +77,25 @@ def test_overlaps_broadcast_nothing(spark, data, name):
     assert "Broadcast" not in plans.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lines_are_found_without_a_row_for_each_pixel(spark, data):
+    assert "Generate" not in plan(plans.QUERIES["geo_07"](spark, data))
+
+
+def test_lines_of_boxes_equal_those_of_their_pixels(spark):
+    rng, boxes = np.random.default_rng(5), []
+    for k in range(30):
+        for i in (0, 1, 2, 3, 3, 4):  # two boxes of id 3 are one mask
+            y, x, h, w = (int(v) for v in rng.integers([0, 0, 1, 1], [14, 14, 10, 10]))
+            boxes.append((k, i, x, y, x + w, y + h))
+    boxes += [(40, 1, 3, 3, 9, 9), (41, 1, 0, 0, 4, 4), (41, 2, 1, 1, 3, 3), (42, 5, -4, -6, 3, 2), (42, 6, 0, -2, 7, 6), (43, 1, 4, 4, 4, 9)]  # alone, inside, off the canvas, empty
+    pixels = [(k, i, y, x) for k, i, x0, y0, x1, y1 in boxes for y in range(y0, y1) for x in range(x0, x1)]
+    want = polygons.shared_lines(spark.createDataFrame(pixels, "root long, id long, y int, x int").distinct(), ["root"])
+    got = polygons.box_lines(spark.createDataFrame(boxes, "root long, id long, x0 int, y0 int, x1 int, y1 int"), ["root"])
+    assert got.schema == want.schema
+    rows = sorted(map(tuple, got.collect()))
+    assert {r[0] for r in rows} >= {42} and rows == sorted(map(tuple, want.collect()))
+
+
 def whole_rasters(pixels, side):
     """Masks by id on the whole raster."""
     out = {i: np.zeros((side, side), bool) for i, _, _ in sorted(pixels)}
