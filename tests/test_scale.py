@@ -72,6 +72,38 @@ def test_parts_with_one_marker_are_filled_as_the_flood_fills_them(connectivity):
         assert (morphology.flood(height, markers, mask, connectivity, morphology.label(mask, connectivity)) == whole).all()
 
 
+def flooded(height, markers, mask, connectivity):
+    """Pixel by pixel: of the pixels reached, the lowest one that came first goes on."""
+    out, queue, n = markers.copy(), [(height[p], i, p) for i, p in enumerate(zip(*np.nonzero(markers), strict=True))], markers.size
+    while queue:
+        at = min(queue)
+        queue.remove(at)
+        for dy, dx in morphology.offsets(connectivity):
+            p = (at[2][0] + dy, at[2][1] + dx)
+            if 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1] and mask[p] and not out[p]:
+                out[p], n = out[at[2]], n + 1
+                queue.append((height[p], n, p))
+    return out
+
+
+@pytest.mark.parametrize("connectivity", [1, 2])
+def test_floods_and_components_are_those_by_pixel(connectivity):
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        mask = rng.random(rng.integers(1, 16, 2)) < rng.choice([0.3, 0.6, 1])
+        height, markers = rng.integers(-4, 2, mask.shape).astype(float), np.zeros(mask.shape, np.int32)
+        at = np.flatnonzero(rng.random(mask.shape) < 0.06)  # also out of the mask and on the edge
+        markers.ravel()[at] = rng.permutation(len(at)) + 1
+        assert (morphology.flood(height, markers, mask, connectivity) == flooded(height, markers, mask, connectivity)).all()
+        parts, seen = morphology.label(mask, connectivity), np.zeros(mask.shape, np.int32)
+        for y, x in np.argwhere(mask):
+            if not seen[y, x]:
+                one = np.zeros(mask.shape, np.int32)
+                one[y, x] = seen.max() + 1
+                seen += flooded(np.zeros(mask.shape), one, mask, connectivity)
+        assert (parts == seen).all()
+
+
 @pytest.mark.parametrize("name", ["geo_06", "geo_07", "geo_12"])
 def test_overlaps_broadcast_nothing(spark, data, name):
     assert "Broadcast" not in plans.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
