@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import plans
-from tessella.operators import metrics, morphology, polygons, runs
+from tessella.operators import graph, metrics, morphology, polygons, runs
 from tessella.plans import bindings as B
 from tessella.plans import instances
 from tessella.plans.tiling import GRID
@@ -128,6 +128,19 @@ def test_lines_of_boxes_equal_those_of_their_pixels(spark):
     assert {r[0] for r in rows} >= {42} and rows == sorted(map(tuple, want.collect()))
 
 
+def test_rounds_of_overlap_components_broadcast_nothing(spark, data, monkeypatch):
+    ran = []
+
+    def cut(df, own=graph.cut):
+        out = own(df)
+        ran.append(df._jdf.queryExecution().executedPlan().toString())  # as it ran
+        return out
+
+    monkeypatch.setattr(graph, "cut", cut)
+    plans.QUERIES["geo_07"](spark, data)
+    assert len(ran) > 2 and not any("Broadcast" in text for text in ran)
+
+
 def whole_rasters(pixels, side):
     """Masks by id on the whole raster."""
     out = {i: np.zeros((side, side), bool) for i, _, _ in sorted(pixels)}
